@@ -103,10 +103,10 @@ def contains_any_instr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contains_any_listed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that mention a listed page or its domain: a long watch-list."""
+    """Pages whose HTML mentions a listed page or its domain: a long watch-list."""
     watch = watch_list(_listed_pages(spark, sf_dir), "instr")
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return keep_matching(documents, watch, "text", staging=Staging(spark)).select("doc_id")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return keep_matching(pages, watch, "html", staging=Staging(spark)).select("page_id")
 
 
 def contains_any_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
     normal = oracle.normalize("url")
     like = " OR ".join(f"lower(text) LIKE '%{t}%'" for t in LIKE_TERMS)
     return {
-        "watchlist_terms_raw": "SELECT DISTINCT lower(url) AS match_term FROM pages WHERE trim(url) <> ''",
+        "watchlist_terms_raw": "SELECT lower(url) AS match_term FROM pages WHERE trim(url) <> ''",
         "url_normalize": "SELECT page_id, " + ", ".join(f"{sql} AS {c}" for c, sql in normal.items()) + " FROM pages",
         "match_terms": f"SELECT term AS match_term FROM ({oracle.normalized('pages', 'url')})",
         "site_scope": with_tables(["asset"], f"SELECT assetoi, site_oi FROM asset WHERE site_oi IN {SITES}"),
@@ -185,7 +185,7 @@ def oracle_sql() -> dict[str, str]:
             [], f"SELECT page_id FROM pages WHERE {oracle.mentions('html')}", oracle.NORMALIZED_WATCH
         ),
         "contains_any_listed_pages": with_tables(
-            [], f"SELECT doc_id FROM documents WHERE {oracle.mentions('text')}", oracle.normalized("pages", "url")
+            [], f"SELECT page_id FROM pages WHERE {oracle.mentions('html')}", oracle.normalized("pages", "url")
         ),
         "contains_any_two_columns": with_tables(
             ["eprecommendations"],

@@ -27,6 +27,7 @@ JVM_TERMS = 64          # more literals than this go to the automaton
 JVM_PROBES = 12         # so do lists with more separate beginnings than this
 REDUCE_TERMS = 2_000    # drop covered terms only in lists up to this size
 PASS_CHARS = 1_000_000  # characters of terms one task holds at a time
+_MEAN_CHARS = 20        # so a list of up to PASS_CHARS / _MEAN_CHARS terms is read in one go
 _SHARED = 8             # terms alike in this many characters are tested together
 
 
@@ -62,23 +63,24 @@ class WatchList:
             raise ValueError(f"unknown match mode {mode!r}")
         self._terms = terms.select("match_term")
         self._wildcards = mode == "like"
-        self._pass_chars = pass_chars
         self._only: Terms | None = None
-        chars = self._terms.agg(F.coalesce(F.sum(F.length("match_term") + 1), F.lit(0)).alias("n")).first().n
-        self.n_passes = max(1, -(-chars // pass_chars))
+        self.n_passes = 1
+        start = [r.match_term for r in self._terms.limit(pass_chars // _MEAN_CHARS + 1).collect()]
+        if len(start) <= pass_chars // _MEAN_CHARS and sum(map(len, start)) <= pass_chars:
+            self._only = Terms(start, self._wildcards)
+        else:
+            chars = self._terms.agg(F.sum(F.length("match_term")).alias("n")).first().n
+            self.n_passes = 1 + chars // pass_chars
 
     def passes(self) -> Iterator[Terms]:
         """The terms in portions of bounded size; nearly always just one."""
-        if self.n_passes == 1:
-            self._only = self._only or self._fetch(self._terms)
+        if self._only is not None:
             yield self._only
             return
         portion = F.pmod(F.xxhash64("match_term"), F.lit(self.n_passes))
         for i in range(self.n_passes):
-            yield self._fetch(self._terms.filter(portion == i))
-
-    def _fetch(self, portion: DataFrame) -> Terms:
-        return Terms([r.match_term for r in portion.collect()], self._wildcards)
+            rows = self._terms.filter(portion == i).distinct().collect()
+            yield Terms([r.match_term for r in rows], self._wildcards)
 
 
 def contains_any(terms: Terms, *columns: str) -> Column:

@@ -71,17 +71,14 @@ def container_owners(
         rows.append(
             owner_records(branch, ChainMap(thin, tables), scope).select(
                 F.col("attachmentco_oi").alias("container"),
-                F.lit(1 << bit).alias("owners"),
-                F.lit(int(embeds)).cast("bigint").alias("embedding_owners"),
-                F.lit(0).cast("bigint").alias("listed"),
+                F.expr(f"{1 << bit} AS owners"),
+                F.expr(f"{int(embeds)}L AS embedding_owners"),
+                F.expr("0L AS listed"),
             )
         )
     rows.append(
-        only_keys(tables["attcontainter"], "attachmentcontaineroi", wanted).select(
-            F.col("attachmentcontaineroi").alias("container"),
-            F.lit(0).alias("owners"),
-            F.lit(0).cast("bigint").alias("embedding_owners"),
-            F.lit(1).cast("bigint").alias("listed"),
+        only_keys(tables["attcontainter"], "attachmentcontaineroi", wanted).selectExpr(
+            "attachmentcontaineroi AS container", "0 AS owners", "0L AS embedding_owners", "1L AS listed"
         )
     )
     return (
@@ -102,15 +99,15 @@ def attachment_counts(
     hits: DataFrame,
     tables: Mapping[str, DataFrame],
     scope: Scope,
-    wanted: DataFrame | None,
+    few: bool,
 ) -> DataFrame:
     """``branch, n`` from attachment hits ``kind, container, filename, n``.
 
     Files count once per distinct, case-sensitive name and branch; embedded
     attachments count once per row of the join.
     """
-    holders = container_owners(branches, tables, scope, wanted)
-    reached = lookup(hits, holders, "container", "inner", wanted is not None, "filename")
+    holders = container_owners(branches, tables, scope, hits.select("container") if few else None)
+    reached = lookup(hits, holders, "container", "inner", few, "filename")
     is_file = F.col("kind") == "file"
     per_name = reached.groupBy("filename").agg(
         F.bit_or(F.when(is_file, F.col("owners")).otherwise(0)).alias("owners"),

@@ -32,6 +32,20 @@ def only_keys(df: DataFrame, column: str, wanted: DataFrame | None) -> DataFrame
     return df.join(F.broadcast(keys), F.col(column) == F.col("_wanted"), "left_semi")
 
 
+def weighted(hits: DataFrame, parents: DataFrame, key: str, small: bool, *carry: str) -> DataFrame:
+    """Rows of ``parents`` that meet a hit, ``n`` being hits times parent rows.
+
+    ``hits`` has columns ``key`` and ``n`` and perhaps more; ``key`` names the
+    column of ``parents``. Hits known to be few are broadcast and the parents are
+    not shuffled; beyond that both sides come to the join grouped by key.
+    """
+    parents = parents.withColumnRenamed(key, "key")
+    if small:
+        return parents.join(F.broadcast(hits), "key")
+    counted = key_counts(parents.filter(F.col("key").isNotNull()), "key", *carry, name="_rows")
+    return counted.join(hits, "key").withColumn("n", F.col("n") * F.col("_rows")).drop("_rows")
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str, small: bool, salt_by: str) -> DataFrame:
     """Join ``right``, which has each ``key`` once, to a ``left`` of any skew.
 

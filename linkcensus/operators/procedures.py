@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkcensus.model import Scope
-from linkcensus.operators.keys import key_counts, lookup, only_keys
+from linkcensus.operators.keys import key_counts, lookup, only_keys, weighted
 
 
 def in_hierarchy(tables: Mapping[str, DataFrame], scope: Scope, assets: DataFrame) -> DataFrame:
@@ -55,8 +55,7 @@ def procedure_count(
     hits: DataFrame,
     tables: Mapping[str, DataFrame],
     scope: Scope,
-    wanted_versions: DataFrame | None,
-    wanted_procedures: DataFrame | None,
+    few: bool,
 ) -> DataFrame:
     """``branch, n`` for the tree, from version hits ``key, key2, n``.
 
@@ -64,13 +63,11 @@ def procedure_count(
     where there is none. The site, top asset and version must exist, because the
     hierarchy test and the match both reject null; those joins are inner.
     """
-    small = wanted_procedures is not None
-
     # Version -> its procedure -> site -> time zone: how many rows each version gives.
     zones = key_counts(tables["timezone"], F.col("omtimezoneoi").alias("zone"), name="zones")
     sites = key_counts(tables["site"], F.col("siteoi").alias("site"), F.col("timezone_oi").alias("zone"), name="sites")
     per_site = _multiplied(sites, zones, "zone", "sites", "zones").groupBy("site").agg(F.sum("rows").alias("per_site"))
-    origins = only_keys(tables["stdprocedures"], "stdprocedureanddocumentsoi", wanted_procedures)
+    origins = only_keys(tables["stdprocedures"], "stdprocedureanddocumentsoi", hits.select("key2") if few else None)
     origins = key_counts(
         origins, F.col("stdprocedureanddocumentsoi").alias("key2"), F.col("site_oi").alias("site"), name="origins"
     )
@@ -81,8 +78,8 @@ def procedure_count(
         .agg(F.sum("rows").alias("origin_rows"))
     )
     versions = (
-        lookup(hits.withColumnRenamed("key", "version"), per_procedure, "key2", "left", small, "version")
-        .groupBy("version")
+        lookup(hits, per_procedure, "key2", "left", few, "key")
+        .groupBy("key")
         .agg(F.sum(F.col("n") * F.coalesce("origin_rows", F.lit(1))).alias("n"))
     )
 
@@ -92,20 +89,15 @@ def procedure_count(
     sited = key_counts(tables["site"], F.col("siteoi").alias("site"), F.col("topasset_oi").alias("asset"), name="sites")
     sited = sited.join(top, "asset").groupBy("site").agg(F.sum(F.col("sites") * F.col("assets")).alias("site_rows"))
 
-    procedures = only_keys(tables["stdprocedures"], "currentrev_oi", wanted_versions)
-    procedures = key_counts(
-        procedures,
-        F.col("currentrev_oi").alias("version"),
-        F.col("site_oi").alias("site"),
-        F.col("stddproctype_oi").alias("doc_type"),
-        name="procedures",
+    procedures = tables["stdprocedures"].select(
+        "currentrev_oi", F.col("site_oi").alias("site"), F.col("stddproctype_oi").alias("doc_type")
     )
-    doc_types = key_counts(tables["stdprocdoctypes"], F.col("stdproceduresanddocstypesoi").alias("doc_type"), name="types")
     by_site = (
-        procedures.join(versions, "version")
+        weighted(versions, procedures, "currentrev_oi", few, "site", "doc_type")
         .groupBy("site", "doc_type")
-        .agg(F.sum(F.col("procedures") * F.col("n")).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
+    doc_types = key_counts(tables["stdprocdoctypes"], F.col("stdproceduresanddocstypesoi").alias("doc_type"), name="types")
     by_type = (
         by_site.join(sited, "site")
         .groupBy("doc_type")

@@ -7,14 +7,13 @@ decides its scope, with a count.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkcensus.model import Scope
-from linkcensus.operators.keys import key_counts, only_keys
+from linkcensus.operators.keys import weighted
 
 # Branches scoped by the record that holds the text: table, text columns.
 OWN_TEXT: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -32,85 +31,65 @@ CHILD_TEXT: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "B19": ("eprecommendations", "asset_oi", ("epprojectsha", "epdescriptio")),
 }
 TEXT_BRANCHES = (*OWN_TEXT, *CHILD_TEXT)
-_BY_ORDER = ("B15", "B17", "B18")
 
 
-def searched_rows(branch: str, tables: Mapping[str, DataFrame], scope: Scope) -> tuple[DataFrame, tuple[str, ...]]:
-    """Rows whose text is searched for ``branch``, and the columns to search."""
+def searched_rows(branch: str, tables: Mapping[str, DataFrame], scope: Scope) -> DataFrame:
+    """Rows whose text is searched for ``branch``: ``key, text`` and maybe ``text2``."""
     if branch in OWN_TEXT:
         table, columns = OWN_TEXT[branch]
         df = tables[table].filter(scope.at_site())
         if branch == "B14":
             df = df.filter(scope.open_request())
-        return df.withColumn("_key", F.lit(None).cast("bigint")), columns
-    table, key, columns = CHILD_TEXT[branch]
-    df = tables[table].withColumn("_key", F.col(key)).filter(F.col("_key").isNotNull())
-    # An activity has a site of its own; the other children take the parent's.
-    return (df.filter(scope.at_site()) if branch == "B18" else df), columns
+        key = F.lit(None).cast("bigint")
+    else:
+        table, parent, columns = CHILD_TEXT[branch]
+        key = F.col(parent)
+        df = tables[table].filter(key.isNotNull())
+        # An activity has a site of its own; the other children take the parent's.
+        if branch == "B18":
+            df = df.filter(scope.at_site())
+    return df.select(key.alias("key"), *[F.col(c).alias(a) for c, a in zip(columns, ("text", "text2"))])
 
 
 def text_counts(
     branches: set[str],
-    hits: Mapping[str, DataFrame],
+    hits: DataFrame,
     tables: Mapping[str, DataFrame],
     scope: Scope,
-    wanted: Mapping[str, DataFrame | None],
+    few: Callable[..., bool],
 ) -> list[DataFrame]:
-    """``branch, n`` frames from text hits ``key, n`` by branch."""
-    counts = []
-    for b in OWN_TEXT:
-        if b in branches:
-            counts.append(hits[b].select(F.lit(b).alias("branch"), "n"))
-    if branches & set(_BY_ORDER):
-        counts.append(_by_order(branches, hits, tables, scope, wanted))
-    if "B16" in branches:
-        requests = only_keys(tables["workrequest"], "workrequestoi", wanted["B16"])
-        requests = requests.filter(scope.open_request() & scope.at_site())
-        counts.append(_by_parent("B16", hits["B16"], requests, "workrequestoi"))
-    if "B19" in branches:
-        assets = only_keys(tables["asset"], "assetoi", wanted["B19"]).filter(scope.at_site())
-        counts.append(_by_parent("B19", hits["B19"], assets, "assetoi"))
-    return counts
-
+    """``branch, n`` frames from text hits ``kind, key, n``.
 
-def _by_parent(branch: str, hits: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    times = key_counts(parents, F.col(key).alias("key"), name="parents")
-    joined = hits.join(times, "key").select((F.col("n") * F.col("parents")).alias("n"))
-    return joined.agg(F.sum("n").alias("n")).select(F.lit(branch).alias("branch"), "n")
+    ``few`` tells whether the hits of given kinds are within BROADCAST_ROWS.
+    """
+    counts = []
+    own = branches & set(OWN_TEXT)
+    if own:
+        counts.append(hits.filter(F.col("kind").isin(sorted(own))).select(F.col("kind").alias("branch"), "n"))
 
+    orders = tables["workorders"].filter(scope.open_order())
+    parents = [
+        (("B15", "B17"), orders, scope.at_site(), "workordersoi"),
+        (("B16",), tables["workrequest"].filter(scope.open_request()), scope.at_site(), "workrequestoi"),
+        (("B19",), tables["asset"], scope.at_site(), "assetoi"),
+    ]
+    for kinds, parent, here, key in parents:
+        asked = sorted(branches.intersection(kinds))
+        if asked:
+            found = hits.filter(F.col("kind").isin(asked)).select(F.col("kind").alias("branch"), "key", "n")
+            reached = weighted(found, parent.filter(here).select(key), key, few(*asked))
+            counts.append(reached.groupBy("branch").agg(F.sum("n").alias("n")))
 
-def _by_order(
-    branches: set[str],
-    hits: Mapping[str, DataFrame],
-    tables: Mapping[str, DataFrame],
-    scope: Scope,
-    wanted: Mapping[str, DataFrame | None],
-) -> DataFrame:
-    """Work orders decide for three branches, so they are read once for all."""
-    keyed = []
-    for b in branches & set(_BY_ORDER):
-        found = hits[b]
-        if b == "B18":
-            tasks = only_keys(tables["workordertask"], "workordertaskoi", wanted[b])
-            tasks = key_counts(tasks, F.col("workordertaskoi").alias("key"), "workorder_oi", name="tasks")
-            found = (
-                found.join(tasks, "key")
-                .groupBy(F.col("workorder_oi").alias("key"))
-                .agg(F.sum(F.col("n") * F.col("tasks")).alias("n"))
-            )
-        keyed.append(found.select(F.lit(b).alias("branch"), "key", "n"))
-    by_order = reduce(DataFrame.unionByName, keyed)
-
-    known = [wanted[b] for b in branches & {"B15", "B17"}]
-    orders = tables["workorders"]
-    if "B18" not in branches and all(k is not None for k in known):
-        orders = only_keys(orders, "workordersoi", reduce(DataFrame.union, known).distinct())
-    in_scope: Column = scope.at_site()
-    times = (
-        orders.filter(scope.open_order())
-        .groupBy(F.col("workordersoi").alias("key"))
-        .agg(F.count(F.lit(1)).alias("open"), F.count_if(in_scope).alias("open_here"))
-    )
-    # An activity brings its own site, so any open order will do.
-    times_for = F.when(F.col("branch") == "B18", F.col("open")).otherwise(F.col("open_here"))
-    return by_order.join(times, "key").groupBy("branch").agg(F.sum(F.col("n") * times_for).alias("n"))
+    if "B18" in branches:
+        # Activity -> task -> order. The activity brought its own site, so any open
+        # order will do.
+        found = hits.filter(F.col("kind") == "B18").select("key", "n")
+        tasks = tables["workordertask"].select("workordertaskoi", "workorder_oi")
+        by_order = (
+            weighted(found, tasks, "workordertaskoi", few("B18"), "workorder_oi")
+            .groupBy(F.col("workorder_oi").alias("key"))
+            .agg(F.sum("n").alias("n"))
+        )
+        reached = weighted(by_order, orders.select("workordersoi"), "workordersoi", False)
+        counts.append(reached.agg(F.sum("n").alias("n")).select(F.lit("B18").alias("branch"), "n"))
+    return counts

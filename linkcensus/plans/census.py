@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable, Mapping
+from collections.abc import Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -29,54 +29,48 @@ from linkcensus.operators.attachments import (
 )
 from linkcensus.operators.procedures import procedure_count
 from linkcensus.operators.staging import Staging
-from linkcensus.operators.textrefs import CHILD_TEXT, TEXT_BRANCHES, searched_rows, text_counts
+from linkcensus.operators.textrefs import OWN_TEXT, TEXT_BRANCHES, searched_rows, text_counts
 from linkcensus.sources.watchlist import normalized_terms, raw_terms
 
-_HIT = "kind string, key bigint, key2 bigint, filename string, n bigint"
-
 
 def find_hits(
     tables: Mapping[str, DataFrame], watch: WatchList, scope: Scope, branches: set[str], staging: Staging
 ) -> DataFrame:
     """Every mention of the watch-list as ``kind, key, key2, filename, n``."""
-    null_key, null_name = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    found = []
+    searched = []
     kinds = (["file"] if branches & set(OWNERS) else []) + (["embedded"] if EMBEDDED_BRANCH in branches else [])
     if kinds:
         attachments = tables["attachment"].select(
-            attachment_kind().alias("kind"), F.col("attcontainer_oi").alias("key"), "filename"
-        )
-        attachments = attachments.filter(F.col("kind").isin(kinds) & F.col("key").isNotNull())
-        found.append(
-            keep_matching(attachments, watch, "filename", staging=staging).select(
-                "kind", "key", null_key.alias("key2"),
-                F.when(F.col("kind") == "file", F.col("filename")).alias("filename"),
-            )
+            attachment_kind().alias("kind"), F.col("attcontainer_oi").alias("key"), F.col("filename").alias("text")
         )
+        searched.append(attachments.filter(F.col("kind").isin(kinds) & F.col("key").isNotNull()))
     for branch in sorted(branches & set(TEXT_BRANCHES)):
-        rows, columns = searched_rows(branch, tables, scope)
-        rows = rows.select("_key", *columns)
-        found.append(
-            keep_matching(rows, watch, *columns, staging=staging).select(
-                F.lit(branch).alias("kind"), F.col("_key").alias("key"),
-                null_key.alias("key2"), null_name.alias("filename"),
-            )
-        )
+        searched.append(searched_rows(branch, tables, scope).withColumn("kind", F.lit(branch)))
     if "B20" in branches:
-        versions = tables["stdprocedureversn"].filter(F.col("stdprocedureversionoi").isNotNull())
-        found.append(
-            keep_matching(versions, watch, "docmgmtfile", staging=staging).select(
-                F.lit("B20").alias("kind"), F.col("stdprocedureversionoi").alias("key"),
-                F.col("stdprocedure_oi").alias("key2"), null_name.alias("filename"),
-            )
+        versions = tables["stdprocedureversn"].selectExpr(
+            "'B20' AS kind", "stdprocedureversionoi AS key", "stdprocedure_oi AS key2", "docmgmtfile AS text"
         )
+        searched.append(versions.filter("key IS NOT NULL"))
+
+    # The filter on the union is pushed down into every scan.
+    one, two = [[d for d in searched if ("text2" in d.columns) == both] for both in (False, True)]
+    found = []
+    for frames, columns in ((one, ["text"]), (two, ["text", "text2"])):
+        if frames:
+            rows = reduce(_union, frames)
+            found.append(keep_matching(rows, watch, *columns, staging=staging).drop("text2"))
     return (
-        reduce(DataFrame.unionByName, found)
-        .groupBy("kind", "key", "key2", "filename")
+        reduce(_union, found)
+        .withColumn("key2", F.col("key2") if "B20" in branches else F.lit(None).cast("bigint"))
+        .groupBy("kind", "key", "key2", F.expr("CASE WHEN kind = 'file' THEN text END AS filename"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def _union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def branch_counts(
     tables: Mapping[str, DataFrame],
     watch: WatchList,
@@ -85,45 +79,36 @@ def branch_counts(
     stage: bool = True,
 ) -> DataFrame:
     """``branch, entity, count_value`` with a row for every branch asked for."""
-    wanted_branches = set(branches)
+    wanted = set(branches)
     spark = tables["attachment"].sparkSession
-    joined = wanted_branches & {*ATTACHMENT_BRANCHES, *CHILD_TEXT, "B20"}
     staging = Staging(spark, stage)
-    hits = find_hits(tables, watch, scope, wanted_branches, staging)
-    rows: dict[str, int] = {}
-    if joined and staging.folder is not None:
+    hits = find_hits(tables, watch, scope, wanted, staging)
+    rows: dict[str, int] | None = None
+    if staging.folder is not None and wanted - set(OWN_TEXT):
         hits = staging.write(hits, by="kind")
         rows = {r.kind: r["count"] for r in hits.groupBy("kind").count().collect()}
 
-    def of(kind: str) -> DataFrame:
-        return hits.filter(F.col("kind") == kind)
-
-    def few(kinds: Iterable[str], key: str = "key") -> DataFrame | None:
-        """Distinct hit keys if a count has shown that they can be broadcast."""
-        if staging.folder is None or sum(rows.get(k, 0) for k in kinds) > keys.BROADCAST_ROWS:
-            return None
-        return hits.filter(F.col("kind").isin(list(kinds)) & F.col(key).isNotNull()).select(key).distinct()
+    def few(*kinds: str) -> bool:
+        """Has a count shown that the hits of these kinds can be broadcast?"""
+        return rows is not None and sum(rows.get(k, 0) for k in kinds) <= keys.BROADCAST_ROWS
 
     counts = []
-    if wanted_branches & set(ATTACHMENT_BRANCHES):
-        kinds = ["file", "embedded"]
-        named = hits.filter(F.col("kind").isin(kinds)).withColumnRenamed("key", "container").drop("key2")
-        counts.append(attachment_counts(wanted_branches, named, tables, scope, few(kinds)))
-    texts = wanted_branches & set(TEXT_BRANCHES)
-    if texts:
-        by_branch = {b: of(b).select("key", "n") for b in texts}
-        counts += text_counts(texts, by_branch, tables, scope, {b: few([b]) for b in texts})
-    if "B20" in wanted_branches:
-        versions = of("B20").select("key", "key2", "n")
-        counts.append(procedure_count(versions, tables, scope, few(["B20"]), few(["B20"], "key2")))
-
-    seeds = spark.createDataFrame([(b, 0) for b in sorted(wanted_branches)], "branch string, n bigint")
-    labels = F.create_map(*[F.lit(x) for b in sorted(wanted_branches) for x in (b, BRANCHES[b])])
+    if wanted & set(ATTACHMENT_BRANCHES):
+        named = hits.filter(F.col("kind").isin("file", "embedded")).withColumnRenamed("key", "container")
+        counts.append(attachment_counts(wanted, named, tables, scope, few("file", "embedded")))
+    counts += text_counts(wanted & set(TEXT_BRANCHES), hits, tables, scope, few)
+    if "B20" in wanted:
+        versions = hits.filter(F.col("kind") == "B20").select("key", "key2", "n")
+        counts.append(procedure_count(versions, tables, scope, few("B20")))
+
+    asked = sorted(wanted)
+    zeros = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{b}', 0L)" for b in asked) + " AS z(branch, n)")
+    entity = "CASE branch " + " ".join(f"WHEN '{b}' THEN '{BRANCHES[b]}'" for b in asked) + " END AS entity"
     return (
-        reduce(DataFrame.unionByName, [seeds, *counts])
+        reduce(DataFrame.unionByName, [zeros, *counts])
         .groupBy("branch")
         .agg(F.sum("n").alias("count_value"))
-        .select("branch", labels[F.col("branch")].alias("entity"), "count_value")
+        .selectExpr("branch", entity, "count_value")
     )
 
 

@@ -26,11 +26,7 @@ def watchlist_from_text(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_terms(watchlist: DataFrame) -> DataFrame:
     """The listed URLs as they are, in lower case: ``match_term``."""
-    return (
-        watchlist.filter(_not_blank("url_pref"))
-        .select(F.lower("url_pref").alias("match_term"))
-        .distinct()
-    )
+    return watchlist.filter(_not_blank("url_pref")).select(F.lower("url_pref").alias("match_term"))
 
 
 def normalized_terms(watchlist: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ _C = 97
 
 # Logical tables as SELECTs over the driver's tables.
 BOUND = {
-    "asset": f"SELECT p_partkey::BIGINT assetoi, p_size % 25 site_oi, p_partkey % {_C} attachmentco_oi, p_name image FROM part",
+    "asset": f"SELECT p_partkey assetoi, CAST(p_size % 25 AS BIGINT) site_oi, p_partkey % {_C} attachmentco_oi, p_name image FROM part",
     "conditionindicator": f"SELECT s_nationkey site_oi, s_suppkey % {_C} attachmentco_oi FROM supplier",
     "indicatorreading": f"SELECT user_id % 25 site_oi, event_id % {_C} attachmentco_oi FROM events",
     "mtceschedule": f"SELECT c_nationkey site_oi, c_custkey % {_C} attachmentco_oi FROM customer",
