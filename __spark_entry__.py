@@ -102,11 +102,12 @@ def contains_any_instr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_matching(pages, watch, "html", staging=Staging(spark)).select("page_id")
 
 
-def contains_any_listed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose HTML mentions a listed page or its domain: a long watch-list."""
-    watch = watch_list(_listed_pages(spark, sf_dir), "instr")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return keep_matching(pages, watch, "html", staging=Staging(spark)).select("page_id")
+def contains_any_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under the path of a page of an English section: a list that grows."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    english = pages.filter(F.col("url").contains("/en/"))
+    terms = english.select(normalized_url("url")["no_scheme"].alias("match_term"))
+    return keep_matching(pages, WatchList(terms, "instr"), "url", staging=Staging(spark)).select("page_id")
 
 
 def contains_any_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ def queries() -> dict[str, Query]:
         "status_filter_requests": status_filter_requests,
         "contains_any_like": contains_any_like,
         "contains_any_instr": contains_any_instr,
-        "contains_any_listed_pages": contains_any_listed_pages,
+        "contains_any_long_list": contains_any_long_list,
         "contains_any_two_columns": contains_any_two_columns,
         "attachment_chain": attachment_chain,
         "hierarchy_semi": hierarchy_semi,
@@ -184,8 +185,10 @@ def oracle_sql() -> dict[str, str]:
         "contains_any_instr": with_tables(
             [], f"SELECT page_id FROM pages WHERE {oracle.mentions('html')}", oracle.NORMALIZED_WATCH
         ),
-        "contains_any_listed_pages": with_tables(
-            [], f"SELECT page_id FROM pages WHERE {oracle.mentions('html')}", oracle.normalized("pages", "url")
+        "contains_any_long_list": with_tables(
+            [],
+            f"SELECT page_id FROM pages WHERE {oracle.mentions('url')}",
+            f"SELECT {normal['no_scheme']} term FROM pages WHERE url LIKE '%/en/%'",
         ),
         "contains_any_two_columns": with_tables(
             ["eprecommendations"],

@@ -6,8 +6,8 @@ number of terms:
 * few terms: JVM expressions only. Terms with a common beginning share a cheap
   test for that beginning, so that a list of URLs of one host costs about as much
   as a single ``contains``.
-* many terms: one Aho-Corasick pass over Arrow batches, whose cost does not grow
-  with the list.
+* more terms: compiled regular expressions over whole Arrow batches, each for a few
+  hundred terms; a linear scan whose cost hardly depends on how many they are.
 * lists too large for one task's memory: see ``WatchList.passes``.
 """
 
@@ -17,14 +17,17 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkcensus.operators.staging import Staging
 
-JVM_TERMS = 64          # more literals than this go to the automaton
-JVM_PROBES = 12         # so do lists with more separate beginnings than this
+JVM_TERMS = 64          # more terms than this are matched in Arrow batches
+JVM_PROBES = 8          # so are lists with more separate beginnings than this
+REGEX_TERMS = 400       # terms per regular expression, to stay within its automaton's memory
+REGEX_CHARS = 32_000
 REDUCE_TERMS = 2_000    # drop covered terms only in lists up to this size
 PASS_CHARS = 1_000_000  # characters of terms one task holds at a time
 _MEAN_CHARS = 20        # so a list of up to PASS_CHARS / _MEAN_CHARS terms is read in one go
@@ -112,16 +115,17 @@ def _contains_any(terms: Terms, column: str) -> Column:
     if not groups and not terms.patterns:
         return F.lit(False)
     if len(terms.literals) + len(terms.patterns) > JVM_TERMS or len(groups) + len(terms.patterns) > JVM_PROBES:
-        return _automaton(terms)(F.lower(column))
+        return _in_batches(_regexes(terms))(F.lower(column))
 
     def test(text: Column) -> Column:
         probes = [_probe(text, g) for g in groups]
         # LIKE takes a backslash as an escape unless it is doubled.
-        probes += [text.like("%" + p.replace("\\", "\\\\") + "%") for p in terms.patterns]
+        probes += [text.cast("string").like("%" + p.replace("\\", "\\\\") + "%") for p in terms.patterns]
         return reduce(or_, probes)
 
-    # A one-element array binds the lower-cased text, so it is computed only once.
-    return F.exists(F.array(F.lower(column)), test)
+    # A one-element array binds the lower-cased text, so it is computed only once;
+    # as bytes, because that is the faster form of contains.
+    return F.exists(F.array(F.lower(column).cast("binary")), test)
 
 
 def _by_beginning(literals: list[str]) -> list[list[str]]:
@@ -133,61 +137,41 @@ def _by_beginning(literals: list[str]) -> list[list[str]]:
 
 def _probe(text: Column, group: list[str]) -> Column:
     """Test a group of terms behind the beginning they share."""
-    if len(group) == 1:
-        return text.contains(group[0])
     shared = os.path.commonprefix(group)
+    found = text.contains(F.lit(shared.encode()))
+    if len(group) == 1:
+        return found
     branches: dict[str, list[str]] = {}
     for term in group:
         branches.setdefault(term[: len(shared) + 1], []).append(term)
-    return text.contains(shared) & reduce(or_, [_probe(text, b) for b in branches.values()])
+    return found & reduce(or_, [_probe(text, b) for b in branches.values()])
 
 
-def _automaton(terms: Terms) -> Callable[[Column], Column]:
-    """Pandas UDF over lower-cased text: one automaton pass per field.
+def _regexes(terms: Terms) -> list[str]:
+    def literal(text: str) -> str:
+        return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
 
-    A LIKE pattern enters with its longest fixed piece; the whole pattern is
-    checked only on fields that have the piece.
-    """
-    literals, patterns = terms.literals, terms.patterns
-
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-
-        import ahocorasick
-
-        pieces: dict[str, list] = {}
-        loose = []
-        for pattern in patterns:
-            regex = re.escape(pattern).replace("%", ".*").replace("_", ".")
-            check = re.compile(regex, re.DOTALL).search
-            piece = max(re.split("[%_]", pattern), key=len)
-            if piece:
-                pieces.setdefault(piece, []).append(check)
-            else:
-                loose.append(check)
-        tree = ahocorasick.Automaton()
-        for piece, checks in pieces.items():
-            tree.add_word(piece, checks)
-        for literal in literals:
-            tree.add_word(literal, None)
-        tree.make_automaton()
-
-        def found(text):
-            if text is None:
-                return None
-            if any(check(text) for check in loose):
-                return True
-            tried = set()
-            for _, checks in tree.iter(text) if len(tree) else ():
-                if checks is None:
-                    return True
-                if id(checks) not in tried:
-                    tried.add(id(checks))
-                    if any(check(text) for check in checks):
-                        return True
-            return False
+    parts = [literal(t) for t in sorted(terms.literals)]
+    parts += [literal(p).replace("%", ".*").replace("_", ".") for p in terms.patterns]
+    chunks: list[list[str]] = [[]]
+    chars = 0
+    for part in parts:
+        if len(chunks[-1]) == REGEX_TERMS or (chunks[-1] and chars + len(part) > REGEX_CHARS):
+            chunks.append([])
+            chars = 0
+        chunks[-1].append(part)
+        chars += len(part)
+    return ["(?s)" + "|".join(c) for c in chunks]
+
+
+def _in_batches(regexes: list[str]) -> Callable[[Column], Column]:
+    """Arrow UDF over lower-cased text."""
 
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([found(t) for t in texts], dtype="object")
+            found = pc.match_substring_regex(texts, pattern=regexes[0])
+            for regex in regexes[1:]:
+                found = pc.or_(found, pc.match_substring_regex(texts, pattern=regex))
+            yield found
 
-    return F.pandas_udf(scan, "boolean")
+    return F.arrow_udf(scan, "boolean")
