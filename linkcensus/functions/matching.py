@@ -1,11 +1,10 @@
 """Does a text field contain any term of a watch-list?
 
-Terms are lower-case. A field is put in lower case once per row, whatever the
-number of terms:
+Terms are lower-case, fields are compared in lower case.
 
-* few terms: JVM expressions only. Terms with a common beginning share a cheap
-  test for that beginning, so that a list of URLs of one host costs about as much
-  as a single ``contains``.
+* few terms: JVM expressions only. The field is lower-cased once per row, and terms
+  with a common beginning share a cheap test for that beginning, so that a list of
+  URLs of one host costs about as much as a single ``contains``.
 * more terms: compiled regular expressions over whole Arrow batches, each for a few
   hundred terms; a linear scan whose cost hardly depends on how many they are.
 * lists too large for one task's memory: see ``WatchList.passes``.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from linkcensus.operators.staging import Staging
 
 JVM_TERMS = 64          # more terms than this are matched in Arrow batches
-JVM_PROBES = 8          # so are lists with more separate beginnings than this
+JVM_PROBES = 4          # so are lists with more separate beginnings than this
 REGEX_TERMS = 400       # terms per regular expression, to stay within its automaton's memory
 REGEX_CHARS = 32_000
 REDUCE_TERMS = 2_000    # drop covered terms only in lists up to this size
@@ -115,7 +114,7 @@ def _contains_any(terms: Terms, column: str) -> Column:
     if not groups and not terms.patterns:
         return F.lit(False)
     if len(terms.literals) + len(terms.patterns) > JVM_TERMS or len(groups) + len(terms.patterns) > JVM_PROBES:
-        return _in_batches(_regexes(terms))(F.lower(column))
+        return _by_regex(terms, column)
 
     def test(text: Column) -> Column:
         probes = [_probe(text, g) for g in groups]
@@ -128,6 +127,19 @@ def _contains_any(terms: Terms, column: str) -> Column:
     return F.exists(F.array(F.lower(column).cast("binary")), test)
 
 
+def _by_regex(terms: Terms, column: str) -> Column:
+    """ASCII literals are found in the text as it is; the rest in its lower case."""
+    ascii_only = [t for t in terms.literals if t.isascii()]
+    rest = [_quoted(t) for t in terms.literals if not t.isascii()]
+    rest += [_quoted(p).replace("%", ".*").replace("_", ".") for p in terms.patterns]
+    found = []
+    if ascii_only:
+        found.append(_in_batches(_regexes([_any_case(t) for t in ascii_only]))(column))
+    if rest:
+        found.append(_in_batches(_regexes(rest))(F.lower(column)))
+    return reduce(or_, found)
+
+
 def _by_beginning(literals: list[str]) -> list[list[str]]:
     groups: dict[str, list[str]] = {}
     for term in literals:
@@ -147,12 +159,8 @@ def _probe(text: Column, group: list[str]) -> Column:
     return found & reduce(or_, [_probe(text, b) for b in branches.values()])
 
 
-def _regexes(terms: Terms) -> list[str]:
-    def literal(text: str) -> str:
-        return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
-
-    parts = [literal(t) for t in sorted(terms.literals)]
-    parts += [literal(p).replace("%", ".*").replace("_", ".") for p in terms.patterns]
+def _regexes(parts: list[str]) -> list[str]:
+    """Alternatives in portions small enough for one compiled expression each."""
     chunks: list[list[str]] = [[]]
     chars = 0
     for part in parts:
@@ -164,8 +172,26 @@ def _regexes(terms: Terms) -> list[str]:
     return ["(?s)" + "|".join(c) for c in chunks]
 
 
+def _quoted(text: str) -> str:
+    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
+
+
+def _any_case(term: str) -> str:
+    """Expression that finds in a text what an ASCII ``term`` finds in its lower case.
+
+    Besides A-Z two characters have ASCII in their lower case: the Kelvin sign gives
+    k, and the dotted capital I gives an i with a combining dot, which no further
+    ASCII character can follow.
+    """
+    letters = {c: f"[{c}{c.upper()}]" for c in "abcdefghijklmnopqrstuvwxyz"} | {"k": "[kK\u212a]"}
+    out = [letters.get(c) or _quoted(c) for c in term]
+    if term.endswith("i"):
+        out[-1] = "[iI\u0130]"
+    return "".join(out)
+
+
 def _in_batches(regexes: list[str]) -> Callable[[Column], Column]:
-    """Arrow UDF over lower-cased text."""
+    """Arrow UDF: does one of the expressions match somewhere?"""
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

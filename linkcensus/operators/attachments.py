@@ -66,24 +66,24 @@ def container_owners(
         embeds = branch == EMBEDDED_OWNER and EMBEDDED_BRANCH in branches
         if branch not in branches and not embeds:
             continue
-        # Thinned by container first, so that B09 looks up fewer orders.
-        thin = {OWNERS[branch]: only_keys(tables[OWNERS[branch]], "attachmentco_oi", wanted)}
+        source = tables
+        if branch == "B09":
+            # Thinned by container first, so that fewer orders are looked up.
+            thin = only_keys(tables["workordertask"], "attachmentco_oi", wanted)
+            source = ChainMap({"workordertask": thin}, tables)
         rows.append(
-            owner_records(branch, ChainMap(thin, tables), scope).select(
-                F.col("attachmentco_oi").alias("container"),
-                F.expr(f"{1 << bit} AS owners"),
-                F.expr(f"{int(embeds)}L AS embedding_owners"),
-                F.expr("0L AS listed"),
+            owner_records(branch, source, scope).selectExpr(
+                "attachmentco_oi AS container", f"{1 << bit} AS owners", f"{int(embeds)}L AS embedding_owners", "0L AS listed"
             )
         )
     rows.append(
-        only_keys(tables["attcontainter"], "attachmentcontaineroi", wanted).selectExpr(
+        tables["attcontainter"].selectExpr(
             "attachmentcontaineroi AS container", "0 AS owners", "0L AS embedding_owners", "1L AS listed"
         )
     )
+    # The thinning is pushed down into every scan.
     return (
-        reduce(DataFrame.unionByName, rows)
-        .filter(F.col("container").isNotNull())
+        only_keys(reduce(DataFrame.unionByName, rows).filter("container IS NOT NULL"), "container", wanted)
         .groupBy("container")
         .agg(
             F.bit_or("owners").alias("owners"),
