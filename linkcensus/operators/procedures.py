@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkcensus.model import Scope
@@ -65,29 +65,26 @@ def procedure_count(
     """
     # Version -> its procedure -> site -> time zone: how many rows each version gives.
     zones = key_counts(tables["timezone"], F.col("omtimezoneoi").alias("zone"), name="zones")
-    sites = key_counts(tables["site"], F.col("siteoi").alias("site"), F.col("timezone_oi").alias("zone"), name="sites")
-    per_site = _multiplied(sites, zones, "zone", "sites", "zones").groupBy("site").agg(F.sum("rows").alias("per_site"))
-    origins = only_keys(tables["stdprocedures"], "stdprocedureanddocumentsoi", hits.select("key2") if few else None)
-    origins = key_counts(
-        origins, F.col("stdprocedureanddocumentsoi").alias("key2"), F.col("site_oi").alias("site"), name="origins"
-    )
-    per_procedure = (
-        _multiplied(origins, per_site, "site", "origins", "per_site")
-        .filter(F.col("key2").isNotNull())
-        .groupBy("key2")
-        .agg(F.sum("rows").alias("origin_rows"))
-    )
-    versions = (
-        lookup(hits, per_procedure, "key2", "left", few, "key")
-        .groupBy("key")
-        .agg(F.sum(F.col("n") * F.coalesce("origin_rows", F.lit(1))).alias("n"))
+    sites = tables["site"].select(F.col("siteoi").alias("site"), F.col("timezone_oi").alias("zone"))
+    per_site = sites.join(zones, "zone", "left").groupBy("site").agg(_rows("zones").alias("per_site"))
+    origins = tables["stdprocedures"].select(
+        F.col("stdprocedureanddocumentsoi").alias("key2"), F.col("site_oi").alias("site")
     )
+    if few:
+        origins = only_keys(origins, "key2", hits.select("key2")).join(per_site, "site", "left")
+    else:
+        origins = lookup(origins.filter("key2 IS NOT NULL"), per_site, "site", "left", False, "key2")
+    per_procedure = origins.groupBy("key2").agg(_rows("per_site").alias("origin_rows"))
+    versions = lookup(hits, per_procedure, "key2", "left", few, "key")
+    versions = versions.select("key", (F.col("n") * F.coalesce("origin_rows", F.lit(1))).alias("n"))
+    if not few:
+        versions = versions.groupBy("key").agg(F.sum("n").alias("n"))
 
     # Procedure -> site -> top asset in the hierarchy.
-    top = in_hierarchy(tables, scope, tables["asset"].select("assetoi"))
-    top = key_counts(top, F.col("assetoi").alias("asset"), name="assets")
-    sited = key_counts(tables["site"], F.col("siteoi").alias("site"), F.col("topasset_oi").alias("asset"), name="sites")
-    sited = sited.join(top, "asset").groupBy("site").agg(F.sum(F.col("sites") * F.col("assets")).alias("site_rows"))
+    tops = tables["asset"].join(tables["site"], F.col("assetoi") == F.col("topasset_oi"), "left_semi")
+    top = key_counts(in_hierarchy(tables, scope, tops.select("assetoi")), F.col("assetoi").alias("asset"), name="assets")
+    sited = tables["site"].select(F.col("siteoi").alias("site"), F.col("topasset_oi").alias("asset"))
+    sited = sited.join(top, "asset").groupBy("site").agg(F.sum("assets").alias("site_rows"))
 
     procedures = tables["stdprocedures"].select(
         "currentrev_oi", F.col("site_oi").alias("site"), F.col("stddproctype_oi").alias("doc_type")
@@ -97,17 +94,12 @@ def procedure_count(
         .groupBy("site", "doc_type")
         .agg(F.sum("n").alias("n"))
     )
-    doc_types = key_counts(tables["stdprocdoctypes"], F.col("stdproceduresanddocstypesoi").alias("doc_type"), name="types")
-    by_type = (
-        by_site.join(sited, "site")
-        .groupBy("doc_type")
-        .agg(F.sum(F.col("n") * F.col("site_rows")).alias("n"))
-    )
-    rows = _multiplied(by_type, doc_types, "doc_type", "n", "types")
-    return rows.agg(F.sum("rows").alias("n")).select(F.lit("B20").alias("branch"), "n")
+    types = key_counts(tables["stdprocdoctypes"], F.col("stdproceduresanddocstypesoi").alias("doc_type"), name="types")
+    rows = by_site.join(sited, "site").join(types, "doc_type", "left")
+    total = F.sum(F.col("n") * F.col("site_rows") * F.coalesce("types", F.lit(1)))
+    return rows.agg(total.alias("n")).select(F.lit("B20").alias("branch"), "n")
 
 
-def _multiplied(left: DataFrame, right: DataFrame, key: str, n: str, partners: str) -> DataFrame:
-    """Row counts of a left outer join: ``n`` times the partners, at least once."""
-    joined = left.join(right, key, "left")
-    return joined.withColumn("rows", F.col(n) * F.coalesce(partners, F.lit(1))).drop(n, partners)
+def _rows(partners: str) -> Column:
+    """Rows a left outer join gives a group: each as often as it has partners, or once."""
+    return F.sum(F.coalesce(partners, F.lit(1)))
