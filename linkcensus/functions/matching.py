@@ -71,7 +71,7 @@ class WatchList:
         if len(start) <= pass_chars // _MEAN_CHARS and sum(map(len, start)) <= pass_chars:
             self._only = Terms(start, self._wildcards)
         else:
-            chars = self._terms.agg(F.sum(F.length("match_term")).alias("n")).first().n
+            chars = self._terms.distinct().agg(F.sum(F.length("match_term")).alias("n")).first().n
             self.n_passes = 1 + chars // pass_chars
 
     def passes(self) -> Iterator[Terms]:

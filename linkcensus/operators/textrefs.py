@@ -34,21 +34,21 @@ TEXT_BRANCHES = (*OWN_TEXT, *CHILD_TEXT)
 
 
 def searched_rows(branch: str, tables: Mapping[str, DataFrame], scope: Scope) -> DataFrame:
-    """Rows whose text is searched for ``branch``: ``key, text`` and maybe ``text2``."""
+    """Rows searched for ``branch``: ``kind, key, text`` and perhaps ``text2``."""
     if branch in OWN_TEXT:
         table, columns = OWN_TEXT[branch]
         df = tables[table].filter(scope.at_site())
         if branch == "B14":
             df = df.filter(scope.open_request())
-        key = F.lit(None).cast("bigint")
+        key = "CAST(NULL AS BIGINT)"
     else:
-        table, parent, columns = CHILD_TEXT[branch]
-        key = F.col(parent)
-        df = tables[table].filter(key.isNotNull())
+        table, key, columns = CHILD_TEXT[branch]
+        df = tables[table].filter(f"{key} IS NOT NULL")
         # An activity has a site of its own; the other children take the parent's.
         if branch == "B18":
             df = df.filter(scope.at_site())
-    return df.select(key.alias("key"), *[F.col(c).alias(a) for c, a in zip(columns, ("text", "text2"))])
+    texts = [f"{c} AS {name}" for c, name in zip(columns, ("text", "text2"))]
+    return df.selectExpr(f"'{branch}' AS kind", f"{key} AS key", *texts)
 
 
 def text_counts(

@@ -45,7 +45,7 @@ def find_hits(
         )
         searched.append(attachments.filter(F.col("kind").isin(kinds) & F.col("key").isNotNull()))
     for branch in sorted(branches & set(TEXT_BRANCHES)):
-        searched.append(searched_rows(branch, tables, scope).withColumn("kind", F.lit(branch)))
+        searched.append(searched_rows(branch, tables, scope))
     if "B20" in branches:
         versions = tables["stdprocedureversn"].selectExpr(
             "'B20' AS kind", "stdprocedureversionoi AS key", "stdprocedure_oi AS key2", "docmgmtfile AS text"

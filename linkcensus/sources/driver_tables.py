@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkcensus.sources.tables import Tables
+from linkcensus.sources.watchlist import watchlist_from_rows
 
 # Parameters that go with this binding.
 SITES = (3, 7, 11, 17, 19, 23)
@@ -91,4 +92,4 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def driver_watchlist(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u,) for u in WATCHLIST], "url_pref string")
+    return watchlist_from_rows(spark, WATCHLIST)

@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linkcensus.model import SCHEMAS
 
 
 def conform(name: str, df: DataFrame) -> DataFrame:
     """Keep the columns of logical table ``name``, cast to its types."""
-    schema = T.StructType.fromDDL(SCHEMAS[name])
-    missing = [f.name for f in schema if f.name not in df.columns]
+    columns = [c.split() for c in SCHEMAS[name].split(", ")]
+    missing = [c for c, _ in columns if c not in df.columns]
     if missing:
         raise ValueError(f"table {name} lacks column(s) {', '.join(missing)}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*[f"CAST({c} AS {kind}) AS {c}" for c, kind in columns])
 
 
 class Tables(Mapping[str, DataFrame]):

@@ -16,7 +16,8 @@ def _not_blank(column: str) -> Column:
 
 def watchlist_from_rows(spark: SparkSession, urls: Iterable[str]) -> DataFrame:
     """A watch-list from values in the program; null and blank entries go."""
-    return spark.createDataFrame([(u,) for u in urls], "url_pref string").filter(_not_blank("url_pref"))
+    rows = spark.createDataFrame([(u,) for u in urls], "url_pref string").coalesce(1)
+    return rows.filter(_not_blank("url_pref"))
 
 
 def watchlist_from_text(spark: SparkSession, path: str) -> DataFrame:

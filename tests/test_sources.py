@@ -1,5 +1,7 @@
 """Watch-lists, URL normalization and table bindings."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,17 @@ def test_site_table(spark):
     assert at_listed_sites(df, sites).count() == 2
 
 
-def test_shared_folder_follows_the_session(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_folder(spark) == named if named else shared_folder(spark)
+@pytest.mark.parametrize(
+    "conf, folder",
+    [
+        ({"spark.checkpoint.dir": "hdfs:///shared", "spark.master": "yarn"}, "hdfs:///shared"),
+        ({"spark.checkpoint.dir": "/shared", "spark.master": "local[2]"}, "/shared"),
+        ({"spark.master": "yarn"}, None),
+    ],
+)
+def test_shared_folder_is_the_one_the_cluster_names(conf, folder):
+    assert shared_folder(SimpleNamespace(conf=conf)) == folder
+
+
+def test_local_spark_without_a_shared_folder_gets_its_own():
+    assert "linkcensus-" in shared_folder(SimpleNamespace(conf={"spark.master": "local[2]"}))
