@@ -7,6 +7,8 @@ Terms are lower-case, fields are compared in lower case.
   URLs of one host costs about as much as a single ``contains``.
 * more terms: compiled regular expressions over whole Arrow batches, each for a few
   hundred terms; a linear scan whose cost hardly depends on how many they are.
+* in both cases a test for characters all terms share, ``://`` in a list of URLs,
+  comes first and spares most fields everything else.
 * lists too large for one task's memory: see ``WatchList.passes``.
 """
 
@@ -114,8 +116,26 @@ def _contains_any(terms: Terms, column: str) -> Column:
     if not groups and not terms.patterns:
         return F.lit(False)
     if len(terms.literals) + len(terms.patterns) > JVM_TERMS or len(groups) + len(terms.patterns) > JVM_PROBES:
-        return _by_regex(terms, column)
+        found = _by_regex(terms, column)
+    else:
+        found = _by_expression(terms, groups, column)
+    piece = None if terms.patterns else _caseless_piece(terms.literals)
+    return F.col(column).contains(piece) & found if piece else found
 
+
+def _caseless_piece(literals: list[str]) -> str | None:
+    """Three or more ASCII characters without case that all terms share, if any.
+
+    Lower-casing neither changes nor creates such characters, so a field without the
+    piece (``://`` for a list of URLs) is ruled out as it is, before anything else.
+    """
+    runs = re.findall(r"[\x00-@\[-`{-\x7f]{3,64}", min(literals, key=len))
+    pieces = {run[i:j] for run in runs for i in range(len(run)) for j in range(i + 3, len(run) + 1)}
+    shared = [p for p in pieces if all(p in t for t in literals)]
+    return max(shared, key=lambda p: (len(p), p), default=None)
+
+
+def _by_expression(terms: Terms, groups: list[list[str]], column: str) -> Column:
     def test(text: Column) -> Column:
         probes = [_probe(text, g) for g in groups]
         # LIKE takes a backslash as an escape unless it is doubled.

@@ -45,7 +45,7 @@ def test_against_brute_force(spark, monkeypatch, texts, way, mode):
     df, rows = texts
     rng = random.Random(9)
     lists = [["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(1, 4))).lower() for _ in range(6)] for _ in range(5)]
-    lists += [["bk"], ["ai"], ["ib"], ["a_b"], ["a%b"], ["%"], ["_"], ["a\\q", "\\_"], ["bé", "k."], ["si"], []]
+    lists += [["bk"], ["ai"], ["ib"], ["a_b"], ["a%b"], ["%"], ["_"], ["a\\q", "\\_"], ["bé", "k."], ["si"], ["/.:", "k/.:a"], ["./", "s./:", "a./:"], []]
     for terms in lists:
         found = df.filter(contains_any(Terms(terms, wildcards=mode == "like"), "text")).select("id").collect()
         assert {r.id for r in found} == {i for i, t in rows.items() if brute(t, terms, mode)}, terms
@@ -53,10 +53,19 @@ def test_against_brute_force(spark, monkeypatch, texts, way, mode):
 
 def test_shared_beginnings(spark):
     urls = [f"https://host.example/part/{p}" for p in ("a", "ab", "b/c", "b/d", "x")]
-    df = spark.createDataFrame([(u.upper(),) for u in urls] + [("https://host.example/part/z",), (None,)], "text string")
+    rows = [(u.upper(),) for u in urls] + [("https://host.example/part/z",), ("host.example/part/a",), (None,)]
+    df = spark.createDataFrame(rows, "text string")
     assert df.filter(contains_any(Terms(urls), "text")).count() == 5
 
 
+def test_shared_piece_without_case():
+    piece = matching._caseless_piece
+    assert piece(["https://a.b/c", "http://d"]) == "://"
+    assert piece(["https://1.2/c", "http://1.2/d"]) == "://1.2/"
+    assert piece(["https://a", "b.c"]) is None
+    assert piece(["é://é", "x://"]) == "://"
+
+
 def test_reduction_drops_only_covered_terms():
     assert without_covered(sorted(["ab", "abc", "xab", "b/c", "q"], key=len)) == ["q", "ab", "b/c"]
     assert Terms(["a_b", "a_bc"], wildcards=True).patterns == ["a_b", "a_bc"]
