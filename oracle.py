@@ -75,7 +75,7 @@ def mentions(*columns: str) -> str:
     return f"EXISTS (SELECT 1 FROM watch w WHERE {test})"
 
 
-def _select_branch(code: str, sites: tuple[int, ...] | None) -> tuple[str, tuple[str, ...]]:
+def branch_count_sql(code: str, sites: tuple[int, ...] | None) -> tuple[str, tuple[str, ...]]:
     """The count of one branch and the logical tables it reads."""
 
     def here(alias: str) -> str:
@@ -152,12 +152,12 @@ def with_tables(tables, sql: str, watch: str | None = None) -> str:
 
 
 def branch_sql(code: str, sites=SITES, watch: str = RAW_WATCH) -> str:
-    count, tables = _select_branch(code, sites)
+    count, tables = branch_count_sql(code, sites)
     return with_tables(tables, f"SELECT '{BRANCHES[code]}' AS entity, ({count}) AS count_value", watch)
 
 
 def report_sql(sites=SITES, watch: str = RAW_WATCH) -> str:
-    parts = [f"SELECT '{BRANCHES[b]}' AS entity, ({_select_branch(b, sites)[0]}) AS n" for b in BRANCHES]
+    parts = [f"SELECT '{BRANCHES[b]}' AS entity, ({branch_count_sql(b, sites)[0]}) AS n" for b in BRANCHES]
     union = " UNION ALL ".join(parts)
     return with_tables(
         BOUND, f"SELECT entity, CAST(sum(n) AS BIGINT) AS total_count FROM ({union}) GROUP BY entity ORDER BY entity", watch

@@ -51,4 +51,4 @@ def duck_branches(rows, sites, watch) -> dict[str, int]:
         if values:
             con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(columns))})", frame.values.tolist())
     con.execute(f"CREATE TABLE watch AS {watch}")
-    return {b: con.sql(oracle._select_branch(b, sites)[0]).fetchall()[0][0] for b in oracle.BRANCHES}
+    return {b: con.sql(oracle.branch_count_sql(b, sites)[0]).fetchall()[0][0] for b in oracle.BRANCHES}

@@ -4,8 +4,9 @@ import re
 
 import pytest
 
-from linkcensus import BRANCHES, Scope, branch_counts, watch_list
+from linkcensus import BRANCHES, Scope, branch_counts, frames, watch_list
 from linkcensus.operators import keys
+from linkcensus.operators.attachments import container_owners
 from linkcensus.operators.staging import Staging
 from linkcensus.plans.census import find_hits
 from linkcensus.sources.driver_tables import SITES, driver_tables, driver_watchlist
@@ -58,3 +59,31 @@ def test_no_nested_loops_anywhere(spark):
     tables, watch = driver_tables(spark, SF_DIR), watch_list(driver_watchlist(spark), "instr")
     plan = plan_of(branch_counts(tables, watch, Scope(sites=SITES)))
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_hot_order_of_tasks_is_split(spark):
+    """The one join of raw rows: AQE splits the partition of a hot order."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    }
+    tasks = spark.range(0, 200_000, 1, 8).selectExpr(
+        "id AS workordertaskoi", "IF(id % 3 = 0, 7, id) AS workorder_oi", "id AS attachmentco_oi", "'' AS longdescript"
+    )
+    orders = spark.range(0, 200_000, 1, 8).selectExpr(
+        "id AS workordersoi", "3 AS site_oi", "1 AS wostatus", "id AS attachmentco_oi"
+    )
+    containers = spark.range(0, 200_000, 1, 8).selectExpr("id AS attachmentcontaineroi")
+    tables = frames({"workordertask": tasks, "workorders": orders, "attcontainter": containers})
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        owners = container_owners({"B09"}, tables, Scope(sites=(3,)), None)
+        assert len(owners.collect()) == 200_000
+        assert "SortMergeJoin(skew=true)" in plan_of(owners)
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
