@@ -71,14 +71,10 @@ def _union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def branch_counts(
-    tables: Mapping[str, DataFrame],
-    watch: WatchList,
-    scope: Scope = Scope(),
-    branches: Collection[str] = tuple(BRANCHES),
-    stage: bool = True,
+def _counts(
+    tables: Mapping[str, DataFrame], watch: WatchList, scope: Scope, branches: Collection[str], stage: bool
 ) -> DataFrame:
-    """``branch, entity, count_value`` with a row for every branch asked for."""
+    """``branch, entity, n``: a zero for every branch asked for, and what was counted."""
     wanted = set(branches)
     spark = tables["attachment"].sparkSession
     staging = Staging(spark, stage)
@@ -104,12 +100,19 @@ def branch_counts(
     asked = sorted(wanted)
     zeros = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{b}', 0L)" for b in asked) + " AS z(branch, n)")
     entity = "CASE branch " + " ".join(f"WHEN '{b}' THEN '{BRANCHES[b]}'" for b in asked) + " END AS entity"
-    return (
-        reduce(DataFrame.unionByName, [zeros, *counts])
-        .groupBy("branch")
-        .agg(F.sum("n").alias("count_value"))
-        .selectExpr("branch", entity, "count_value")
-    )
+    return reduce(DataFrame.unionByName, [zeros, *counts]).selectExpr("branch", entity, "n")
+
+
+def branch_counts(
+    tables: Mapping[str, DataFrame],
+    watch: WatchList,
+    scope: Scope = Scope(),
+    branches: Collection[str] = tuple(BRANCHES),
+    stage: bool = True,
+) -> DataFrame:
+    """``branch, entity, count_value`` with a row for every branch asked for."""
+    counts = _counts(tables, watch, scope, branches, stage)
+    return counts.groupBy("branch", "entity").agg(F.sum("n").alias("count_value"))
 
 
 def watch_list(watchlist: DataFrame, mode: str, pass_chars: int = PASS_CHARS) -> WatchList:
@@ -130,5 +133,7 @@ def census(
     stage: bool = True,
 ) -> DataFrame:
     """The report: ``entity, total_count`` for every entity, ordered by entity."""
-    counts = branch_counts(tables, watch_list(watchlist, mode), scope, stage=stage)
-    return counts.groupBy("entity").agg(F.sum("count_value").alias("total_count")).orderBy("entity")
+    counts = _counts(tables, watch_list(watchlist, mode), scope, BRANCHES, stage)
+    totals = counts.groupBy("entity").agg(F.sum("n").alias("total_count"))
+    # Always as many rows as there are entities, so one task sorts them without sampling.
+    return totals.coalesce(1).sortWithinPartitions("entity")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ def _not_blank(column: str) -> Column:
 
 def watchlist_from_rows(spark: SparkSession, urls: Iterable[str]) -> DataFrame:
     """A watch-list from values in the program; null and blank entries go."""
-    rows = spark.createDataFrame([(u,) for u in urls], "url_pref string").coalesce(1)
-    return rows.filter(_not_blank("url_pref"))
+    rows = pa.table({"url_pref": pa.array(list(urls), pa.string())})
+    return spark.createDataFrame(rows).filter(_not_blank("url_pref"))
 
 
 def watchlist_from_text(spark: SparkSession, path: str) -> DataFrame:
