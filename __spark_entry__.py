@@ -21,6 +21,16 @@ from linkcensus.operators.scope import at_listed_sites  # noqa: E402
 from linkcensus.operators.staging import Staging  # noqa: E402
 from linkcensus.sources.driver_tables import SITES, driver_tables, driver_watchlist  # noqa: E402
 
+try:  # the training-data operators are a subpackage of their own, and may be absent
+    import corpus_pipeline
+    from linkcensus.llm.queries import ORACLES, QUERIES
+except ImportError as error:
+    if not (error.name or "").startswith(("corpus_pipeline", "linkcensus.llm", "public_tokenizers")):
+        raise
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES, LLM_ORACLES = {**QUERIES, "pipeline": corpus_pipeline.run}, ORACLES
+
 Query = Callable[[SparkSession, str], DataFrame]
 SCOPED = Scope(sites=SITES)
 
@@ -158,6 +168,7 @@ def queries() -> dict[str, Query]:
         "report_scoped_like": report_scoped_like,
         "report_scoped_normalized": report_scoped_normalized,
         "report_all_sites_like": report_all_sites_like,
+        **LLM_QUERIES,
     }
 
 
@@ -219,4 +230,5 @@ def oracle_sql() -> dict[str, str]:
         "report_scoped_like": oracle.report_sql(),
         "report_scoped_normalized": oracle.report_sql(watch=oracle.NORMALIZED_WATCH),
         "report_all_sites_like": oracle.report_sql(sites=None),
+        **LLM_ORACLES,
     }
