@@ -7,7 +7,7 @@ that span at most SPAN letters, the products of their weights DECAY ** span; a l
 into an insult or taken out of it changes few of them. Each unit is divided by the norm
 that its length gives. A sentence's value is its best unit's, a text's its best sentence's.
 
-Training takes sentences with the label of their text (at most TRAIN_DOCS texts of each class,
+Training takes sentences with the label of their text (at most TRAIN_DOCS documents of each class,
 the first by hash). A toxic text needs one toxic unit only, so training goes in rounds: each
 toxic text names its most telling unit, a machine is trained on these against units of
 clean texts, the clean units it gets wrong join, and texts name their units anew. Landmarks are the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from linkcensus.llm.common import text_chunks, words_of
 
-TRAIN_DOCS = 4_000
+TRAIN_DOCS = 3_000
 CLEAN_UNITS = 6_000
 HARD_UNITS = 3_000
 LANDMARKS = 240
@@ -185,16 +185,17 @@ def _best(values: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarr
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """The model of docs (doc_id, text) that have a label (doc_id, toxic).
 
-    A bounded sample of distinct texts is fetched: TRAIN_DOCS of each class, the first by
-    hash. A text with both labels counts as toxic. Null texts and labels are left out. With one class, or no
+    A bounded sample is fetched: TRAIN_DOCS documents of each class, the first by the
+    hash of their id. A text with both labels counts as toxic. Null texts and labels are left out. With one class, or no
     row, the model gives that class's score, or 0, to every text.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(marked, "doc_id").select("text", "toxic")
-    first = [rows.filter(F.col("toxic") == c).select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(TRAIN_DOCS) for c in (0, 1)]
-    clean, toxic = ([r["text"] for r in x.select("text").collect()] for x in first)
-    toxic = list(dict.fromkeys(toxic))
-    clean = list(dict.fromkeys(t for t in clean if t not in set(toxic)))
+    marked = marked.join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi")
+    first = [marked.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for c in (0, 1)]
+    sample = F.broadcast(first[0].unionByName(first[1]))  # at most 2 TRAIN_DOCS ids
+    rows = docs.select("doc_id", "text").filter("text is not null").join(sample, "doc_id").select("text", "toxic").collect()
+    toxic = sorted({r["text"] for r in rows if r["toxic"]})
+    clean = sorted({r["text"] for r in rows if not r["toxic"]} - set(toxic))
     if not clean or not toxic:
         return ToxicityModel(np.zeros(1, "float32"), 0.0, 1.0, 0.0, prior=float(bool(toxic)))
     return fit(toxic, clean)
@@ -241,8 +242,8 @@ def hash_of(unit: str) -> int:
 
 
 def _texts_with(codes: np.ndarray, units: list[str], counts: np.ndarray) -> Counter[str]:
-    pairs = np.unique(np.stack([np.repeat(np.arange(len(counts)), counts), codes], 1), axis=0)
-    n = np.bincount(pairs[:, 1], minlength=len(units))
+    pairs = np.unique(np.repeat(np.arange(len(counts)), counts) * len(units) + codes)
+    n = np.bincount(pairs % max(1, len(units)), minlength=len(units))
     return Counter({u: int(k) for u, k in zip(units, n, strict=True) if k})
 
 
