@@ -60,16 +60,14 @@ def judged(captures: DataFrame, intervals: DataFrame, lists: tuple[str, str] = (
     """
     block, allow = lists
     captures = captures.select("capture_id", "url", "fetched_on")
-    depth = F.broadcast(
-        intervals.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("_depth"))
-    )
+    depth = intervals.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).scalar()
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     names = captures.withColumns({"_host": host, "_segments": F.split(path, "/"), "_labels": F.split(host, r"\.")})
-    names = names.join(depth)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), ".")
     )
-    deepest = F.least(F.size("_segments"), F.col("_depth"))
+    names = names.withColumn("_deepest", F.least(F.size("_segments"), depth))
+    deepest = F.col("_deepest")
     prefixes = F.transform(
         F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>")),
         lambda i: F.concat(F.col("_host"), F.lit("/"), F.array_join(F.slice("_segments", 1, i), "/")),
@@ -78,9 +76,9 @@ def judged(captures: DataFrame, intervals: DataFrame, lists: tuple[str, str] = (
     looked_up = names.select(
         "capture_id", "url", "fetched_on", _period(F.col("fetched_on")).alias("_period"), F.explode_outer(patterns).alias("pattern")
     )
-    last = F.broadcast(captures.agg(F.max("fetched_on").alias("_last")))
-    until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("_last")), F.col("_last"))
-    cut = intervals.join(last).filter("valid_from <= _last").select(
+    last = captures.agg(F.max("fetched_on")).scalar()
+    until = F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)
+    cut = intervals.filter(F.col("valid_from") <= last).select(
         "list",
         "pattern",
         "valid_from",
