@@ -160,7 +160,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) of docs (doc_id long, text): the component's smallest doc_id.
 
     Null, empty and wordless texts have no shingle and are linked with nothing. Rows with
@@ -169,7 +169,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     table = stored(texts.mapInArrow(_nodes, "doc_id long, n_shingles long, node long"), "jaccard-nodes")
-    links = _links(texts, table.filter("n_shingles > 0"))
+    links = _links(texts, table.filter("n_shingles > 0"), crowd)
     roots = components(links)
     first = table.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("own"))
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -198,12 +198,12 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"][a:b], "n_shingles": sizes.astype("int64"), "node": node_ids(values, sizes)})
 
 
-def _links(texts: DataFrame, table: DataFrame) -> DataFrame:
+def _links(texts: DataFrame, table: DataFrame, crowd: int) -> DataFrame:
     """(a, b): nodes that are similar, enough of them to join all that are connected."""
     signed = texts.select("text").mapInArrow(_signed(_popular(texts)), "signature long, node long")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = signed.repartition(parts, "signature").sortWithinPartitions("signature", "node")
-    found = stored(ordered.mapInArrow(_candidates, "crowd long, a long, b long").distinct(), "jaccard-candidates")
+    found = stored(ordered.mapInArrow(lambda rows: _candidates(rows, crowd), "crowd long, a long, b long").distinct(), "jaccard-candidates")
     pairs = found.filter("b is not null").select("a", "b").distinct()
     crowds = found.filter("b is null").select("crowd", F.col("a").alias("node"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct()
@@ -249,9 +249,9 @@ def _signed(popular: np.ndarray):
     return sign
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """From rows in order of signature and node: pairs of small buckets (crowd null), and of large ones the members
-    (b null) and pairs with the leaders. A bucket larger than CROWD is passed on as it comes and never held."""
+    (b null) and pairs with the leaders. A bucket of over `most` is passed on as it comes and never held."""
     signature, node = np.empty(0, "int64"), np.empty(0, "int64")
     large: tuple[int, np.ndarray] | None = None  # the signature of an open large bucket and its leaders
     for batch in batches:
@@ -266,13 +266,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(signature):
             continue
         last = int(np.searchsorted(signature, signature[-1], "left"))
-        yield from _buckets(signature[:last], node[:last])
+        yield from _buckets(signature[:last], node[:last], most)
         signature, node = signature[last:], node[last:]
-        if len(np.unique(node)) > CROWD:
+        if len(np.unique(node)) > most:
             large = (int(signature[0]), np.unique(node)[:LEADERS])
             yield _crowd(large, node)
             signature, node = signature[:0], node[:0]
-    yield from _buckets(signature, node)
+    yield from _buckets(signature, node, most)
 
 
 def _found(crowd: np.ndarray | list, a: np.ndarray, b: np.ndarray | list) -> pa.RecordBatch:
@@ -288,7 +288,7 @@ def _crowd(large: tuple[int, np.ndarray], nodes: np.ndarray) -> pa.RecordBatch:
     return _found(crowd, np.concatenate([nodes, np.minimum(a, b)]), pa.concat_arrays([pa.array(none, "int64"), pa.array(np.maximum(a, b), "int64")]))
 
 
-def _buckets(signature: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _buckets(signature: np.ndarray, node: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     if not len(signature):
         return
     new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])])
@@ -296,7 +296,7 @@ def _buckets(signature: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch
     start = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
     size = np.diff(np.append(start, len(signature)))
     left, right = [], []
-    for m in range(2, CROWD + 1):
+    for m in range(2, most + 1):
         first = start[size == m]
         if len(first):
             i, j = np.triu_indices(m, 1)
@@ -305,7 +305,7 @@ def _buckets(signature: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch
     if left:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         yield _found(pa.nulls(len(pairs), "int64"), np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
-    for at, m in zip(start[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+    for at, m in zip(start[size > most].tolist(), size[size > most].tolist(), strict=True):
         own = node[at : at + m]
         yield _crowd((int(signature[at]), own[:LEADERS]), own)
 
@@ -367,12 +367,14 @@ def _crowd_links(crowds: DataFrame, links: DataFrame, sets: DataFrame) -> DataFr
     others = dealt.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("strays") - 1)))
     columns = ["crowd", "i", "j", "node", "part", "shingles"]
     keys = ["crowd", "i", "j"]
-    met = strays.select(columns).groupBy(keys).cogroup(others.select(columns).groupBy(keys))
+    others = others.select(*(F.col(c).alias(f"other_{c}") for c in columns))
+    met = strays.select(columns).groupBy(keys).cogroup(others.groupBy([f"other_{k}" for k in keys]))
     return met.applyInPandas(_across, "a long, b long").distinct()
 
 
 def _across(strays: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     """For each stray a link to each other component that it is similar to a member of."""
+    others = others.rename(columns=lambda c: c.removeprefix("other_"))
     sets = [np.frombuffer(x, "uint64") for x in others["shingles"]]
     flat = np.concatenate(sets) if sets else np.empty(0, "uint64")
     size = np.array([len(x) for x in sets], "int64")
