@@ -39,11 +39,11 @@ from linkcensus.llm.common import coded_words, shared_folder, text_chunks
 
 MAGIC = b"LCREPAIR"
 END_ID = 1
-SHARD_BYTES = 24 << 20  # of text, before encoding
+SHARD_BYTES = 12 << 20  # of text, before encoding
 PAIRS_A_ROUND = 4096
 LEAST_COUNT = 24
 ROUNDS = 5
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 200_000
 _STOPS, _PLAIN = ".,;:!?", "\u0130"
 _SLOTS = 18
 _HASH = np.uint32(0x9E3779B1)
