@@ -39,7 +39,7 @@ from linkcensus.llm.common import remainder, shared_folder, stored, text_chunks,
 SHARD_TOKENS = 2_000_000
 MAX_SHARDS = 1 << 14
 SAMPLE_MOD = 61
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 END, START = np.int64(-1), np.int64(-2)
 FILE, COUNTS, HOT, WORD = 0, 1, 2, 3
 _ROWS = "kind int, key long, path string, a long, b long, c long, d long"
@@ -236,7 +236,7 @@ def train(docs: DataFrame, text_col: str = "text") -> KneserNey:
         for batch in batches:
             for a, b in text_chunks(batch["text"], CHUNK_BYTES):
                 held.append(_bigrams(*tokens(batch["text"][a:b]))[:3])
-                if sum(len(x[0]) for x in held) > 3 * SHARD_TOKENS:
+                if sum(len(x[0]) for x in held) > 2 * SHARD_TOKENS:
                     yield from _blobs(held, hot, shards)
                     held = []
         if held:
