@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from linkcensus.llm.common import coded_words, text_chunks
 
-PIECES = 20_000
+PIECES = 40_000
 LONGEST = 128
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 4 << 20
 MEMORY = "250MB"
-KNOWN_PIECES = 150_000
+KNOWN_PIECES = 300_000
 # a blank next to white space
 _WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _DOUBTFUL = f" {_WHITE}|{_WHITE} "
@@ -224,6 +224,7 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = F
                 if decoded:
                     columns["decoded"] = pa.array(codec.decode(ids, counts), "binary")
                 yield pa.RecordBatch.from_pydict(columns)
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(encoded, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
