@@ -6,7 +6,8 @@ Terms are lower-case, fields are compared in lower case.
   with a common beginning share a cheap test for that beginning, so that a list of
   URLs of one host costs about as much as a single ``contains``.
 * more terms: compiled regular expressions over whole Arrow batches, each for a few
-  hundred terms; a linear scan whose cost hardly depends on how many they are.
+  hundred terms; a scan whose cost grows slowly with the list (25 MB of text: 200
+  terms 0.5 s, 8,000 terms 1.0 s, 30,000 terms 2.5 s).
 * in both cases a test for characters all terms share, ``://`` in a list of URLs,
   comes first and spares most fields everything else.
 * lists too large for one task's memory: see ``WatchList.passes``.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from linkcensus.sources.tables import Tables
 from linkcensus.sources.watchlist import watchlist_from_rows
@@ -82,10 +81,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def load(name: str) -> DataFrame:
         table, columns = _BINDINGS[name]
-        df = scan(table)
-        if name == "standardjob":
-            df = df.filter(F.col("lang") == "en")
-        df = df.selectExpr(*columns)
+        df = scan(table).selectExpr(*columns)
         return df.distinct() if name == "attcontainter" else df
 
     return Tables(load)

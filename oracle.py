@@ -19,7 +19,7 @@ BOUND = {
     "mtceschedule": f"SELECT c_nationkey site_oi, c_custkey % {_C} attachmentco_oi FROM customer",
     "project": f"SELECT s_nationkey site_oi, (s_suppkey * 7) % {_C} attachmentco_oi FROM supplier",
     "standardtask": f"SELECT doc_id % 25 site_oi, doc_id % {_C} attachmentco_oi, text longdescript FROM documents",
-    "standardjob": "SELECT n_chars % 25 site_oi, text longdescript FROM documents WHERE lang = 'en'",
+    "standardjob": "SELECT n_chars % 25 site_oi, text longdescript FROM documents",
     "workorders": "SELECT o_orderkey workordersoi, o_custkey % 25 site_oi,"
                   f" CAST(substr(o_orderpriority, 1, 1) AS INTEGER) wostatus, o_orderkey % {_C} attachmentco_oi FROM orders",
     "workordertask": f"SELECT doc_id workordertaskoi, doc_id workorder_oi, doc_id % {_C} attachmentco_oi, text longdescript FROM documents",
