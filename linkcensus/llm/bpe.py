@@ -79,14 +79,15 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.known: dict[str, list[int]] = {}
         ranks = self.ranks
-        pairs = [
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        pairs = (
             (ranks[a], ranks[b], rank)
             for token, rank in ranks.items()
             for i in range(1, len(token))
             if (a := token[:i]) in ranks and (b := token[i:]) in ranks
-        ]
-        self.merges = {(a, b): rank for a, b, rank in pairs}
-        self._table("merges", np.array(pairs, dtype="int32").reshape(-1, 3), ["first", "second", "merged"])
+        )
+        merges = np.fromiter(itertools.chain.from_iterable(pairs), "int32").reshape(-1, 3)
+        self._table("merges", merges, ["first", "second", "merged"])
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), "int32"), "hex": [t.hex() for t in ranks]})
         self.db.register("given", vocabulary)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
@@ -139,8 +140,12 @@ class Codec:
     def _long(self, piece: bytes) -> list[int]:
         """The same contraction for one long piece: a heap of (rank, position) over a linked list."""
         ids = [self.ranks[bytes([b])] for b in piece]
+
+        def merge(a: int, b: int) -> int | None:
+            return self.ranks.get(self.tokens[a] + self.tokens[b])
+
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.merges.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := merge(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         gone = [False] * len(ids)
         while heap:
@@ -152,7 +157,7 @@ class Codec:
             if after[i] < len(ids):
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(ids) and (r := self.merges.get((ids[x], ids[y]))) is not None:
+                if x >= 0 and y < len(ids) and (r := merge(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x, dead in zip(ids, gone, strict=True) if not dead]
 
