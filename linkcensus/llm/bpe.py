@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 from linkcensus.llm.common import coded_words, text_chunks
 
-PIECES = 40_000
 LONGEST = 128
-CHUNK_BYTES = 4 << 20
+RECURSION_ROWS = 4_000_000  # the squares of the lengths of the pieces of one recursion add up to this
+DECODED_IDS = 500_000  # ids that one query decodes
+CHUNK_BYTES = 8 << 20
 MEMORY = "250MB"
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 300_000  # of either generation of the cache
 # a blank next to white space
 _WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _DOUBTFUL = f" {_WHITE}|{_WHITE} "
@@ -77,7 +78,8 @@ class Codec:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         ranks = self.ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         pairs = (
@@ -105,23 +107,27 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each of the distinct pieces."""
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the distinct pieces, as the bytes of 32-bit integers."""
         data = [p.encode() for p in pieces]
-        out: list[list[int]] = [[] for _ in data]
+        out = [b""] * len(data)
         rows = []
         for i, piece in enumerate(data):
             if (rank := self.ranks.get(piece)) is not None:
-                out[i] = [rank]
+                out[i] = _packed([rank])
             elif len(piece) > LONGEST:
-                out[i] = self._long(piece)
+                out[i] = _packed(self._long(piece))
             else:
                 rows.append(i)
-        for at in range(0, len(rows), PIECES):
-            self._contract(data, rows[at : at + PIECES], out)
+        upto = np.cumsum([len(data[i]) ** 2 for i in rows])
+        at = 0
+        while at < len(rows):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + RECURSION_ROWS, "right")))
+            self._contract(data, rows[at:stop], out)
+            at = stop
         return out
 
-    def _contract(self, data: list[bytes], rows: list[int], out: list[list[int]]) -> None:
+    def _contract(self, data: list[bytes], rows: list[int], out: list[bytes]) -> None:
         size = np.array([len(data[i]) for i in rows])
         first = np.array([self.ranks[bytes([b])] for b in range(256)], dtype="int32")
         start = np.full((size.sum(), 5), -1, "int32")
@@ -132,10 +138,11 @@ class Codec:
         start[np.cumsum(size) - 1, 3:] = -1  # a piece's last token has no next one
         self._table("start", start, ["piece", "pos", "id", "next_pos", "next_id"])
         found = self.db.execute(_MERGE).fetchnumpy()
-        piece, ids = found["piece"], found["id"]
+        piece, ids = found["piece"], found["id"].astype("int32").tobytes()
         begin = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-        for i, own in zip(piece[begin].tolist(), np.split(ids, begin[1:]), strict=True):
-            out[i] = own.tolist()
+        ends = (4 * np.append(begin[1:], len(piece))).tolist()
+        for i, a, b in zip(piece[begin].tolist(), (4 * begin).tolist(), ends, strict=True):
+            out[i] = ids[a:b]
 
     def _long(self, piece: bytes) -> list[int]:
         """The same contraction for one long piece: a heap of (rank, position) over a linked list."""
@@ -180,37 +187,45 @@ class Codec:
         used = np.zeros(len(stretches), "bool")
         used[code] = True
         matches = [self.pattern.findall(s) if u else [] for s, u in zip(stretches, used.tolist(), strict=True)]
-        pieces = {p: i for i, p in enumerate(dict.fromkeys(itertools.chain.from_iterable(matches)))}
-        found = self._known(list(pieces))
-        own = [list(itertools.chain.from_iterable(found[pieces[p]] for p in m)) if len(m) != 1 else found[pieces[m[0]]] for m in matches]
-        size = np.array([len(x) for x in own], dtype="int64")
-        flat = np.fromiter(itertools.chain.from_iterable(own), "int32", size.sum())
+        found = self._known(set(itertools.chain.from_iterable(matches)))
+        own = [found[m[0]] if len(m) == 1 else b"".join([found[p] for p in m]) for m in matches]
+        size = np.array([len(x) for x in own], dtype="int64") // 4
+        flat = np.frombuffer(b"".join(own), "int32")
         n = size[code]
         ids = flat[np.repeat((np.cumsum(size) - size)[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return ids, np.add.reduceat(n, start) if len(texts) else n
 
-    def _known(self, pieces: list[str]) -> list[list[int]]:
-        """As encode_pieces; pieces of the chunks before are remembered, up to KNOWN_PIECES."""
+    def _known(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of the pieces. Pieces of the chunks before are remembered, in two generations:
+
+        a full one takes the place of the older, and what is used again moves to the younger.
+        """
+        found = {p: ids for p in pieces if (ids := self.known.get(p) or self.known_before.get(p)) is not None}
+        new = list(pieces - found.keys())
+        found.update(zip(new, self.encode_pieces(new), strict=True))
         if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        self.known.update(zip(new, self.encode_pieces(new), strict=True))
-        return [self.known[p] for p in pieces]
+            self.known, self.known_before = {}, self.known
+        self.known.update(found)
+        return found
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each text from all ids in a row; a text without ids is empty."""
         out = [b""] * len(counts)
-        tokens = np.empty((len(ids), 3), "int32")
-        tokens[:, 0] = np.repeat(np.arange(len(counts)), counts)
-        tokens[:, 1] = np.arange(len(ids))
-        tokens[:, 2] = ids
-        self._table("tokens", tokens, ["piece", "pos", "id"])
-        found = self.db.execute(_DECODE).fetchnumpy()
-        for i, text in zip(found["piece"].tolist(), found["hex"].tolist(), strict=True):
-            out[i] = bytes.fromhex(text)
+        text = np.repeat(np.arange(len(counts), dtype="int32"), counts)
+        for at in range(0, len(ids), DECODED_IDS):
+            part = slice(at, at + DECODED_IDS)
+            tokens = np.stack([text[part], np.arange(len(ids[part]), dtype="int32"), ids[part]], axis=1)
+            self._table("tokens", tokens, ["piece", "pos", "id"])
+            found = self.db.execute(_DECODE).fetchnumpy()
+            for i, own in zip(found["piece"].tolist(), found["hex"].tolist(), strict=True):
+                out[i] += bytes.fromhex(own)
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="int32").tobytes()
+
+
 def with_tokens(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of docs (doc_id, text), and with `decoded` also the bytes decoded from the ids.
 

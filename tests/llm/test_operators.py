@@ -52,6 +52,21 @@ def test_bpe_of_long_pieces_equals_the_recursion(monkeypatch):
     assert codec.encode_pieces(pieces) == by_recursion
 
 
+def test_bpe_in_many_small_queries(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    texts = pa.array(["", "some unremarkable wordzs, reworded " * 40, "é" * 300, "a  b", "x"])
+    ids, counts = codec.encode(texts)
+    small = bpe.Codec(path, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "RECURSION_ROWS", 1)
+    monkeypatch.setattr(bpe, "DECODED_IDS", 7)
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 2)
+    for _ in range(3):
+        again, numbers = small.encode(texts)
+        assert again.tolist() == ids.tolist() and numbers.tolist() == counts.tolist()
+    assert [b.decode() for b in small.decode(ids, counts)] == texts.to_pylist()
+
+
 def test_id_files(spark, docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, start = Tokenizer.from_file(path), 0
