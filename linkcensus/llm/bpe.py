@@ -39,7 +39,6 @@ KNOWN_PIECES = 300_000  # of either generation of the cache
 # a blank next to white space
 _WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _DOUBTFUL = f" {_WHITE}|{_WHITE} "
-_CODECS: dict[tuple[str, str], Codec] = {}
 
 # here: rank of the pair that a token starts, times 1024, plus its position; null if it is no token
 _MERGE = """
@@ -71,7 +70,7 @@ SELECT t.piece, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN v
 
 
 class Codec:
-    """Ranks, merge table and a DuckDB connection of one worker process."""
+    """Ranks, merge table and a DuckDB connection of one task; a worker keeps none of it for later tasks."""
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as lines:
@@ -95,13 +94,6 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
 
-    @classmethod
-    def cached(cls, rank_file: str, pattern: str) -> Codec:
-        """One per worker process."""
-        if (rank_file, pattern) not in _CODECS:
-            _CODECS[rank_file, pattern] = cls(rank_file, pattern)
-        return _CODECS[rank_file, pattern]
-
     def _table(self, name: str, rows: np.ndarray, columns: list[str]) -> None:
         self.db.register("given", pa.table({c: np.ascontiguousarray(rows[:, i]) for i, c in enumerate(columns)}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
@@ -234,7 +226,7 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = F
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.cached(rank_file, pattern)
+        codec = Codec(rank_file, pattern)
         for batch in batches:
             texts = pc.fill_null(batch["text"], "")
             for a, b in text_chunks(texts, CHUNK_BYTES):
@@ -254,7 +246,7 @@ def decode_documents(tokens: DataFrame, rank_file: str, pattern: str) -> DataFra
     """(doc_id, decoded binary) of tokens (doc_id, ids array<int>). Null or empty ids give empty bytes."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.cached(rank_file, pattern)
+        codec = Codec(rank_file, pattern)
         for batch in batches:
             counts = pc.fill_null(pc.list_value_length(batch["ids"]), 0).to_numpy(zero_copy_only=False)
             ids = pc.list_flatten(batch["ids"]).to_numpy(zero_copy_only=False)

@@ -45,7 +45,7 @@ def test_bpe_equals_the_library_and_decodes(docs, nothing):
 
 
 def test_bpe_of_long_pieces_equals_the_recursion(monkeypatch):
-    codec = bpe.Codec.cached(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     pieces = ["xyzzyabcabc" * 8, "é" * 40, "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
     by_recursion = codec.encode_pieces(pieces)
     monkeypatch.setattr(bpe, "LONGEST", 4)
