@@ -40,6 +40,7 @@ GRAM = 5
 ROUNDS = 4
 DECAY, SPAN, LONGEST = 0.6, 6, 24
 SOFTNESS = 2e-3
+SOLVED_ROWS = 2_000  # rows of a step of the solver
 _NONE = -4.0  # value of a text without a unit
 _LETTERS = 32
 _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
@@ -198,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     clean = sorted({r["text"] for r in rows if not r["toxic"]} - set(toxic))
     if not clean or not toxic:
         return ToxicityModel(np.zeros(1, "float32"), 0.0, 1.0, 0.0, prior=float(bool(toxic)))
-    return fit(toxic, clean)
+    model = fit(toxic, clean)
+    pa.default_memory_pool().release_unused()  # the driver goes on with other work
+    return model
 
 
 def fit(toxic: list[str], clean: list[str]) -> ToxicityModel:
@@ -228,11 +231,12 @@ def fit(toxic: list[str], clean: list[str]) -> ToxicityModel:
 
 def _first_odds(units: list[str], in_toxic: Counter[str], in_clean: Counter[str], n_toxic: int, n_clean: int) -> np.ndarray:
     """How telling a unit is at first: the largest log odds of its stretches of GRAM letters."""
-    grams: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+    grams: tuple[Counter[str], Counter[str]] = Counter(), Counter()  # of the clean, only those of the toxic
     for own, counts in zip(grams, (in_toxic, in_clean), strict=True):
         for unit, n in counts.items():
             for g in {unit[i : i + GRAM] for i in range(len(unit) - GRAM + 1)}:
-                own[g] += n
+                if own is grams[0] or g in grams[0]:
+                    own[g] += n
     value = {g: np.log((n + 0.5) / (grams[1][g] * n_toxic / n_clean + 0.5)) for g, n in grams[0].items()}
     return np.array([max((value.get(u[i : i + GRAM], -9.0) for i in range(len(u) - GRAM + 1)), default=-9.0) for u in units])
 
@@ -260,19 +264,25 @@ def _machine(positive: list[str], weight: np.ndarray, negative: list[str]) -> tu
     landmarks = [*positive[: LANDMARKS - LANDMARKS // 3], *negative[::step][: LANDMARKS // 3]]
     bases = Units(landmarks).table()
     units = Units(positive + negative)
-    similar = np.stack([units.values(b) for b in bases], 1)
     values, vectors = np.linalg.eigh(bases @ bases.T + 1e-4 * np.eye(len(bases)))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    x = np.concatenate([similar @ root, np.ones((units.n, 1))], 1)
+    x = np.ones((units.n, len(bases) + 1))
+    for i, b in enumerate(bases):
+        x[:, i] = units.values(b)
+    x[:, :-1] = x[:, :-1] @ root
     y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
     share = np.concatenate([np.minimum(weight, 20) / np.minimum(weight, 20).sum(), np.full(len(negative), 30 / max(1, len(negative)))])
     w = np.zeros(x.shape[1])
     ridge = SOFTNESS * np.eye(len(w))
     ridge[-1, -1] = 1e-9
     for _ in range(25):
-        active = y * (x @ w) < 1
-        a = x[active] * share[active, None]
-        new = np.linalg.solve(ridge + a.T @ x[active], a.T @ y[active])
+        active = np.flatnonzero(y * (x @ w) < 1)
+        bend, pull = ridge.copy(), np.zeros(len(w))
+        for part in np.split(active, range(SOLVED_ROWS, len(active), SOLVED_ROWS)):
+            a = x[part] * share[part, None]
+            bend += a.T @ x[part]
+            pull += a.T @ y[part]
+        new = np.linalg.solve(bend, pull)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
