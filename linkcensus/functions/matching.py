@@ -15,6 +15,7 @@ Terms are lower-case, fields are compared in lower case.
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
@@ -30,7 +31,6 @@ JVM_TERMS = 64          # more terms than this are matched in Arrow batches
 JVM_PROBES = 4          # so are lists with more separate beginnings than this
 REGEX_TERMS = 400       # terms per regular expression, to stay within its automaton's memory
 REGEX_CHARS = 32_000
-REDUCE_TERMS = 2_000    # drop covered terms only in lists up to this size
 PASS_CHARS = 1_000_000  # characters of terms one task holds at a time
 _MEAN_CHARS = 20        # so a list of up to PASS_CHARS / _MEAN_CHARS terms is read in one go
 _SHARED = 8             # terms alike in this many characters are tested together
@@ -42,18 +42,25 @@ class Terms:
     def __init__(self, terms: list[str], wildcards: bool = False):
         wild = [t for t in terms if wildcards and re.search("[%_]", t)]
         self.patterns = sorted(set(wild))
-        self.literals = without_covered(sorted(set(terms) - set(wild), key=lambda t: (len(t), t)))
+        self.literals = without_covered(list(set(terms) - set(wild)))
 
 
 def without_covered(terms: list[str]) -> list[str]:
-    """Drop every term that holds a shorter one: the shorter one finds it all."""
-    if len(terms) > REDUCE_TERMS:
-        return terms
-    kept: list[str] = []
-    for term in terms:
-        if not any(k in term for k in kept):
-            kept.append(term)
-    return kept
+    """Drop every term that holds a shorter one: the shorter one finds it all.
+
+    Takes a lookup per character, for lists of any length: where no term begins
+    another, the one that begins a given text can only be the last not after it.
+    """
+    free: list[str] = []
+    for term in sorted(set(terms)):
+        if not free or not term.startswith(free[-1]):
+            free.append(term)
+
+    def covered(term: str) -> bool:
+        tails = (term[i:] for i in range(1, len(term)))
+        return any(at and tail.startswith(free[at - 1]) for tail in tails for at in [bisect_right(free, tail)])
+
+    return sorted((t for t in free if not covered(t)), key=lambda t: (len(t), t))
 
 
 class WatchList:

@@ -13,7 +13,7 @@ from linkcensus.operators.keys import key_counts, lookup, only_keys, weighted
 
 def in_hierarchy(tables: Mapping[str, DataFrame], scope: Scope, assets: DataFrame) -> DataFrame:
     """Assets with the wanted child in the closure table; never more than once."""
-    parents = tables["closure"].filter(F.col("child_oi") == scope.hierarchy_child).select("parent_oi")
+    parents = tables["closure"].filter(F.col("child_oi") == scope.hierarchy_child).select("parent_oi").distinct()
     return assets.join(parents, F.col("assetoi") == F.col("parent_oi"), "left_semi")
 
 

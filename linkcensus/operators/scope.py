@@ -14,6 +14,6 @@ def at_listed_sites(df: DataFrame, sites: DataFrame, column: str = "site_oi") ->
     The list is broadcast if a count shows it to be within BROADCAST_ROWS.
     """
     listed = sites.select(F.col(sites.columns[0]).alias("_site"))
-    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if listed.count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
     return df.join(listed, F.col(column) == F.col("_site"), "left_semi")

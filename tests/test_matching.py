@@ -71,6 +71,17 @@ def test_reduction_drops_only_covered_terms():
     assert Terms(["a_b", "a_bc"], wildcards=True).patterns == ["a_b", "a_bc"]
 
 
+def test_reduction_of_long_lists():
+    rng = random.Random(3)
+    terms = ["".join(rng.choice("ab/") for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    for some in (terms, [t for t in terms if len(t) > 7], ["", "a"], []):
+        kept: list[str] = []
+        for term in sorted(set(some), key=lambda t: (len(t), t)):
+            if not any(k in term for k in kept):
+                kept.append(term)
+        assert without_covered(some) == kept
+
+
 def test_portions_keep_every_row_once(spark):
     df = spark.createDataFrame([("aa bb",), ("aa bb",), ("bb",), ("cc",), ("none",), (None,)], "text string")
     terms = spark.createDataFrame([("aa",), ("bb",), ("cc",), ("dd",)], "match_term string")
