@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, stored as sorted hash arrays.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+`, with A-Z in lower case, and one end per text. A
 bigram's key is 64 bits: 16 that place it in a shard, from its context's hash, and 48 from both
@@ -17,11 +17,18 @@ worker's temporary folder first) and look up sorted, distinct bigrams of a few M
 Probabilities: discounts D1, D2, D3+ from counts of counts, interpolated with the
 continuation distribution (number of distinct contexts of a word), itself discounted
 likewise and interpolated with the even distribution over the V known types and one unknown.
+
+Order 3 counts trigrams (u, v, w), a text starting after two starts, and places them as the
+bigram (v, w). So a shard has all of a bigram's trigrams: the number of distinct u, which is the
+bigram's count in the middle level, is known there, and the rest follows as above with that count. The
+sums of a context (u, v) are known there too, unless v is frequent; those are passed on in
+packed blobs and added up by ranges of the context's hash in a job of their own.
 """
 
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,8 +48,10 @@ MAX_SHARDS = 1 << 14
 SAMPLE_MOD = 61
 CHUNK_BYTES = 4 << 20
 END, START = np.int64(-1), np.int64(-2)
-FILE, COUNTS, HOT, WORD = 0, 1, 2, 3
+FILE, COUNTS, HOT, WORD, PAIRS, TOP = 0, 1, 2, 3, 4, 5
 _ROWS = "kind int, key long, path string, a long, b long, c long, d long"
+#: Shards of trigrams per range of the contexts that end in a frequent word.
+PAIR_SHARDS = 8
 _PLACES = 16
 _OPEN: dict[str, np.ndarray] = {}
 
@@ -61,6 +70,17 @@ def bigram_keys(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return place << np.uint64(64 - _PLACES) | both & np.uint64((1 << 64 - _PLACES) - 1)
 
 
+def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """64-bit keys of contexts of two words."""
+    return _mixed(_mixed(u.view("uint64")) + v.view("uint64"))
+
+
+def trigram_keys(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """64-bit keys that are placed as the bigram (v, w) is."""
+    low, place = np.uint64((1 << 64 - _PLACES) - 1), bigram_keys(v, w, hot)
+    return place & ~low | _mixed(pair_keys(u, v) + w.view("uint64")) & low
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of tokens in order, hashes by code, tokens per text. The last code is the end."""
     codes, words, counts = words_of(texts)
@@ -77,12 +97,34 @@ def _bigrams(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple
     return np.append(hashes, START)[pair // len(hashes)], hashes[pair % len(hashes)], n, of
 
 
-def _summed(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (u, w) in order, with the sums of n."""
-    order = np.lexsort((w, u))
-    u, w, n = u[order], w[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.empty(0, "int64")
-    return u[new], w[new], np.add.reduceat(n, new) if len(u) else n
+def _trigrams(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct trigrams: three word hashes, how often; and which of them each token ends."""
+    starts, m = np.cumsum(counts) - counts, len(hashes) + 1
+    v = np.concatenate([[0], codes[:-1]])
+    v[starts] = len(hashes)
+    u = np.concatenate([[0], v[:-1]])
+    u[starts] = len(hashes)
+    pair, first = np.unique(u * m + v, return_inverse=True)
+    triple, of, n = np.unique(first * m + codes, return_inverse=True, return_counts=True)
+    hashes, pair = np.append(hashes, START), pair[triple // m]
+    return hashes[pair // m], hashes[pair % m], hashes[triple % m], n, of
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of the keys begins."""
+    new = np.zeros(len(keys[0]), "bool")
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, all columns but the last, in order, with the sums of the last."""
+    order = np.lexsort(columns[-2::-1])
+    *keys, n = (x[order] for x in columns)
+    new = _starts(*keys)
+    return *(x[new] for x in keys), np.add.reduceat(n, new) if len(n) else n
 
 
 def _packed(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
@@ -105,6 +147,30 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(out[0], out[1]), out[2], n
 
 
+def _blob(*arrays: np.ndarray) -> bytes:
+    data = pickle.dumps(arrays, 5)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _arrays(blob: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+
+
+def _least(n: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the least type that holds them."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0))))
+
+
+def _packed_trigrams(v: np.ndarray, w: np.ndarray, u: np.ndarray, n: np.ndarray) -> bytes:
+    words, codes = np.unique(np.concatenate([v, w, u]), return_inverse=True)
+    return _blob(words, *np.split(_least(codes), 3), _least(n))
+
+
+def _unpacked_trigrams(blob: bytes) -> tuple[np.ndarray, ...]:
+    words, v, w, u, n = _arrays(blob)
+    return words[v], words[w], words[u], n.astype("int64")
+
+
 def _save(folder: str, arrays: dict[str, np.ndarray]) -> str:
     """Writes arrays under a new name, which it returns."""
     system, root = pafs.FileSystem.from_uri(folder)
@@ -116,8 +182,8 @@ def _save(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return name
 
 
-def _mapped(folder: str, name: str, key: str) -> np.ndarray:
-    """An array of a file, mapped into memory once per worker process."""
+def _mapped(folder: str, name: str, key: str, keep: bool = True) -> np.ndarray:
+    """An array of a file, mapped into memory once per worker process, or for as long as the caller keeps it."""
     uri = f"{folder}/{name}.{key}.npy"
     if uri not in _OPEN:
         system, path = pafs.FileSystem.from_uri(uri)
@@ -128,7 +194,10 @@ def _mapped(folder: str, name: str, key: str) -> np.ndarray:
                 pafs.copy_files(path, part, source_filesystem=system, destination_filesystem=pafs.LocalFileSystem())
                 os.replace(part, local)
             path = local
-        _OPEN[uri] = np.load(path, mmap_mode="r")
+        array = np.load(path, mmap_mode="r")
+        if not keep:
+            return array
+        _OPEN[uri] = array
     return _OPEN[uri]
 
 
@@ -156,6 +225,9 @@ class KneserNey:
     v: int = 0
     k: int = 0
     spare: float = 1.0  # the continuation distribution's mass that goes to the even one
+    order: int = 2
+    d_top: np.ndarray = field(default_factory=lambda: discounts([0] * 4))
+    pairs: dict[int, str] = field(default_factory=dict)  # files of contexts that end in a frequent word
 
     def word_stats(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences and distinct contexts of words given by hash."""
@@ -190,15 +262,52 @@ class KneserNey:
         stats[seen] = self.hot_stats[at]
         return c, stats
 
-    def logs(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the model's probability of each bigram's word, and the word's occurrences."""
+    def trigram_stats(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As bigram_stats, of trigrams and their contexts (u, v)."""
+        keys, pairs = trigram_keys(u, v, w, self.hot), pair_keys(u, v)
+        own = (_mixed(v.view("uint64")) >> np.uint64(64 - _PLACES)).astype("int64") * self.shards >> _PLACES
+        c, stats = np.zeros(len(u), "int64"), np.zeros((len(u), 4), "int64")
+        for s, part in _grouped(_shard(keys, self.shards), np.argsort(keys)):
+            if name := self.bigrams.get(s):
+                at, seen = _find(_mapped(self.folder, name, "triples", False), keys[part])
+                n = _mapped(self.folder, name, "triple_counts", False)[at].astype("int64")
+                big = np.flatnonzero(n == 255)
+                if len(big):
+                    n[big] = _mapped(self.folder, name, "triple_large", False)[np.searchsorted(_mapped(self.folder, name, "triple_large_at", False), at[big])]
+                c[part[seen]] = n
+        hot, order = np.isin(v, self.hot), np.argsort(pairs)
+        for files, shard, rows in (
+            (self.bigrams, own, order[~hot[order]]),
+            (self.pairs, _shard(pairs, _ranges(self.shards)), order[hot[order]]),
+        ):
+            for s, part in _grouped(shard, rows):
+                if name := files.get(s):
+                    stats[part[_find(_mapped(self.folder, name, "single_pairs", False), pairs[part])[1]]] = 1, 1, 0, 0
+                    at, seen = _find(_mapped(self.folder, name, "pairs", False), pairs[part])
+                    stats[part[seen]] = _mapped(self.folder, name, "pair_stats", False)[at]
+        return c, stats
+
+    def logs(self, *grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the model's probability of each n-gram's last word, and the word's occurrences."""
+        *_, u, w = grams
         occurs, k = self.word_stats(w)
         even = self.spare / (self.v + 1)
         low = np.maximum(k - self.d_cont[np.minimum(k, 3)], 0) / max(self.k, 1) + even
-        c, stats = self.bigram_stats(u, w)
-        total = np.maximum(stats[:, 0], 1)
-        gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ self.d[1:] / total, 1.0)
-        return np.log10(np.maximum(c - self.d[np.minimum(c, 3)], 0) / total + gamma * low), occurs
+        chance = _interpolated(*self.bigram_stats(u, w), self.d, low)
+        if self.order == 3:
+            chance = _interpolated(*self.trigram_stats(*grams), self.d_top, chance)
+        return np.log10(chance), occurs
+
+
+def _interpolated(c: np.ndarray, stats: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Discounted shares of contexts with these stats, and the shorter context's chances for the rest."""
+    total = np.maximum(stats[:, 0], 1)
+    gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ d[1:] / total, 1.0)
+    return np.maximum(c - d[np.minimum(c, 3)], 0) / total + gamma * low
+
+
+def _ranges(shards: int) -> int:
+    return max(1, shards // PAIR_SHARDS)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,47 +331,66 @@ def _grouped(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.nda
         yield int(shard[part[0]]), part
 
 
-def train(docs: DataFrame, text_col: str = "text") -> KneserNey:
-    """The model of all rows of `docs`. Null texts count as empty: their end is a token. Empty tables give an even model."""
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> KneserNey:
+    """The model of all rows of `docs`, of order 2 or 3. Null texts count as empty: their end is a token. Empty tables give an even model."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is not 2 or 3")
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
+    shard_tokens = SHARD_TOKENS if order == 2 else SHARD_TOKENS // 2
     folder = shared_folder(spark, "kneser-ney")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(MAX_SHARDS, max(4, size / 6 / SHARD_TOKENS)))
+    shards = int(min(MAX_SHARDS, max(4, size / 6 / shard_tokens)))
     hot = _hot_contexts(texts, shards)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for a, b in text_chunks(batch["text"], CHUNK_BYTES):
-                held.append(_bigrams(*tokens(batch["text"][a:b]))[:3])
-                if sum(len(x[0]) for x in held) > 2 * SHARD_TOKENS:
+                if order == 2:
+                    held.append(_bigrams(*tokens(batch["text"][a:b]))[:3])
+                else:
+                    u, v, w, n, _ = _trigrams(*tokens(batch["text"][a:b]))
+                    held.append((v, w, u, n))
+                if sum(len(x[0]) for x in held) > 2 * shard_tokens:
                     yield from _blobs(held, hot, shards)
                     held = []
         if held:
             yield from _blobs(held, hot, shards)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        unpacked, written = (_unpacked, _written) if order == 2 else (_unpacked_trigrams, _written_trigrams)
         for batch in batches:
             for shard, blob in zip(batch["shard"].to_pylist(), batch["blob"], strict=True):
                 own = held.setdefault(shard, [])
-                own.append(_unpacked(blob.as_buffer().to_pybytes()))
-                if sum(len(x[0]) for x in own) > 3 * len(own[0][0]) + 2 * SHARD_TOKENS:
+                own.append(unpacked(blob.as_buffer().to_pybytes()))
+                if sum(len(x[0]) for x in own) > 3 * len(own[0][0]) + 2 * shard_tokens:
                     held[shard] = [_summed(*(np.concatenate(x) for x in zip(*own, strict=True)))]
         for shard in list(held):
-            yield from _written(folder, shard, _summed(*(np.concatenate(x) for x in zip(*held.pop(shard), strict=True))), hot)
+            grams = _summed(*(np.concatenate(x) for x in zip(*held.pop(shard), strict=True)))
+            for rows in written(folder, shard, grams, hot, shards):
+                yield rows if order == 2 or "blob" in rows.schema.names else rows.append_column("blob", pa.nulls(len(rows), "binary"))
 
     blobs = texts.mapInArrow(count, "shard int, blob binary").repartition(shards, "shard")
-    rows = blobs.mapInArrow(merge, _ROWS).groupBy("kind", "key", "path")
+    if order == 2:
+        rows = blobs.mapInArrow(merge, _ROWS)
+    else:
+        merged = stored(blobs.mapInArrow(merge, f"{_ROWS}, blob binary"), "kneser-ney-merged")
+        rows = merged.filter(F.col("kind") != PAIRS).drop("blob")
+    rows = rows.groupBy("kind", "key", "path")
     rows = stored(rows.agg(*(F.sum(c).alias(c) for c in "abcd")), "kneser-ney-rows")
-    model = KneserNey(folder, shards, {}, [], hot, np.zeros((len(hot), 4), "int64"))
+    model = KneserNey(folder, shards, {}, [], hot, np.zeros((len(hot), 4), "int64"), order=order)
+    if order == 3:
+        model.pairs = _write_pairs(merged.filter(F.col("kind") == PAIRS).select("key", "blob"), folder, _ranges(shards))
     few = rows.filter(F.col("kind") != WORD).toPandas()  # a row per file and hot context
     for row in few.itertuples():
         if row.kind == FILE:
             model.bigrams[row.key] = row.path
         elif row.kind == COUNTS:
             model.d = discounts([row.a, row.b, row.c, row.d])
+        elif row.kind == TOP:
+            model.d_top = discounts([row.a, row.b, row.c, row.d])
         else:
             model.hot_stats[np.searchsorted(hot, row.key)] = row.a, row.b, row.c, row.d
     words = rows.filter(F.col("kind") == WORD)
@@ -293,15 +421,78 @@ def _hot_contexts(texts: DataFrame, shards: int) -> np.ndarray:
     return np.unique(np.array([*hot, START], dtype="int64"))
 
 
-def _blobs(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    u, w, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    shard = _shard(bigram_keys(u, w, hot), shards)
-    for s, part in _grouped(shard, np.arange(len(u))):
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], "int32"), "blob": [_packed(u[part], w[part], n[part])]})
+def _blobs(held: list[tuple[np.ndarray, ...]], hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    columns = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    shard = _shard(bigram_keys(columns[0], columns[1], hot), shards)
+    pack = _packed if len(columns) == 3 else _packed_trigrams
+    for s, part in _grouped(shard, np.arange(len(shard))):
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], "int32"), "blob": [pack(*(x[part] for x in columns))]})
+
+
+def _pair_arrays(keys: np.ndarray, stats: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted contexts of two words, those that occur once apart, and the stats of the others."""
+    order = np.argsort(keys)
+    keys, stats = keys[order], stats[order]
+    once = stats[:, 0] == 1
+    return {"single_pairs": keys[once], "pairs": keys[~once], "pair_stats": _least(stats[~once])}
+
+
+def _written_trigrams(folder: str, shard: int, trigrams: tuple[np.ndarray, ...], hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """As _written, of rows (v, w, u, n) in order, with the trigrams and their contexts."""
+    v, w, u, n = trigrams
+    keys = trigram_keys(u, v, w, hot)
+    order = np.argsort(keys)
+    large = np.flatnonzero(n[order] >= 255)
+    arrays = {"triples": keys[order], "triple_counts": np.minimum(n[order], 255).astype("uint8"), "triple_large_at": large, "triple_large": n[order][large]}
+    yield _row_batch(TOP, np.zeros(1, "int64"), np.array([[(n == i).sum() for i in range(1, 5)]]))
+    order = np.lexsort((u, v))
+    uu, vv, m = u[order], v[order], n[order]
+    at = _starts(vv, uu)
+    stats = np.stack([np.add.reduceat(x, at) for x in (m, (m == 1).astype("int64"), (m == 2).astype("int64"), (m > 2).astype("int64"))], 1)
+    keys, is_hot = pair_keys(uu[at], vv[at]), np.isin(vv[at], hot)
+    arrays |= _pair_arrays(keys[~is_hot], stats[~is_hot])
+    keys, stats = keys[is_hot], stats[is_hot]
+    for s, part in _grouped(_shard(keys, _ranges(shards)), np.argsort(keys)):
+        once = stats[part, 0] == 1
+        blob = _blob(keys[part[once]], keys[part[~once]], _least(stats[part[~once]]))
+        yield _row_batch(PAIRS, np.array([s]), np.zeros((1, 4), "int64")).append_column("blob", pa.array([blob], "binary"))
+    at = _starts(v, w)
+    bigrams = v[at], w[at], np.diff(np.append(at, len(v)))
+    yield from _written(folder, shard, bigrams, hot, shards, np.add.reduceat(n, at), arrays)
+
+
+def _write_pairs(blobs: DataFrame, folder: str, ranges: int) -> dict[int, str]:
+    """Files with the added-up stats of the contexts that end in a frequent word, by range of keys."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for s, blob in zip(batch["key"].to_pylist(), batch["blob"], strict=True):
+                once, more, stats = _arrays(blob.as_buffer().to_pybytes())
+                own = held.setdefault(s, [])
+                own.append((np.concatenate([once, more]), np.concatenate([np.tile([1, 1, 0, 0], (len(once), 1)), stats.astype("int64")])))
+                if sum(len(x[0]) for x in own) > 3 * len(own[0][0]) + SHARD_TOKENS // 2:
+                    held[s] = [_added(own)]
+        for s in list(held):
+            name = _save(folder, _pair_arrays(*_added(held.pop(s))))
+            yield pa.RecordBatch.from_pydict({"range": pa.array([s], "int64"), "name": [name]})
+
+    return {r[0]: r[1] for r in blobs.repartition(ranges, "key").mapInArrow(merge, "range long, name string").collect()}
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their stats."""
+    keys, stats = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = _starts(keys)
+    return keys[at], np.add.reduceat(stats[order], at, axis=0)
 
 
-def _written(folder: str, shard: int, bigrams: tuple[np.ndarray, np.ndarray, np.ndarray], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Writes a shard's arrays; the rows that the job passes on."""
+def _written(
+    folder: str, shard: int, bigrams: tuple[np.ndarray, ...], hot: np.ndarray, shards: int, occurs: np.ndarray | None = None, more: dict[str, np.ndarray] | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Writes a shard's arrays, and `more`; the rows that the job passes on. `occurs`: how often bigrams occur, where n is another count."""
     u, w, n = bigrams
     at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
     stats = np.stack([np.add.reduceat(x, at) for x in (n, n == 1, n == 2, n > 2)], 1).astype("int64")
@@ -313,11 +504,11 @@ def _written(folder: str, shard: int, bigrams: tuple[np.ndarray, np.ndarray, np.
         "keys": keys[order], "counts": np.minimum(n[order], 65535).astype("uint16"), "large_at": large, "large": n[order][large],
         "contexts": contexts[~is_hot], "stats": stats[~is_hot].astype("uint32" if stats.max(initial=0) < 1 << 32 else "int64"),
     }
-    yield _row_batch(FILE, np.array([shard]), np.zeros((1, 4), "int64"), _save(folder, arrays))
+    yield _row_batch(FILE, np.array([shard]), np.zeros((1, 4), "int64"), _save(folder, arrays | (more or {})))
     yield _row_batch(COUNTS, np.zeros(1, "int64"), np.array([[(n == i).sum() for i in range(1, 5)]]))
     yield _row_batch(HOT, contexts[is_hot], stats[is_hot])
     order = np.argsort(w, kind="stable")
-    w, n = w[order], n[order]
+    w, n = w[order], (n if occurs is None else occurs)[order]
     first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
     sums = np.zeros((len(first), 4), "int64")
     sums[:, 0], sums[:, 1] = np.diff(np.append(first, len(w))), np.add.reduceat(n, first)
@@ -357,8 +548,8 @@ def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
         for batch in batches:
             for a, b in text_chunks(batch["text"], CHUNK_BYTES):
                 codes, hashes, counts = tokens(batch["text"][a:b])
-                u, w, _, of = _bigrams(codes, hashes, counts)
-                logs, occurs = m.logs(u, w)
+                *grams, _, of = (_trigrams if m.order == 3 else _bigrams)(codes, hashes, counts)
+                logs, occurs = m.logs(*grams)
                 start = np.cumsum(counts) - counts
                 base = np.log10((occurs + 1) / (m.n + m.v + 1))
                 yield pa.RecordBatch.from_pydict({

@@ -105,7 +105,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2
-    model = kneser_ney.train(docs.filter(~held_out))
+    model = kneser_ney.train(docs.filter(~held_out), order=3)
     return kneser_ney.scored(docs, model).withColumn("held_out", held_out)
 
 

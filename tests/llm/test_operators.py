@@ -139,6 +139,44 @@ def test_kneser_ney_equals_the_formula(docs, nothing):
     assert (row.n_tokens, row.n_known, row.base_score, row.score) == (1, 0, 0, 0)
 
 
+def test_kneser_ney_of_order_3_equals_the_formula(spark, docs, nothing):
+    token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    rng = np.random.default_rng(5)
+    texts = [*TEXTS, *(" ".join(rng.choice(list("abcdefghij"), 40, p=[0.4, 0.2, 0.1, 0.1, 0.05, 0.05, 0.04, 0.03, 0.02, 0.01])) for _ in range(40))]
+    grams = lambda t: list(zip(["<s>", "<s>", *token(t)], ["<s>", *token(t)], token(t), strict=False))
+    triples = Counter(g for t in texts for g in grams(t))
+    counts = Counter(w for t in texts for w in token(t))
+    pairs = Counter(g[1:] for g in triples)
+    words = Counter(w for _, w in pairs)
+    times = lambda values: [sum(v == i for v in values) for i in (1, 2, 3, 4)]
+    d3, d2, d1 = (kneser_ney.discounts(times(c.values())) for c in (triples, pairs, words))
+    follow = defaultdict(Counter)
+    for level in (triples, pairs):
+        for g, c in level.items():
+            follow[g[:-1]][g[-1]] = c
+
+    def level(context, w, d, low):
+        own = follow.get(context, Counter())
+        total = sum(own.values())
+        return (max(own[w] - d[min(own[w], 3)], 0) + sum(d[min(c, 3)] for c in own.values()) * low) / total if total else low
+
+    def chance(u, v, w):
+        low = (max(words[w] - d1[min(words[w], 3)], 0) + sum(d1[min(c, 3)] for c in words.values()) / (len(counts) + 1)) / len(pairs)
+        return level((u, v), w, d3, level((v,), w, d2, low))
+
+    model = kneser_ney.train(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS), order=3)
+    assert (model.n, model.v) == (sum(counts.values()), len(counts))
+    assert {len(model.pairs), len(model.bigrams) > 1} == {1, True}
+    asked = [*texts, "the cat unseen", "unseen unseen a", "j j j j", "a b unseen b"]
+    for row in kneser_ney.scored(spark.createDataFrame([(i, t, "s") for i, t in enumerate(asked)], DOCS), model).collect():
+        own = token(asked[row.doc_id])
+        assert (row.n_tokens, row.n_known) == (len(own), sum(w in counts for w in own))
+        assert math.isclose(row.score, sum(math.log10(chance(*g)) for g in grams(asked[row.doc_id])), rel_tol=1e-9)
+    assert math.isclose(sum(chance("the", "cat", w) for w in counts) + chance("the", "cat", "unseen"), 1)
+    row = kneser_ney.scored(docs, kneser_ney.train(nothing, order=3)).filter("doc_id = 0").first()
+    assert (row.n_tokens, row.n_known, row.base_score, row.score) == (1, 0, 0, 0)
+
+
 def test_language_filter(spark, docs, nothing):
     de, en = "der hund und die katze schlafen heute", "the dog and the cat are sleeping today"
     labelled = spark.createDataFrame([(de, "de"), (en, "en"), (None, "fr"), (en, None)], "text string, lang string")
