@@ -207,10 +207,13 @@ def _links(texts: DataFrame, table: DataFrame, crowd: int) -> DataFrame:
     pairs = found.filter("b is not null").select("a", "b").distinct()
     crowds = found.filter("b is null").select("crowd", F.col("a").alias("node"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct()
-    places = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    some = texts.join(places, "doc_id", "left_semi")
-    sets = some.mapInArrow(_sets, "node long, n int, counts binary, shingles binary").dropDuplicates(["node"])
-    sets = stored(sets, "jaccard-sets")
+    places = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shape = "node long, n int, counts binary, shingles binary"
+    sets = texts.join(places.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, shape)
+    if not table.filter("doc_id is null").isEmpty():  # sets that only rows without an id have are found by node
+        nameless = texts.filter("doc_id is null").mapInArrow(_sets, shape)
+        sets = sets.unionByName(nameless.join(places.filter("doc_id is null").select("node"), "node", "left_semi"))
+    sets = stored(sets.dropDuplicates(["node"]), "jaccard-sets")
     links = stored(_verified(pairs, sets), "jaccard-links")
     if crowds.isEmpty():
         return links

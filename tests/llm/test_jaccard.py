@@ -56,6 +56,20 @@ def test_equals_all_pairs(spark, crowd):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("crowd", [48, 1])
+def test_rows_without_an_id_link_others(spark, crowd):
+    rng = random.Random(11)
+    base = words(60, rng)
+    near = lambda *at: " ".join("z" if i in at else w for i, w in enumerate(base))
+    # the ends share 46 of 66 shingles, each 51 of 61 with the one between
+    rows = [(1, near(20)), (None, near()), (2, near(40)), (None, None), (None, ""), (3, " ".join(words(60, rng))), (None, "x y z"), (None, "X y z")]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, SCHEMA), crowd).collect()
+    assert brute([(i, t) for i, t in rows if i])[2][1] == 2  # not near without the one between
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 1, 3: 3}
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None and r.component_id) == [(56, 1)]
+    assert len(got) == len(rows)
+
+
 def test_keeps_one_of_each_group(spark):
     rows = [(5, "a b c d e f g"), (2, "A b c d e f g"), (9, None), (9, None), (7, "q r s t u"), (7, "q r s t u")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", component_id string")
