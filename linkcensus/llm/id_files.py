@@ -13,8 +13,8 @@ file, returned by the task that wrote it, says which files count. A task that is
 repeated writes another file, and only one of the two is listed.
 
 File format, little-endian: MAGIC; five uint64 (base, documents, rules, symbols, ids);
-document ids int64; first symbol of each document and the end, uint64; rules as two
-uint16 each; symbols uint16. Ids from `base` on are rules: `base + r` is rule r.
+document ids int64; first symbol of each document and the end, uint64; first id of each
+document and the end, uint64; ids per rule uint32; rules as two uint16 each; symbols uint16. Ids from `base` on are rules: `base + r` is rule r.
 """
 
 from __future__ import annotations
@@ -37,13 +37,13 @@ from tokenizers import Tokenizer
 
 from linkcensus.llm.common import coded_words, shared_folder, text_chunks
 
-MAGIC = b"LCREPAIR"
+MAGIC = b"LCREPAI2"
 END_ID = 1
 SHARD_BYTES = 12 << 20  # of text, before encoding
 PAIRS_A_ROUND = 4096
 LEAST_COUNT = 24
-ROUNDS = 5
 KNOWN_PIECES = 200_000
+BLOCK_IDS = 200_000
 _STOPS, _PLAIN = ".,;:!?", "\u0130"
 _SLOTS = 18
 _HASH = np.uint32(0x9E3779B1)
@@ -125,10 +125,7 @@ def repair(ids: np.ndarray, doc_sizes: np.ndarray, base: int) -> tuple[np.ndarra
     last = np.zeros(len(ids), "bool")
     last[np.cumsum(doc_sizes) - 1] = True
     symbols, rules = ids.astype("uint16"), np.empty((0, 2), "uint16")
-    for _ in range(ROUNDS):
-        room = (1 << 16) - base - len(rules)
-        if room <= 0 or len(symbols) < 2:
-            break
+    while len(symbols) > 1 and (room := (1 << 16) - base - len(rules)) > 0:
         pairs = symbols[:-1].astype("uint32") << np.uint32(16) | symbols[1:]
         pairs[last[:-1]] = 0xFFFFFFFF  # no pair over a document's end
         chosen = _frequent(pairs, min(PAIRS_A_ROUND, room))
@@ -167,8 +164,11 @@ def _frequent(pairs: np.ndarray, most: int) -> np.ndarray:
 def packed(doc_ids: np.ndarray, ids: np.ndarray, doc_sizes: np.ndarray, base: int) -> bytes:
     symbols, rules, per_doc = repair(ids, doc_sizes, base)
     head = np.array([base, len(doc_ids), len(rules), len(symbols), len(ids)], "<u8")
-    first = np.concatenate([[0], np.cumsum(per_doc)]).astype("<u8")
-    parts = (head, doc_ids.astype("<i8"), first, rules.astype("<u2"), symbols.astype("<u2"))
+    first, start = (np.concatenate([[0], np.cumsum(n)]).astype("<u8") for n in (per_doc, doc_sizes))
+    length = [1] * base
+    for a, b in rules.tolist():  # a rule uses earlier symbols only
+        length.append(length[a] + length[b])
+    parts = (head, doc_ids.astype("<i8"), first, start, np.array(length[base:], "<u4"), rules.astype("<u2"), symbols.astype("<u2"))
     return MAGIC + b"".join(x.tobytes() for x in parts)
 
 
@@ -183,30 +183,40 @@ class IdFile:
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.first = np.frombuffer(data, "<u8", docs + 1, at + 8 * docs).astype("int64")
         at += 16 * docs + 8
-        pairs = np.frombuffer(data, "<u2", 2 * rules, at).reshape(-1, 2).astype("int64")
-        self.symbols = np.frombuffer(data, "<u2", symbols, at + 4 * rules)
-        # how many ids each symbol stands for, and what they are; a rule uses earlier symbols only
-        self.length = np.ones(base + rules, "int64")
-        expansion: list[np.ndarray] = []
-        get = lambda s: expansion[s - base] if s >= base else np.array([s], "<u4")
-        for r, (a, b) in enumerate(pairs.tolist()):
-            self.length[base + r] = self.length[a] + self.length[b]
-            expansion.append(np.concatenate([get(a), get(b)]))
-        self.flat = np.concatenate([np.arange(base, dtype="<u4"), *expansion])
-        self.at = np.cumsum(self.length) - self.length
+        self.start = np.frombuffer(data, "<u8", docs + 1, at).astype("int64")
+        at += 8 * docs + 8
+        # how many ids each symbol stands for
+        self.length = np.concatenate([np.ones(base, "int64"), np.frombuffer(data, "<u4", rules, at)])
+        self.base, self.pairs = base, np.frombuffer(data, "<u2", 2 * rules, at + 4 * rules).reshape(-1, 2)
+        self.symbols = np.frombuffer(data, "<u2", symbols, at + 8 * rules)
 
     def ids(self, doc: int) -> np.ndarray:
         """The ids of the doc-th document alone."""
         return self._expanded(self.symbols[self.first[doc] : self.first[doc + 1]])
 
+    def all_ids(self) -> Iterator[np.ndarray]:
+        """The ids of each document in turn, decoded about BLOCK_IDS at a time."""
+        a = 0
+        while a < len(self.doc_ids):
+            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + BLOCK_IDS, "right")) - 1)
+            yield from np.split(self._expanded(self.symbols[self.first[a] : self.first[b]]), self.start[a + 1 : b] - self.start[a])
+            a = b
+
     def sizes(self) -> np.ndarray:
-        """Ids per document, from expansion lengths, without decoding."""
-        upto = np.concatenate([[0], np.cumsum(self.length[self.symbols])])
-        return np.diff(upto[self.first])
+        """Ids per document, without decoding."""
+        return np.diff(self.start)
 
     def _expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of symbols; only the rules they use are expanded, all of one depth at a time."""
         n = self.length[symbols]
-        return self.flat[np.repeat(self.at[symbols] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        out, at = np.empty(n.sum(), "<u4"), np.cumsum(n) - n
+        while len(symbols):
+            rule = symbols >= self.base
+            out[at[~rule]] = symbols[~rule]
+            left, right = self.pairs[symbols[rule] - self.base].T
+            at = at[rule]
+            symbols, at = np.concatenate([left, right]), np.concatenate([at, at + self.length[left]])
+        return out
 
 
 def write_id_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> tuple[str, DataFrame]:
@@ -284,7 +294,7 @@ def read_id_files(folder: str, listing: DataFrame, of: Callable[[IdFile], pd.Dat
 def documents_in(file: IdFile) -> pd.DataFrame:
     """Per document: ids before it in the file, their number, and the crc32 of the ids as little-endian uint32."""
     sizes = file.sizes()
-    crc = [zlib.crc32(file.ids(i).tobytes()) for i in range(len(sizes))]
+    crc = [zlib.crc32(ids.tobytes()) for ids in file.all_ids()]
     return pd.DataFrame({"doc_id": file.doc_ids, "before": np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": crc})
 
 

@@ -91,6 +91,24 @@ def test_repair_has_rules_and_keeps_every_document():
     assert file.sizes().tolist() == sizes.tolist()
 
 
+def test_repair_ends_when_no_pair_is_frequent_and_stores_lengths_and_starts(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = np.tile(rng.integers(5, 9, 1000), 40).astype("uint16")  # repeats that need about ten rounds
+    sizes = np.full(40, 1000)
+    symbols, rules, per_doc = id_files.repair(ids, sizes, 65_536 - 9000)
+    ends = np.cumsum(per_doc) - 1
+    pairs = symbols[:-1].astype("uint32") << 16 | symbols[1:]
+    inside = np.delete(pairs, ends[:-1])
+    assert len(rules) < 9000 and max(Counter(inside.tolist()).values(), default=0) < id_files.LEAST_COUNT
+    data = id_files.packed(np.arange(40), ids, sizes, 65_536 - 9000)
+    file = id_files.IdFile(data)
+    assert file.start.tolist() == [1000 * i for i in range(41)]
+    assert np.array(file.start, "<u8").tobytes() in data and np.array(file.length[file.base :], "<u4").tobytes() in data
+    assert [file.ids(i).tolist() for i in (0, 39)] == [ids[:1000].tolist()] * 2
+    monkeypatch.setattr(id_files, "BLOCK_IDS", 2500)
+    assert [x.tolist() for x in file.all_ids()] == [ids[:1000].tolist()] * 40
+
+
 def test_shards(docs, nothing, spark):
     rows = sharding.assign_shards(docs.union(docs), 4).collect()
     assert len(rows) == 2 * len(TEXTS)
