@@ -19,15 +19,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     An empty table or one without labels rejects nothing. Null and empty texts stay.
     """
     model = toxicity.train(docs.filter(remainder("doc_id", 5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.scored(docs, model)
-    return scored.filter("score < 0.5").select(docs.columns)
+    scored = toxicity.scored(docs, model, into="_toxicity")  # a column `score` of the table stays as it is
+    return scored.filter("_toxicity < 0.5").select(docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; those without a letter, or with a weak verdict, go."""
     model = langid.train(docs.filter(remainder("doc_id", 5) != 0))
-    found = langid.identify(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    found = langid.identify(docs, model, into=("_lang_pred", "_lang_score"))
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

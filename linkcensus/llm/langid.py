@@ -120,8 +120,8 @@ def _has_zero(grams: np.ndarray) -> np.ndarray:
     return (grams - np.uint32(0x01010101)) & ~grams & np.uint32(0x80808080) != 0
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score.
+def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with lang_pred and score, in the columns `into`.
 
     `und` and 0 if the text is null or has no letter, or nothing was learnt. A text
     with letters but no known n-gram gets the first learnt language, with an even score.
@@ -139,4 +139,4 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     found = docs.withColumn("_found", predicted(F.col(text_col)))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    return found.withColumns({into[0]: F.col("_found.lang_pred"), into[1]: F.col("_found.score")}).drop("_found")

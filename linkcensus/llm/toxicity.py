@@ -302,8 +302,8 @@ def _logistic(values: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """`docs` (with a column text) with score, from 0 to 1. Null and empty texts have the lowest value a text can have."""
+def scored(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFrame:
+    """`docs` (with a column text) with score, from 0 to 1, in the column `into`. Null and empty texts have the lowest value a text can have."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -311,4 +311,4 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         parts = [held.value.scores(texts[a:b]) for a, b in text_chunks(texts)]
         return pa.array(np.concatenate(parts) if parts else [], "double")
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(into, score("text"))

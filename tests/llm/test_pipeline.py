@@ -49,3 +49,10 @@ def test_stages(spark, tmp_path):
     for r in seen["byte_bpe"][0]:
         assert got[r.doc_id].ids == library.encode_ordinary(r.text)
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_stages_keep_the_values_of_other_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit("kept"), "lang_pred": F.lit(7)})
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        rows = stage(spark, docs, SF).select("score", "lang_pred").distinct().collect()
+        assert [tuple(r) for r in rows] == [("kept", 7)], name
