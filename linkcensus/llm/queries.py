@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcensus.llm import ann, bpe, decontamination, id_files, jaccard, kneser_ney, langid, sharding, toxicity, url_filter
+from linkcensus.llm import ann, bpe, decontamination, id_files, jaccard, kneser_ney, langid, packing, sharding, toxicity, url_filter
 from linkcensus.llm.common import remainder
 
 
@@ -128,8 +128,12 @@ def op10_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op13_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_multi_index, op3_decontamination, op4_temporal_lists, op5_language_id, op6_kneser_ney, op7_byte_bpe,
-    op8_sampled_splitters, op9_partenum_join, op10_repair_files,
+    op8_sampled_splitters, op9_partenum_join, op10_repair_files, op13_bounded_packing,
 )}
 ORACLES = {"op4_temporal_lists": OP4_SQL}
