@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcensus.llm import ann, bpe, decontamination, id_files, jaccard, kneser_ney, langid, packing, sharding, toxicity, url_filter
+from linkcensus.llm import ann, bpe, collocations, decontamination, id_files, jaccard, kneser_ney, langid, packing, sharding, toxicity, url_filter
 from linkcensus.llm.common import remainder
 
 
@@ -128,12 +128,59 @@ def op10_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op12_phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), ones AS (
+    SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(words) AS phrase FROM worded) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM ones GROUP BY lang
+), twos AS (
+    SELECT lang, w1, w2, count(*) AS f FROM (
+        SELECT lang, unnest(words[:-2]) AS w1, unnest(words[2:]) AS w2 FROM worded WHERE len(words) >= 2)
+    GROUP BY ALL HAVING count(*) >= 10
+), threes AS (
+    SELECT lang, w1, w2, w3, count(*) AS f FROM (
+        SELECT lang, unnest(words[:-3]) AS w1, unnest(words[2:-2]) AS w2, unnest(words[3:]) AS w3 FROM worded WHERE len(words) >= 3)
+    GROUP BY ALL HAVING count(*) >= 10
+), kept AS (
+    SELECT t.* FROM twos t WHERE NOT EXISTS (
+        SELECT 1 FROM threes s WHERE s.lang = t.lang AND 100 * s.f >= 50 * t.f
+           AND ((s.w1 = t.w1 AND s.w2 = t.w2) OR (s.w2 = t.w1 AND s.w3 = t.w2)))
+), cuts AS (
+    SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+    FROM kept t JOIN ones x ON x.lang = t.lang AND x.phrase = t.w1 JOIN ones y ON y.lang = t.lang AND y.phrase = t.w2
+    UNION ALL
+    SELECT s.lang, s.w1 || ' ' || s.w2 || ' ' || s.w3, s.f, 1, x.f, y.f
+    FROM threes s JOIN ones x ON x.lang = s.lang AND x.phrase = s.w1 JOIN twos y ON y.lang = s.lang AND y.w1 = s.w2 AND y.w2 = s.w3
+    UNION ALL
+    SELECT s.lang, s.w1 || ' ' || s.w2 || ' ' || s.w3, s.f, 2, x.f, y.f
+    FROM threes s JOIN twos x ON x.lang = s.lang AND x.w1 = s.w1 AND x.w2 = s.w2 JOIN ones y ON y.lang = s.lang AND y.phrase = s.w3
+), scored AS (
+    SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), least AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op13_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_multi_index, op3_decontamination, op4_temporal_lists, op5_language_id, op6_kneser_ney, op7_byte_bpe,
-    op8_sampled_splitters, op9_partenum_join, op10_repair_files, op13_bounded_packing,
+    op8_sampled_splitters, op9_partenum_join, op10_repair_files, op12_phrase_tiles,
+    op13_bounded_packing,
 )}
-ORACLES = {"op4_temporal_lists": OP4_SQL}
+ORACLES = {"op4_temporal_lists": OP4_SQL, "op12_phrase_tiles": OP12_SQL}
