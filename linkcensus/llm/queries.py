@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcensus.llm import ann, bpe, collocations, decontamination, id_files, jaccard, kneser_ney, langid, packing, sharding, toxicity, url_filter
+from linkcensus.llm import (
+    ann,
+    bpe,
+    collocations,
+    conversations,
+    decontamination,
+    id_files,
+    jaccard,
+    kneser_ney,
+    langid,
+    packing,
+    sharding,
+    toxicity,
+    url_filter,
+)
 from linkcensus.llm.common import remainder
 
 
@@ -128,6 +142,37 @@ def op10_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults that follow from crc32 of `conv_id:turn`, nulls being one space: dropped, emptied, unfinished, repeated or misnamed rows."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    role, text = (F.coalesce(F.col(c).cast("string"), space) for c in ("role", "text"))
+    fault = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("fault"))
+    hit = fault.filter("fault <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("fault") == 3, 2).otherwise(1).alias("copies"),
+    )
+    return hit.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+
+
+def op11_parallel_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    repair = conversations.repaired(damaged(rows))
+    found = rows.select("conv_id").distinct()
+    for part in (repair.summary, conversations.digests(repair.rows)):
+        part = part.withColumnRenamed("conv_id", "_conv")
+        found = found.join(part, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    counts = "gaps blank duplicate truncated illegal cost".split()
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
+    )
+
+
 def op12_phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -180,7 +225,7 @@ def op13_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_multi_index, op3_decontamination, op4_temporal_lists, op5_language_id, op6_kneser_ney, op7_byte_bpe,
-    op8_sampled_splitters, op9_partenum_join, op10_repair_files, op12_phrase_tiles,
+    op8_sampled_splitters, op9_partenum_join, op10_repair_files, op11_parallel_viterbi, op12_phrase_tiles,
     op13_bounded_packing,
 )}
 ORACLES = {"op4_temporal_lists": OP4_SQL, "op12_phrase_tiles": OP12_SQL}
