@@ -37,10 +37,11 @@ HEAD = 1 << 17  # words, and pairs, whose ranks every task holds
 HEAD_WORD_BYTES = 64
 TILE = 10  # bits of a rank within a tile
 DENSE_PAIRS = 1 << 16  # a tile that gets so many pairs from one chunk becomes dense
-DENSE_TILES = 16  # that one task holds, of 4 MB each
-HELD_PAIRS = 4_000_000  # coordinates that a task merges before it passes them on
+DENSE_TILES = 8  # that one task holds, of 4 MB each
+HELD_PAIRS = 1_500_000  # coordinates that a task merges before it passes them on
+BATCH_ROWS = 1 << 16  # that a task passes on at a time
 FILTER_BITS = 24
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _TAIL = np.int64(1 << 62)
 _LOWER = np.arange(256, dtype="uint8")
 _LOWER[65:91] += 32
@@ -217,15 +218,19 @@ def _scan(docs: DataFrame, seed: int, count: Callable[[Tokens], Iterator[tuple]]
     """Rows that `count` gives for each chunk of texts, and `rest` at the end of a task."""
     names = [c.split()[0] for c in columns.split(", ")]
 
+    def parts(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in row], names)
+            for a in range(0, whole.num_rows, BATCH_ROWS):
+                yield whole.slice(a, BATCH_ROWS)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = batch["text"], batch["lang"]
             for a, b in text_chunks(texts, CHUNK_BYTES):
-                for row in count(tokens_of(texts[a:b], langs[a:b], seed)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names)
+                yield from parts(count(tokens_of(texts[a:b], langs[a:b], seed)))
                 pa.default_memory_pool().release_unused()
-        for row in rest():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names)
+        yield from parts(rest())
 
     return docs.mapInArrow(scan, columns)
 
