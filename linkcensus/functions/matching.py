@@ -5,18 +5,18 @@ Terms are lower-case, fields are compared in lower case.
 * few terms: JVM expressions only. The field is lower-cased once per row, and terms
   with a common beginning share a cheap test for that beginning, so that a list of
   URLs of one host costs about as much as a single ``contains``.
-* more terms: compiled regular expressions over whole Arrow batches, each for a few
-  hundred terms; a scan whose cost grows slowly with the list (25 MB of text: 200
-  terms 0.5 s, 8,000 terms 1.0 s, 30,000 terms 2.5 s).
-* in both cases a test for characters all terms share, ``://`` in a list of URLs,
+* more terms, as many as one regular expression takes: that expression over whole Arrow batches.
+* more than that: one pass of ``multipattern`` over Arrow batches, whatever their number.
+* in all these a test for characters all terms share, ``://`` in a list of URLs,
   comes first and spares most fields everything else.
-* lists too large for one task's memory: see ``WatchList.passes``.
+* lists beyond one task's memory: covered terms are removed as a table, and if that is
+  not enough, ``operators.blocked`` joins texts and terms.
 """
 
 import os
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import or_
 
@@ -25,14 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkcensus.functions.multipattern import Matcher
+from linkcensus.operators.blocked import keep_containing
+from linkcensus.operators.covering import without_covered_terms
 from linkcensus.operators.staging import Staging
 
 JVM_TERMS = 64          # more terms than this are matched in Arrow batches
 JVM_PROBES = 4          # so are lists with more separate beginnings than this
-REGEX_TERMS = 400       # terms per regular expression, to stay within its automaton's memory
+REGEX_TERMS = 400       # a regular expression takes so many terms, to stay within its automaton's memory
 REGEX_CHARS = 32_000
-PASS_CHARS = 1_000_000  # characters of terms one task holds at a time
-_MEAN_CHARS = 20        # so a list of up to PASS_CHARS / _MEAN_CHARS terms is read in one go
+TASK_CHARS = 1_000_000  # characters of terms that every task holds
+_MEAN_CHARS = 20        # so a list of up to TASK_CHARS / _MEAN_CHARS terms is read in one go
 _SHARED = 8             # terms alike in this many characters are tested together
 
 
@@ -70,29 +73,30 @@ class WatchList:
     and ``_`` inside a term as wildcards (a backslash stays a plain character).
     """
 
-    def __init__(self, terms: DataFrame, mode: str, pass_chars: int = PASS_CHARS):
+    def __init__(self, terms: DataFrame, mode: str, task_chars: int = TASK_CHARS):
         if mode not in ("like", "instr"):
             raise ValueError(f"unknown match mode {mode!r}")
-        self._terms = terms.select("match_term")
-        self._wildcards = mode == "like"
-        self._only: Terms | None = None
-        self.n_passes = 1
-        start = [r.match_term for r in self._terms.limit(pass_chars // _MEAN_CHARS + 1).collect()]
-        if len(start) <= pass_chars // _MEAN_CHARS and sum(map(len, start)) <= pass_chars:
-            self._only = Terms(start, self._wildcards)
-        else:
-            chars = self._terms.distinct().agg(F.sum(F.length("match_term")).alias("n")).first().n
-            self.n_passes = 1 + chars // pass_chars
-
-    def passes(self) -> Iterator[Terms]:
-        """The terms in portions of bounded size; nearly always just one."""
-        if self._only is not None:
-            yield self._only
-            return
-        portion = F.pmod(F.xxhash64("match_term"), F.lit(self.n_passes))
-        for i in range(self.n_passes):
-            rows = self._terms.filter(portion == i).distinct().collect()
-            yield Terms([r.match_term for r in rows], self._wildcards)
+        self.table = terms.select("match_term").filter("match_term IS NOT NULL")
+        self.wildcards = mode == "like"
+        self._task_chars = task_chars
+        self._terms = self._read(self.table)
+        self._reduced = False
+
+    def _read(self, table: DataFrame) -> Terms | None:
+        """The terms, if they are within what a task may hold; no more of them than that comes to the driver."""
+        most = self._task_chars // _MEAN_CHARS
+        start = [r.match_term for r in table.limit(most + 1).collect()]
+        if len(start) <= most and sum(map(len, start)) <= self._task_chars:
+            return Terms(start, self.wildcards)
+        return None
+
+    def terms(self, staging: Staging) -> Terms | None:
+        """The terms, or None if they stay a table, from which terms that hold others have been removed."""
+        if self._terms is None and not self._reduced:
+            self.table = staging.write(without_covered_terms(self.table, self.wildcards, staging))
+            self._terms = self._read(self.table)
+            self._reduced = True
+        return self._terms
 
 
 def contains_any(terms: Terms, *columns: str) -> Column:
@@ -100,33 +104,28 @@ def contains_any(terms: Terms, *columns: str) -> Column:
     return reduce(or_, [_contains_any(terms, c) for c in columns])
 
 
-def keep_matching(df: DataFrame, watch: WatchList, *columns: str, staging: Staging) -> DataFrame:
-    """Rows of ``df`` that mention the watch-list, each as often as ``df`` has it.
-
-    A list in several portions takes one pass over the rows per portion, and each
-    pass sees only the rows no earlier portion has found.
-    """
-    hits: list[DataFrame] = []
-    rest = df
-    for i, terms in enumerate(watch.passes(), 1):
-        found = contains_any(terms, *columns)
-        if i == watch.n_passes:
-            hits.append(rest.filter(found))
-            break
-        marked = staging.write(rest.withColumn("_found", F.coalesce(found, F.lit(False))))
-        hits.append(marked.filter("_found").drop("_found"))
-        rest = marked.filter("NOT _found").drop("_found")
-    return reduce(DataFrame.unionByName, hits)
+def keep_matching(
+    df: DataFrame, watch: WatchList, *columns: str, staging: Staging, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Columns ``keep`` (all, if not given) of the rows that mention the watch-list, each as often as ``df`` has it."""
+    terms = watch.terms(staging)
+    keep = df.columns if keep is None else keep
+    if terms is not None:
+        return df.filter(contains_any(terms, *columns)).select(*keep)
+    return keep_containing(df, columns, keep, watch.table, watch.wildcards, staging)
 
 
 def _contains_any(terms: Terms, column: str) -> Column:
     groups = _by_beginning(terms.literals)
     if not groups and not terms.patterns:
         return F.lit(False)
-    if len(terms.literals) + len(terms.patterns) > JVM_TERMS or len(groups) + len(terms.patterns) > JVM_PROBES:
+    n = len(terms.literals) + len(terms.patterns)
+    if n <= JVM_TERMS and len(groups) + len(terms.patterns) <= JVM_PROBES:
+        found = _by_expression(terms, groups, column)
+    elif n <= REGEX_TERMS and sum(map(len, terms.literals + terms.patterns)) <= REGEX_CHARS:
         found = _by_regex(terms, column)
     else:
-        found = _by_expression(terms, groups, column)
+        found = _by_matcher(terms, column)
     piece = None if terms.patterns else _caseless_piece(terms.literals)
     return F.col(column).contains(piece) & found if piece else found
 
@@ -162,12 +161,24 @@ def _by_regex(terms: Terms, column: str) -> Column:
     rest += [_quoted(p).replace("%", ".*").replace("_", ".") for p in terms.patterns]
     found = []
     if ascii_only:
-        found.append(_in_batches(_regexes([_any_case(t) for t in ascii_only]))(column))
+        found.append(_in_batches([_any_case(t) for t in ascii_only])(column))
     if rest:
-        found.append(_in_batches(_regexes(rest))(F.lower(column)))
+        found.append(_in_batches(rest)(F.lower(column)))
     return reduce(or_, found)
 
 
+def _by_matcher(terms: Terms, column: str) -> Column:
+    """One pass for all; only characters beyond ASCII need the JVM's lower case."""
+    matcher = Matcher(terms.literals, terms.patterns)
+    plain = all(t.isascii() for t in terms.literals) and all(p.isascii() for p in terms.patterns)
+
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(matcher.found(texts))
+
+    return F.arrow_udf(scan, "boolean")(F.col(column) if plain else F.lower(column))
+
+
 def _by_beginning(literals: list[str]) -> list[list[str]]:
     groups: dict[str, list[str]] = {}
     for term in literals:
@@ -187,19 +198,6 @@ def _probe(text: Column, group: list[str]) -> Column:
     return found & reduce(or_, [_probe(text, b) for b in branches.values()])
 
 
-def _regexes(parts: list[str]) -> list[str]:
-    """Alternatives in portions small enough for one compiled expression each."""
-    chunks: list[list[str]] = [[]]
-    chars = 0
-    for part in parts:
-        if len(chunks[-1]) == REGEX_TERMS or (chunks[-1] and chars + len(part) > REGEX_CHARS):
-            chunks.append([])
-            chars = 0
-        chunks[-1].append(part)
-        chars += len(part)
-    return ["(?s)" + "|".join(c) for c in chunks]
-
-
 def _quoted(text: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
 
@@ -218,14 +216,12 @@ def _any_case(term: str) -> str:
     return "".join(out)
 
 
-def _in_batches(regexes: list[str]) -> Callable[[Column], Column]:
+def _in_batches(parts: list[str]) -> Callable[[Column], Column]:
     """Arrow UDF: does one of the expressions match somewhere?"""
+    regex = "(?s)" + "|".join(parts)
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = pc.match_substring_regex(texts, pattern=regexes[0])
-            for regex in regexes[1:]:
-                found = pc.or_(found, pc.match_substring_regex(texts, pattern=regex))
-            yield found
+            yield pc.match_substring_regex(texts, pattern=regex)
 
     return F.arrow_udf(scan, "boolean")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkcensus.functions.matching import PASS_CHARS, WatchList, keep_matching
+from linkcensus.functions.matching import TASK_CHARS, WatchList, keep_matching
 from linkcensus.model import BRANCHES, Scope
 from linkcensus.operators import keys
 from linkcensus.operators.attachments import (
@@ -57,12 +57,13 @@ def find_hits(
     found = []
     for frames, columns in ((one, ["text"]), (two, ["text", "text2"])):
         if frames:
-            rows = reduce(_union, frames)
-            found.append(keep_matching(rows, watch, *columns, staging=staging).drop("text2"))
+            rows = reduce(_union, frames).withColumn("filename", F.expr("CASE WHEN kind = 'file' THEN text END"))
+            keep = [c for c in rows.columns if c not in columns]
+            found.append(keep_matching(rows, watch, *columns, staging=staging, keep=keep))
     return (
         reduce(_union, found)
         .withColumn("key2", F.col("key2") if "B20" in branches else F.lit(None).cast("bigint"))
-        .groupBy("kind", "key", "key2", F.expr("CASE WHEN kind = 'file' THEN text END AS filename"))
+        .groupBy("kind", "key", "key2", "filename")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -115,14 +116,14 @@ def branch_counts(
     return counts.groupBy("branch", "entity").agg(F.sum("n").alias("count_value"))
 
 
-def watch_list(watchlist: DataFrame, mode: str, pass_chars: int = PASS_CHARS) -> WatchList:
+def watch_list(watchlist: DataFrame, mode: str, task_chars: int = TASK_CHARS) -> WatchList:
     """Match terms of a watch-list with a ``url_pref`` column.
 
     ``like``: the listed URLs as they are, ``%`` and ``_`` being wildcards.
     ``instr``: path and domain terms of the normalized URLs, taken literally.
     """
     terms = raw_terms(watchlist) if mode == "like" else normalized_terms(watchlist)
-    return WatchList(terms, mode, pass_chars)
+    return WatchList(terms, mode, task_chars)
 
 
 def census(

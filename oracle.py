@@ -70,12 +70,14 @@ RAW_WATCH = f"SELECT lower(url) term FROM (VALUES {_values(WATCHLIST)}) l(url)"
 NORMALIZED_WATCH = normalized(f"(VALUES {_values(WATCHLIST)}) l(url)", "url")
 
 
-def mentions(*columns: str) -> str:
-    test = " OR ".join(f"instr(lower({c}), w.term) > 0" for c in columns)
+def mentions(*columns: str, like: bool = False) -> str:
+    """``like``: ``%`` and ``_`` in a term are wildcards; nothing escapes them."""
+    form = "lower({}) LIKE '%' || w.term || '%'" if like else "instr(lower({}), w.term) > 0"
+    test = " OR ".join(form.format(c) for c in columns)
     return f"EXISTS (SELECT 1 FROM watch w WHERE {test})"
 
 
-def branch_count_sql(code: str, sites: tuple[int, ...] | None) -> tuple[str, tuple[str, ...]]:
+def branch_count_sql(code: str, sites: tuple[int, ...] | None, like: bool = False) -> tuple[str, tuple[str, ...]]:
     """The count of one branch and the logical tables it reads."""
 
     def here(alias: str) -> str:
@@ -119,17 +121,17 @@ def branch_count_sql(code: str, sites: tuple[int, ...] | None) -> tuple[str, tup
         sql = (
             f"SELECT {measure} FROM {source} JOIN attcontainter k ON k.attachmentcontaineroi = x.attachmentco_oi"
             f" JOIN attachment f ON f.attcontainer_oi = k.attachmentcontaineroi"
-            f" WHERE {where} AND {flag} AND {mentions('f.filename')}"
+            f" WHERE {where} AND {flag} AND {mentions('f.filename', like=like)}"
         )
         extra = ("attcontainter", "attachment")
     elif code in texts:
         source, where, columns = texts[code]
-        sql, extra = f"SELECT count(*) FROM {source} WHERE {where} AND {mentions(*columns)}", ()
+        sql, extra = f"SELECT count(*) FROM {source} WHERE {where} AND {mentions(*columns, like=like)}", ()
     else:
         source = TREE
         sql = (
             f"SELECT count(*) FROM {TREE} WHERE p.assetoi IN (SELECT parent_oi FROM closure WHERE child_oi = {HIERARCHY_CHILD})"
-            f" AND {mentions('v.docmgmtfile')}"
+            f" AND {mentions('v.docmgmtfile', like=like)}"
         )
         extra = ("closure",)
     words = source.replace("(", " ").split()
@@ -156,8 +158,8 @@ def branch_sql(code: str, sites=SITES, watch: str = RAW_WATCH) -> str:
     return with_tables(tables, f"SELECT '{BRANCHES[code]}' AS entity, ({count}) AS count_value", watch)
 
 
-def report_sql(sites=SITES, watch: str = RAW_WATCH) -> str:
-    parts = [f"SELECT '{BRANCHES[b]}' AS entity, ({branch_count_sql(b, sites)[0]}) AS n" for b in BRANCHES]
+def report_sql(sites=SITES, watch: str = RAW_WATCH, like: bool = False) -> str:
+    parts = [f"SELECT '{BRANCHES[b]}' AS entity, ({branch_count_sql(b, sites, like)[0]}) AS n" for b in BRANCHES]
     union = " UNION ALL ".join(parts)
     return with_tables(
         BOUND, f"SELECT entity, CAST(sum(n) AS BIGINT) AS total_count FROM ({union}) GROUP BY entity ORDER BY entity", watch

@@ -40,7 +40,7 @@ def spark_tables(spark, rows):
     return frames({t: spark.createDataFrame(r, SCHEMAS[t]) for t, r in rows.items()})
 
 
-def duck_branches(rows, sites, watch) -> dict[str, int]:
+def duck_branches(rows, sites, watch, like=False) -> dict[str, int]:
     """Every branch by its plain SQL over the same rows."""
     con = duckdb.connect()
     for table, values in rows.items():
@@ -51,4 +51,4 @@ def duck_branches(rows, sites, watch) -> dict[str, int]:
         if values:
             con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(columns))})", frame.values.tolist())
     con.execute(f"CREATE TABLE watch AS {watch}")
-    return {b: con.sql(oracle.branch_count_sql(b, sites)[0]).fetchall()[0][0] for b in oracle.BRANCHES}
+    return {b: con.sql(oracle.branch_count_sql(b, sites, like)[0]).fetchall()[0][0] for b in oracle.BRANCHES}

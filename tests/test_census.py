@@ -53,14 +53,16 @@ def test_hot_container_and_hot_parent(spark, monkeypatch):
     assert counts(tables, watch_list(watchlist, "like"), Scope(sites=SITES)) == want
 
 
-def test_list_in_several_portions(spark):
+@pytest.mark.parametrize("mode, sites", [("like", SITES), ("instr", None)])
+def test_list_beyond_a_task(spark, mode, sites):
     rows = random_rows(4)
-    tables, watchlist = spark_tables(spark, rows), watchlist_from_rows(spark, LIST)
-    watch = watch_list(watchlist, "like", pass_chars=12)
-    assert watch.n_passes > 1
-    want = duck_branches(rows, SITES, values([t.lower() for t in LIST]))
-    assert counts(tables, watch, Scope(sites=SITES)) == want
-    assert counts(tables, watch, Scope(sites=SITES), stage=False) == want
+    tables, watchlist = spark_tables(spark, rows), watchlist_from_rows(spark, [*LIST, "50% o", "a_b"])
+    terms = [t.match_term for t in (plan.raw_terms if mode == "like" else plan.normalized_terms)(watchlist).collect()]
+    watch = watch_list(watchlist, mode, task_chars=12)
+    want = duck_branches(rows, sites, values(terms), like=mode == "like")
+    assert counts(tables, watch, Scope(sites=sites)) == want
+    assert watch.terms(None) is None
+    assert counts(tables, watch, Scope(sites=sites), stage=False) == want
 
 
 def test_embedded_counts_rows_and_files_count_names(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import linkcensus.functions.matching as matching
 from linkcensus.functions.matching import Terms, WatchList, contains_any, keep_matching, without_covered
+from linkcensus.operators.blocked import keep_containing
 from linkcensus.operators.staging import Staging
 
 ALPHABET = list("aAbBkKiIsS/.:%_\\?()[]|+*^$ \n") + ["K", "İ", "̇", "é", "É", "ß", "ſ", "Σ", "😀"]
@@ -37,17 +38,24 @@ def texts(spark):
     return df.filter(F.col("id").isin(keep)), {i: rows[i] for i in keep}
 
 
-@pytest.mark.parametrize("way", ["jvm", "regex"])
+@pytest.mark.parametrize("way", ["jvm", "regex", "multipattern", "blocked"])
 @pytest.mark.parametrize("mode", ["like", "instr"])
 def test_against_brute_force(spark, monkeypatch, texts, way, mode):
     monkeypatch.setattr(matching, "JVM_PROBES", 1000 if way == "jvm" else 0)
-    monkeypatch.setattr(matching, "REGEX_TERMS", 3)
+    monkeypatch.setattr(matching, "REGEX_TERMS", 1000 if way == "regex" else 0)
     df, rows = texts
     rng = random.Random(9)
     lists = [["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(1, 4))).lower() for _ in range(6)] for _ in range(5)]
     lists += [["bk"], ["ai"], ["ib"], ["a_b"], ["a%b"], ["%"], ["_"], ["a\\q", "\\_"], ["bé", "k."], ["si"], ["/.:", "k/.:a"], ["./", "s./:", "a./:"], []]
+    if way == "blocked":
+        lists = lists[:2] + [sum(lists[2:5], []), ["%"], ["__", "aab"], ["bé", "k.", ""], []]
     for terms in lists:
-        found = df.filter(contains_any(Terms(terms, wildcards=mode == "like"), "text")).select("id").collect()
+        if way == "blocked":
+            table = spark.createDataFrame([(t,) for t in terms], "match_term string")
+            found = keep_containing(df, ["text"], ["id"], table, mode == "like", Staging(spark)).collect()
+            assert len({r.id for r in found}) == len(found)
+        else:
+            found = df.filter(contains_any(Terms(terms, wildcards=mode == "like"), "text")).select("id").collect()
         assert {r.id for r in found} == {i for i, t in rows.items() if brute(t, terms, mode)}, terms
 
 
@@ -82,13 +90,21 @@ def test_reduction_of_long_lists():
         assert without_covered(some) == kept
 
 
-def test_portions_keep_every_row_once(spark):
+def test_list_beyond_a_task_keeps_every_row_once(spark):
     df = spark.createDataFrame([("aa bb",), ("aa bb",), ("bb",), ("cc",), ("none",), (None,)], "text string")
-    terms = spark.createDataFrame([("aa",), ("bb",), ("cc",), ("dd",)], "match_term string")
-    watch = WatchList(terms, "instr", pass_chars=3)
-    assert watch.n_passes == 3
+    terms = spark.createDataFrame([("aa",), ("bb",), ("cc",), ("dd",), ("aab",)], "match_term string")
     for stage in (True, False):
-        assert keep_matching(df, watch, "text", staging=Staging(spark, stage)).count() == 4
+        watch = WatchList(terms, "instr", task_chars=3)
+        found = keep_matching(df, watch, "text", staging=Staging(spark, stage))
+        assert watch.terms(Staging(spark, stage)) is None
+        assert sorted(r.text for r in found.collect()) == ["aa bb", "aa bb", "bb", "cc"]
+
+
+def test_list_that_fits_once_covered_terms_are_gone(spark):
+    terms = spark.range(2000).selectExpr("concat('host', id % 3, '.example/', id) AS match_term")
+    terms = terms.union(spark.createDataFrame([(f"host{i}.example",) for i in range(3)], "match_term string"))
+    watch = WatchList(terms, "instr", task_chars=100)
+    assert sorted(watch.terms(Staging(spark)).literals) == [f"host{i}.example" for i in range(3)]
 
 
 def test_null_in_one_of_two_columns(spark):
