@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle  # noqa: E402
-from linkcensus import BRANCHES, Scope, branch_counts, census, normalized_terms, raw_terms, watch_list  # noqa: E402
+from linkcensus import BRANCHES, Scope, branch_counts, census, normalized_terms, raw_terms, watch_list, watchlist_from_rows  # noqa: E402
 from linkcensus.functions.matching import WatchList, keep_matching  # noqa: E402
 from linkcensus.functions.urls import normalized_url  # noqa: E402
 from linkcensus.operators.attachments import attachment_kind, chain_rows  # noqa: E402
+from linkcensus.operators.covering import without_covered_terms  # noqa: E402
 from linkcensus.operators.procedures import in_hierarchy, procedure_tree  # noqa: E402
 from linkcensus.operators.scope import at_listed_sites  # noqa: E402
 from linkcensus.operators.staging import Staging  # noqa: E402
 from linkcensus.sources.driver_tables import SITES, driver_tables, driver_watchlist  # noqa: E402
 
-try:  # the training-data operators are a subpackage of their own, and may be absent
+try:  # the training-data operators are a subpackage of their own; they, or a library of theirs, may be absent
     import corpus_pipeline
     from linkcensus.llm.queries import ORACLES, QUERIES
 except ImportError as error:
-    if not (error.name or "").startswith(("corpus_pipeline", "linkcensus.llm", "public_tokenizers")):
-        raise
+    print(f"training-data queries are left out: {error}", file=sys.stderr)
     LLM_QUERIES, LLM_ORACLES = {}, {}
 else:
     LLM_QUERIES, LLM_ORACLES = {**QUERIES, "pipeline": corpus_pipeline.run}, ORACLES
@@ -36,6 +36,10 @@ SCOPED = Scope(sites=SITES)
 
 # LIKE terms with wildcards, for the matcher's own query.
 LIKE_TERMS = ("thand", "li_ense", "small ring", "tele%number", "50%off_")
+# A watch-list with wildcards, for a report.
+WILD_URLS = ("https://%.example.net/fr/_?", "HTTP://m.%/EN/5__", ".example.com/de/%ref=_", "li_ense%see", "Small%G", "\"k\": _}", "ma_hine%")
+# What a task may hold of a list, to send a short one through the join that long lists take.
+SMALL_TASK = 1_000
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -55,6 +59,10 @@ def report_all_sites_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census(driver_tables(spark, sf_dir), driver_watchlist(spark), "like", Scope())
 
 
+def report_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return census(driver_tables(spark, sf_dir), watchlist_from_rows(spark, WILD_URLS), "like", Scope())
+
+
 def _branch(code: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         watch = watch_list(driver_watchlist(spark), "like")
@@ -113,11 +121,38 @@ def contains_any_instr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contains_any_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages under the path of a page of an English section: a list that grows."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    english = pages.filter(F.col("url").contains("/en/"))
-    terms = english.select(normalized_url("url")["no_scheme"].alias("match_term"))
-    return keep_matching(pages, WatchList(terms, "instr"), "url", staging=Staging(spark)).select("page_id")
+    """Pages that mention the path of any page: a list that grows."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    terms = pages.select(normalized_url("url")["no_scheme"].alias("match_term"))
+    return keep_matching(pages, WatchList(terms, "instr"), "url", "html", staging=Staging(spark), keep=["page_id"])
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents from their 200th character on, and terms from what stands before: four pieces of each document."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = F.array(*[F.lower(F.substring("text", a, 30)) for a in (11, 41, 71, 101)])
+    terms = documents.select(F.explode(pieces).alias("match_term")).filter("length(match_term) = 30")
+    return documents.selectExpr("doc_id", "substring(text, 200) AS text"), terms
+
+
+def contains_any_thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a piece of any document, literally: thousands of terms."""
+    documents, terms = _fragments(spark, sf_dir)
+    return keep_matching(documents, WatchList(terms, "instr"), "text", staging=Staging(spark), keep=["doc_id"])
+
+
+def contains_any_beyond_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with wildcards, and the list beyond what a task may hold."""
+    documents, terms = _fragments(spark, sf_dir)
+    watch = WatchList(terms, "like", task_chars=SMALL_TASK)
+    return keep_matching(documents, watch, "text", staging=Staging(spark), keep=["doc_id"])
+
+
+def reduced_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and text pieces without those that hold another one."""
+    terms = normalized_terms(_listed_pages(spark, sf_dir)).unionByName(_fragments(spark, sf_dir)[1])
+    terms = terms.select(F.explode(F.array("match_term", F.substring("match_term", 5, 9))).alias("match_term"))
+    return without_covered_terms(terms.filter("match_term <> ''"), False, Staging(spark))
 
 
 def contains_any_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +194,10 @@ def queries() -> dict[str, Query]:
         "contains_any_like": contains_any_like,
         "contains_any_instr": contains_any_instr,
         "contains_any_long_list": contains_any_long_list,
+        "contains_any_thousands": contains_any_thousands,
+        "contains_any_beyond_task": contains_any_beyond_task,
         "contains_any_two_columns": contains_any_two_columns,
+        "reduced_terms": reduced_terms,
         "attachment_chain": attachment_chain,
         "hierarchy_semi": hierarchy_semi,
         "procedure_tree": procedure_tree_rows,
@@ -168,6 +206,7 @@ def queries() -> dict[str, Query]:
         "report_scoped_like": report_scoped_like,
         "report_scoped_normalized": report_scoped_normalized,
         "report_all_sites_like": report_all_sites_like,
+        "report_wildcards": report_wildcards,
         **LLM_QUERIES,
     }
 
@@ -197,10 +236,15 @@ def oracle_sql() -> dict[str, str]:
             [], f"SELECT page_id FROM pages WHERE {oracle.mentions('html')}", oracle.NORMALIZED_WATCH
         ),
         "contains_any_long_list": with_tables(
-            [],
-            f"SELECT page_id FROM pages WHERE {oracle.mentions('url')}",
-            f"SELECT {normal['no_scheme']} term FROM pages WHERE url LIKE '%/en/%'",
+            [], f"SELECT page_id FROM pages WHERE {oracle.mentions('url', 'html')}", f"SELECT {normal['no_scheme']} term FROM pages"
+        ),
+        "contains_any_thousands": with_tables(
+            [], f"SELECT doc_id FROM documents WHERE {oracle.mentions('substr(text, 200)')}", oracle.FRAGMENTS
+        ),
+        "contains_any_beyond_task": with_tables(
+            [], f"SELECT doc_id FROM documents WHERE {oracle.mentions('substr(text, 200)', like=True)}", oracle.FRAGMENTS
         ),
+        "reduced_terms": oracle.reduced(f"{oracle.normalized('pages', 'url')} UNION {oracle.FRAGMENTS}"),
         "contains_any_two_columns": with_tables(
             ["eprecommendations"],
             "SELECT asset_oi, count(*) AS n FROM eprecommendations"
@@ -230,5 +274,6 @@ def oracle_sql() -> dict[str, str]:
         "report_scoped_like": oracle.report_sql(),
         "report_scoped_normalized": oracle.report_sql(watch=oracle.NORMALIZED_WATCH),
         "report_all_sites_like": oracle.report_sql(sites=None),
+        "report_wildcards": oracle.report_sql(sites=None, watch=oracle.listed(WILD_URLS), like=True),
         **LLM_ORACLES,
     }

@@ -6,7 +6,7 @@ Terms are lower-case, fields are compared in lower case.
   with a common beginning share a cheap test for that beginning, so that a list of
   URLs of one host costs about as much as a single ``contains``.
 * more terms, as many as one regular expression takes: that expression over whole Arrow batches.
-* more than that: one pass of ``multipattern`` over Arrow batches, whatever their number.
+* more than that, or with wildcards: one pass of ``multipattern`` over Arrow batches, whatever their number.
 * in all these a test for characters all terms share, ``://`` in a list of URLs,
   comes first and spares most fields everything else.
 * lists beyond one task's memory: covered terms are removed as a table, and if that is
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkcensus.functions.multipattern import Matcher
+from linkcensus.functions.multipattern import Matcher, like_regex, quoted
 from linkcensus.operators.blocked import keep_containing
 from linkcensus.operators.covering import without_covered_terms
 from linkcensus.operators.staging import Staging
@@ -122,8 +122,8 @@ def _contains_any(terms: Terms, column: str) -> Column:
     n = len(terms.literals) + len(terms.patterns)
     if n <= JVM_TERMS and len(groups) + len(terms.patterns) <= JVM_PROBES:
         found = _by_expression(terms, groups, column)
-    elif n <= REGEX_TERMS and sum(map(len, terms.literals + terms.patterns)) <= REGEX_CHARS:
-        found = _by_regex(terms, column)
+    elif not terms.patterns and n <= REGEX_TERMS and sum(map(len, terms.literals)) <= REGEX_CHARS:
+        found = _by_regex(terms.literals, column)
     else:
         found = _by_matcher(terms, column)
     piece = None if terms.patterns else _caseless_piece(terms.literals)
@@ -145,8 +145,7 @@ def _caseless_piece(literals: list[str]) -> str | None:
 def _by_expression(terms: Terms, groups: list[list[str]], column: str) -> Column:
     def test(text: Column) -> Column:
         probes = [_probe(text, g) for g in groups]
-        # LIKE takes a backslash as an escape unless it is doubled.
-        probes += [text.cast("string").like("%" + p.replace("\\", "\\\\") + "%") for p in terms.patterns]
+        probes += [text.cast("string").rlike(like_regex(p)) for p in terms.patterns]
         return reduce(or_, probes)
 
     # A one-element array binds the lower-cased text, so it is computed only once;
@@ -154,11 +153,10 @@ def _by_expression(terms: Terms, groups: list[list[str]], column: str) -> Column
     return F.exists(F.array(F.lower(column).cast("binary")), test)
 
 
-def _by_regex(terms: Terms, column: str) -> Column:
+def _by_regex(literals: list[str], column: str) -> Column:
     """ASCII literals are found in the text as it is; the rest in its lower case."""
-    ascii_only = [t for t in terms.literals if t.isascii()]
-    rest = [_quoted(t) for t in terms.literals if not t.isascii()]
-    rest += [_quoted(p).replace("%", ".*").replace("_", ".") for p in terms.patterns]
+    ascii_only = [t for t in literals if t.isascii()]
+    rest = [quoted(t) for t in literals if not t.isascii()]
     found = []
     if ascii_only:
         found.append(_in_batches([_any_case(t) for t in ascii_only])(column))
@@ -198,10 +196,6 @@ def _probe(text: Column, group: list[str]) -> Column:
     return found & reduce(or_, [_probe(text, b) for b in branches.values()])
 
 
-def _quoted(text: str) -> str:
-    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
-
-
 def _any_case(term: str) -> str:
     """Expression that finds in a text what an ASCII ``term`` finds in its lower case.
 
@@ -210,7 +204,7 @@ def _any_case(term: str) -> str:
     ASCII character can follow.
     """
     letters = {c: f"[{c}{c.upper()}]" for c in "abcdefghijklmnopqrstuvwxyz"} | {"k": "[kK\u212a]"}
-    out = [letters.get(c) or _quoted(c) for c in term]
+    out = [letters.get(c) or quoted(c) for c in term]
     if term.endswith("i"):
         out[-1] = "[iI\u0130]"
     return "".join(out)

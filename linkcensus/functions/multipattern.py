@@ -34,6 +34,21 @@ def segments(pattern: str) -> list[str]:
     return [s for s in re.split("[%_]+", pattern) if s]
 
 
+def quoted(text: str) -> str:
+    """A literal as a regular expression of Java, Python and RE2."""
+    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
+
+
+def like_regex(pattern: str) -> str:
+    """Regular expression of Java and Python that finds what LIKE finds with ``%`` at both ends.
+
+    What stands between two ``%`` has a fixed length, so the leftmost places will do: atomic
+    groups keep the search from going back.
+    """
+    parts = [p for p in pattern.split("%") if p]
+    return r"(?s)\A" + "".join("(?>.*?" + "".join("." if c == "_" else quoted(c) for c in p) + ")" for p in parts)
+
+
 def lower_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts in one row with A-Z in lower case, and where each begins and the last ends; null is empty.
 
@@ -149,8 +164,7 @@ class Matcher:
 
     @cached_property
     def _tests(self) -> list[re.Pattern]:
-        parts = [re.split("([%_])", p) for p in self.patterns]
-        return [re.compile("".join({"%": ".*", "_": "."}.get(x) or re.escape(x) for x in p), re.DOTALL) for p in parts]
+        return [re.compile(like_regex(p)) for p in self.patterns]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_anchors", "_tests")}

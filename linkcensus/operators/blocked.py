@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from linkcensus.functions.multipattern import lower_bytes, segments
+from linkcensus.functions.multipattern import like_regex, lower_bytes, segments
 from linkcensus.functions.windows import widest, window_hashes
 from linkcensus.operators.staging import Staging
 
@@ -34,7 +34,7 @@ MOST_BITS = 26  # of the bit map: 8 MB
 POSITIONS = 8  # windows of a term that may become its anchor
 BLOCK = 1 << 18  # bytes of text hashed at a time
 BATCH_ROWS = 1 << 14  # candidates passed on at a time
-_WINDOWS = "match_term string, segment binary, pattern boolean, width int, place int, hash long"
+_WINDOWS = "match_term string, segment binary, pattern string, width int, place int, hash long"
 
 
 def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
@@ -51,7 +51,7 @@ def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
                 width = widest(len(segment))
                 hashes = next(window_hashes(np.frombuffer(segment, "uint8"), [width]))[1]
                 for place in np.unique(np.linspace(0, len(hashes) - 1, POSITIONS).astype("int64")).tolist():
-                    rows.append((term, segment, parts != [term], width, place, int(hashes[place].view("int64"))))
+                    rows.append((term, segment, like_regex(term) if parts != [term] else None, width, place, int(hashes[place].view("int64"))))
             columns = zip(*rows, strict=True) if rows else [[] for _ in _WINDOWS.split(", ")]
             yield _batch([list(c) for c in columns], _WINDOWS)
 
@@ -73,8 +73,10 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
 class BitMap:
     """Two bits for each of a set of 64-bit hashes."""
 
-    def __init__(self, hashes: DataFrame):
-        n = max(1, hashes.count())
+    def __init__(self, hashes: DataFrame, n: int):
+        self.words = None
+        if not n:
+            return
         self.bits = min(MOST_BITS, max(10, (16 * n).bit_length()))
         places = F.array(F.shiftrightunsigned("hash", 64 - self.bits), F.col("hash").bitwiseAND((1 << self.bits) - 1))
         words = hashes.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(
@@ -86,6 +88,8 @@ class BitMap:
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Where a hash may be in the set."""
+        if self.words is None:
+            return np.empty(0, "int64")
         at = np.flatnonzero(self._bit(hashes >> np.uint64(64 - self.bits)))
         return at[self._bit(hashes[at] & np.uint64((1 << self.bits) - 1))]
 
@@ -107,8 +111,12 @@ def contained(rows: DataFrame, columns: Sequence[str], keep: Sequence[str], anch
     A row is given for each term that it contains, more than once where the term lies several times.
     Numbers are given in the scan and go with the rows, so that no second scan has to repeat them.
     """
-    literal, patterns = (BitMap(anchors.filter(test).select("hash")) for test in ("NOT pattern", "pattern"))
-    widths = sorted(r.width for r in anchors.select("width").distinct().collect())
+    sizes = anchors.groupBy("width", F.isnull("pattern").alias("literal")).count().collect()
+    widths = sorted({r.width for r in sizes})
+    literal, patterns = (
+        BitMap(anchors.filter(F.isnull("pattern") == F.lit(kind)).select("hash"), sum(r["count"] for r in sizes if r.literal == kind))
+        for kind in (True, False)
+    )
     given = rows.select(*keep, *(F.col(c).alias(f"_searched_{i}") for i, c in enumerate(columns)))
     kept = given.select(*keep).schema
     schema = StructType(kept.fields).add("_row", "long").add("width", "integer").add("hash", "long").add("at", "integer").add("around", "binary").add("whole", "string")
@@ -128,7 +136,7 @@ def contained(rows: DataFrame, columns: Sequence[str], keep: Sequence[str], anch
 
     found = given.mapInArrow(scan, schema)
     held = "at >= place AND substring(around, at - place + 1, octet_length(segment)) = segment"
-    fits = "(NOT pattern OR whole LIKE concat('%', replace(match_term, '\\\\', '\\\\\\\\'), '%'))"
+    fits = "(pattern IS NULL OR whole rlike pattern)"
     return found.join(anchors, ["width", "hash"]).filter(f"{held} AND {fits}").select(*keep, "_row", "match_term")
 
 

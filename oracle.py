@@ -66,10 +66,29 @@ def normalized(source: str, column: str) -> str:
     )
 
 
-RAW_WATCH = f"SELECT lower(url) term FROM (VALUES {_values(WATCHLIST)}) l(url)"
+def listed(urls) -> str:
+    return f"SELECT lower(url) term FROM (VALUES {_values(urls)}) l(url)"
+
+
+RAW_WATCH = listed(WATCHLIST)
 NORMALIZED_WATCH = normalized(f"(VALUES {_values(WATCHLIST)}) l(url)", "url")
 
 
+# Four pieces of the beginning of every document.
+FRAGMENTS = "SELECT DISTINCT term FROM (" + " UNION ALL ".join(
+    f"SELECT lower(substr(text, {a}, 30)) term FROM documents" for a in (11, 41, 71, 101)
+) + ") WHERE length(term) = 30"
+
+
+def reduced(terms: str) -> str:
+    """Terms and the nine characters from the fifth on of each, without those that hold another one."""
+    return (
+        f"WITH whole AS ({terms}), t AS (SELECT term FROM whole UNION SELECT substr(term, 5, 9) FROM whole)"
+        " SELECT term AS match_term FROM t WHERE term <> '' AND NOT EXISTS"
+        " (SELECT 1 FROM t AS s WHERE s.term <> '' AND s.term <> t.term AND contains(t.term, s.term))"
+    )
+
+
 def mentions(*columns: str, like: bool = False) -> str:
     """``like``: ``%`` and ``_`` in a term are wildcards; nothing escapes them."""
     form = "lower({}) LIKE '%' || w.term || '%'" if like else "instr(lower({}), w.term) > 0"
