@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkcensus.model import Scope
-from linkcensus.operators.keys import lookup, only_keys
+from linkcensus.operators.keys import lookup, only_keys, perhaps_keys
 
 # Branch -> table whose records own the containers.
 OWNERS: dict[str, str] = {
@@ -47,19 +47,23 @@ def owner_records(branch: str, tables: Mapping[str, DataFrame], scope: Scope) ->
     elif branch == "B10":
         df = df.filter(scope.open_request())
     if branch == "B09":
-        # A task has no site and no status of its own; its order has.
+        # A task has no site and no status of its own; its order has. Whether some task owns a
+        # container is all that counts, so each pair of order and container comes to the join once.
+        pairs = df.filter("attachmentco_oi IS NOT NULL").select("workorder_oi", "attachmentco_oi").distinct()
         orders = tables["workorders"].filter(scope.open_order() & scope.at_site()).select("workordersoi")
-        return df.join(orders, F.col("workorder_oi") == F.col("workordersoi"), "left_semi")
+        orders = perhaps_keys(orders, "workordersoi", pairs.select("workorder_oi"))
+        return pairs.join(orders, F.col("workorder_oi") == F.col("workordersoi"), "left_semi")
     return df.filter(scope.at_site())
 
 
 def container_owners(
-    branches: set[str], tables: Mapping[str, DataFrame], scope: Scope, wanted: DataFrame | None
+    branches: set[str], tables: Mapping[str, DataFrame], scope: Scope, wanted: DataFrame, few: bool
 ) -> DataFrame:
     """One row per listed container: ``container, owners, embedding_owners, listed``.
 
     ``owners`` has a bit per branch of OWNERS, ``embedding_owners`` counts the
-    records that own it for the embedded branch, ``listed`` the container rows.
+    records that own it for the embedded branch, ``listed`` the container rows. Only
+    containers of ``wanted`` matter; ``few`` says that these are within BROADCAST_ROWS.
     """
     rows = []
     for bit, branch in enumerate(OWNERS):
@@ -69,7 +73,7 @@ def container_owners(
         source = tables
         if branch == "B09":
             # Thinned by container first, so that fewer orders are looked up.
-            thin = only_keys(tables["workordertask"], "attachmentco_oi", wanted)
+            thin = only_keys(tables["workordertask"], "attachmentco_oi", wanted, few)
             source = ChainMap({"workordertask": thin}, tables)
         rows.append(
             owner_records(branch, source, scope).selectExpr(
@@ -83,7 +87,7 @@ def container_owners(
     )
     # The thinning is pushed down into every scan.
     return (
-        only_keys(reduce(DataFrame.unionByName, rows).filter("container IS NOT NULL"), "container", wanted)
+        only_keys(reduce(DataFrame.unionByName, rows).filter("container IS NOT NULL"), "container", wanted, few)
         .groupBy("container")
         .agg(
             F.bit_or("owners").alias("owners"),
@@ -106,7 +110,7 @@ def attachment_counts(
     Files count once per distinct, case-sensitive name and branch; embedded
     attachments count once per row of the join.
     """
-    holders = container_owners(branches, tables, scope, hits.select("container") if few else None)
+    holders = container_owners(branches, tables, scope, hits.select("container"), few)
     reached = lookup(hits, holders, "container", "inner", few, "filename")
     is_file = F.col("kind") == "file"
     per_name = reached.groupBy("filename").agg(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkcensus.model import Scope
+from linkcensus.operators import keys
 from linkcensus.operators.keys import key_counts, lookup, only_keys, weighted
+from linkcensus.operators.skew import hot_keys, left_join, sizes_within
 
 
 def in_hierarchy(tables: Mapping[str, DataFrame], scope: Scope, assets: DataFrame) -> DataFrame:
@@ -19,35 +21,48 @@ def in_hierarchy(tables: Mapping[str, DataFrame], scope: Scope, assets: DataFram
 
 def procedure_tree(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Procedures with site, top asset, document type and current version, where
-    the version has its own procedure, site and time zone; all joins left outer."""
+    the version has its own procedure, site and time zone; all joins left outer.
+
+    Hot keys of the tables on the left, where these are beyond BROADCAST_ROWS, are split.
+    """
+    keyed = {
+        "site": ["topasset_oi", "timezone_oi"],
+        "stdprocedures": ["site_oi", "stddproctype_oi", "currentrev_oi"],
+        "stdprocedureversn": ["stdprocedure_oi"],
+    }
+    small = sizes_within({t: tables[t] for t in keyed}, keys.BROADCAST_ROWS)
+    hot = {t: {} if small[t] else hot_keys(tables[t], columns) for t, columns in keyed.items()}
+
     asset = tables["asset"].select("assetoi")
-    sited = tables["site"].join(asset, F.col("topasset_oi") == F.col("assetoi"), "left")
+    sited = left_join(tables["site"], asset, "topasset_oi", "assetoi", hot["site"].get("topasset_oi"))
     sited = sited.select(F.col("siteoi").alias("site_key"), F.col("assetoi").alias("top_asset"))
 
-    zoned = tables["site"].join(tables["timezone"], F.col("timezone_oi") == F.col("omtimezoneoi"), "left")
+    zoned = left_join(tables["site"], tables["timezone"], "timezone_oi", "omtimezoneoi", hot["site"].get("timezone_oi"))
     zoned = zoned.select(F.col("siteoi").alias("version_site"), F.col("omtimezoneoi").alias("version_timezone"))
     origin = tables["stdprocedures"].select(
         F.col("stdprocedureanddocumentsoi").alias("version_procedure"), F.col("site_oi").alias("_origin_site")
     )
-    origin = origin.join(zoned, F.col("_origin_site") == F.col("version_site"), "left")
-    versions = tables["stdprocedureversn"].join(origin, F.col("stdprocedure_oi") == F.col("version_procedure"), "left")
-
-    return (
-        tables["stdprocedures"]
-        .join(sited, F.col("site_oi") == F.col("site_key"), "left")
-        .join(tables["stdprocdoctypes"], F.col("stddproctype_oi") == F.col("stdproceduresanddocstypesoi"), "left")
-        .join(versions, F.col("currentrev_oi") == F.col("stdprocedureversionoi"), "left")
-        .select(
-            F.col("stdprocedureanddocumentsoi").alias("procedure"),
-            "site_key",
-            "top_asset",
-            F.col("stdproceduresanddocstypesoi").alias("doc_type"),
-            F.col("stdprocedureversionoi").alias("version"),
-            "docmgmtfile",
-            "version_procedure",
-            "version_site",
-            "version_timezone",
-        )
+    origin = left_join(origin, zoned, "_origin_site", "version_site", hot["stdprocedures"].get("site_oi"))
+    versions = tables["stdprocedureversn"]
+    versions = left_join(versions, origin, "stdprocedure_oi", "version_procedure", hot["stdprocedureversn"].get("stdprocedure_oi"))
+
+    tree = tables["stdprocedures"]
+    for right, left_key, right_key in (
+        (sited, "site_oi", "site_key"),
+        (tables["stdprocdoctypes"], "stddproctype_oi", "stdproceduresanddocstypesoi"),
+        (versions, "currentrev_oi", "stdprocedureversionoi"),
+    ):
+        tree = left_join(tree, right, left_key, right_key, hot["stdprocedures"].get(left_key))
+    return tree.select(
+        F.col("stdprocedureanddocumentsoi").alias("procedure"),
+        "site_key",
+        "top_asset",
+        F.col("stdproceduresanddocstypesoi").alias("doc_type"),
+        F.col("stdprocedureversionoi").alias("version"),
+        "docmgmtfile",
+        "version_procedure",
+        "version_site",
+        "version_timezone",
     )
 
 
@@ -70,10 +85,8 @@ def procedure_count(
     origins = tables["stdprocedures"].select(
         F.col("stdprocedureanddocumentsoi").alias("key2"), F.col("site_oi").alias("site")
     )
-    if few:
-        origins = only_keys(origins, "key2", hits.select("key2")).join(per_site, "site", "left")
-    else:
-        origins = lookup(origins.filter("key2 IS NOT NULL"), per_site, "site", "left", False, "key2")
+    origins = only_keys(origins, "key2", hits.select("key2"), few)
+    origins = origins.join(per_site, "site", "left") if few else lookup(origins, per_site, "site", "left", False, "key2")
     per_procedure = origins.groupBy("key2").agg(_rows("per_site").alias("origin_rows"))
     versions = lookup(hits, per_procedure, "key2", "left", few, "key")
     versions = versions.select("key", (F.col("n") * F.coalesce("origin_rows", F.lit(1))).alias("n"))

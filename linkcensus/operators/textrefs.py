@@ -82,7 +82,7 @@ def text_counts(
 
     if "B18" in branches:
         # Activity -> task -> order. The activity brought its own site, so any open
-        # order will do.
+        # order will do. How many orders the tasks name is not known, so a bit map thins them.
         found = hits.filter(F.col("kind") == "B18").select("key", "n")
         tasks = tables["workordertask"].select("workordertaskoi", "workorder_oi")
         by_order = (

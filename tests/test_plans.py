@@ -52,7 +52,9 @@ def test_few_hits_are_broadcast_and_many_are_not(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in few and "SortMergeJoin" not in few
-    assert "Broadcast" not in many and "_salt" in many
+    # beyond the bound only bit maps of keys are broadcast
+    joins = [line for line in many.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("_word" in line for line in joins) and "_salt" in many
 
 
 def test_no_nested_loops_anywhere(spark):
@@ -81,9 +83,46 @@ def test_hot_order_of_tasks_is_split(spark):
     try:
         for key, value in conf.items():
             spark.conf.set(key, value)
-        owners = container_owners({"B09"}, tables, Scope(sites=(3,)), None)
+        owners = container_owners({"B09"}, tables, Scope(sites=(3,)), containers, False)
         assert len(owners.collect()) == 200_000
         assert "SortMergeJoin(skew=true)" in plan_of(owners)
     finally:
         for key in conf:
             spark.conf.unset(key)
+
+
+def thinned(spark, branch, monkeypatch, few):
+    """What a branch shuffles of its orders, and the plan."""
+    tables, watch = driver_tables(spark, SF_DIR), watch_list(driver_watchlist(spark), "like")
+    if not few:
+        monkeypatch.setattr(keys, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return plan_of(branch_counts(tables, watch, Scope(sites=SITES), [branch]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("branch", ["B09", "B18"])
+def test_orders_are_thinned_before_their_shuffle(spark, monkeypatch, branch, few):
+    lines = thinned(spark, branch, monkeypatch, few).splitlines()
+    scans = [i for i, line in enumerate(lines) if "orders.parquet" in line]
+    assert scans
+    for scan in scans:
+        depth = len(lines[scan]) - len(lines[scan].lstrip(" :"))
+        above = [line for line in lines[:scan] if len(line) - len(line.lstrip(" :")) < depth]
+        joined = next(line for line in reversed(above) if "Join" in line or "Exchange" in line)
+        assert "BroadcastHashJoin" in joined, joined
+
+
+def test_bit_map_lets_wanted_keys_through_and_few_others(spark):
+    rows = spark.range(200_000).selectExpr("IF(id % 1000 = 0, NULL, id) AS k", "id AS n")
+    wanted = spark.range(0, 2_000, 2).selectExpr("IF(id = 0, NULL, id) AS key")
+    left = keys.perhaps_keys(rows, "k", wanted)
+    assert left.columns == ["k", "n"]
+    found = {r.k for r in left.collect()}
+    assert {i for i in range(2, 2_000, 2) if i % 1000} <= found and None not in found and len(found) < 1_100
+    assert keys.perhaps_keys(rows, "k", wanted.filter("false")).count() == 0
