@@ -32,36 +32,53 @@ from linkcensus.operators.staging import Staging
 
 MOST_BITS = 26  # of the bit map: 8 MB
 POSITIONS = 8  # windows of a term that may become its anchor
+SKETCH_BITS = 18  # slots in which windows of the list are counted: 2 MB
 BLOCK = 1 << 18  # bytes of text hashed at a time
 BATCH_ROWS = 1 << 14  # candidates passed on at a time
 _WINDOWS = "match_term string, segment binary, pattern string, width int, place int, hash long"
 
 
 def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
-    """One row per distinct term with a literal character: its anchor (width, hash, place in the segment)."""
+    """One row per distinct term with a literal character: its anchor (width, hash, place in the segment).
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    How many windows of the list share a hash is counted in 2^SKETCH_BITS slots. The terms
+    are read twice and not shuffled but for making them distinct.
+    """
+
+    def segment_of(term: str) -> tuple[bytes, str | None] | None:
+        parts = segments(term) if wildcards else [term]
+        if parts:
+            return max((p.encode() for p in parts), key=len), like_regex(term) if parts != [term] else None
+        return None
+
+    def windows(segment: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+        width = widest(len(segment))
+        hashes = next(window_hashes(np.frombuffer(segment, "uint8"), [width]))[1]
+        places = np.unique(np.linspace(0, len(hashes) - 1, POSITIONS).astype("int64"))
+        return width, places, hashes[places]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [windows(s[0])[2] for s in map(segment_of, batch["match_term"].to_pylist()) if s]
+            slots, n = np.unique(np.concatenate([np.empty(0, "uint64"), *found]) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            yield _batch([slots.astype("int64"), n], "slot long, n long")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for term in batch["match_term"].to_pylist():
-                parts = segments(term) if wildcards else [term]
-                if not parts:
-                    continue
-                segment = max((p.encode() for p in parts), key=len)
-                width = widest(len(segment))
-                hashes = next(window_hashes(np.frombuffer(segment, "uint8"), [width]))[1]
-                for place in np.unique(np.linspace(0, len(hashes) - 1, POSITIONS).astype("int64")).tolist():
-                    rows.append((term, segment, like_regex(term) if parts != [term] else None, width, place, int(hashes[place].view("int64"))))
+                if found := segment_of(term):
+                    width, places, hashes = windows(found[0])
+                    best = len(places) - 1 - int(np.argmin(shared[hashes >> np.uint64(64 - SKETCH_BITS)][::-1]))
+                    rows.append((term, *found, width, int(places[best]), int(hashes[best].view("int64"))))
             columns = zip(*rows, strict=True) if rows else [[] for _ in _WINDOWS.split(", ")]
             yield _batch([list(c) for c in columns], _WINDOWS)
 
-    found = terms.select("match_term").filter("match_term <> ''").distinct().mapInArrow(windows, _WINDOWS)
-    shared = found.groupBy("width", "hash").agg(F.count(F.lit(1)).alias("shared"))
-    rank = F.struct("shared", (-F.col("place")).alias("place"))
-    best = found.join(shared, ["width", "hash"]).groupBy("match_term", "segment", "pattern", "width").agg(
-        F.min_by(F.struct("place", "hash"), rank).alias("at")
-    )
-    return best.select("match_term", "segment", "pattern", "width", "at.place", "at.hash")
+    distinct = terms.select("match_term").filter("match_term <> ''").distinct()
+    counted = distinct.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    shared = np.zeros(1 << SKETCH_BITS, "int64")
+    shared[counted["slot"].to_numpy("int64")] = counted["n"].to_numpy("int64")
+    return distinct.mapInArrow(choose, _WINDOWS)
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
