@@ -84,7 +84,7 @@ class LanguageFilter:
         return mixed >> np.uint64(64 - self.bits)
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """N-grams of each text, and how many of them each language contains, corrected."""
+        """Whether each text has a letter, and how many of its n-grams each language contains, corrected."""
         data = [letters_only(x).encode() for x in texts]
         size = np.array([max(0, len(x) - 3) for x in data])
         hits = np.zeros((len(texts), len(self.langs)))
@@ -102,17 +102,16 @@ class LanguageFilter:
                     seen = np.concatenate([[0], np.cumsum(masks >> np.uint8(i % 8) & 1, dtype="int64")])
                     hits[:, i] += seen[cuts[1:]] - seen[cuts[:-1]]
         corrected = np.clip((hits - size[:, None] * self.false_rate) / (1 - self.false_rate), 0, None)
-        return size, corrected
+        return np.array([len(x) > 0 for x in data], dtype="bool"), corrected
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score: the winner's part of all corrected counts. Ties go to the first name in order."""
-        size, counts = self.counts(texts)
+        known, counts = self.counts(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         total = counts.sum(axis=1)
         best = counts.argmax(axis=1)
         score = np.where(total > 0, counts.max(axis=1) / np.where(total > 0, total, 1), 1 / len(self.langs))
-        known = size > 0
         return [self.langs[i] if k else "und" for i, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 

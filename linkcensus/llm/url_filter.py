@@ -59,7 +59,7 @@ def judged(captures: DataFrame, intervals: DataFrame, lists: tuple[str, str] = (
     once. With no intervals nothing is blocked; with no captures the result is empty.
     """
     block, allow = lists
-    captures = captures.select("capture_id", "url", "fetched_on")
+    captures = captures.select("capture_id", "url", "fetched_on").distinct()
     depth = intervals.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).scalar()
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     names = captures.withColumns({"_host": host, "_segments": F.split(path, "/"), "_labels": F.split(host, r"\.")})
@@ -76,14 +76,15 @@ def judged(captures: DataFrame, intervals: DataFrame, lists: tuple[str, str] = (
     looked_up = names.select(
         "capture_id", "url", "fetched_on", _period(F.col("fetched_on")).alias("_period"), F.explode_outer(patterns).alias("pattern")
     )
-    last = captures.agg(F.max("fetched_on")).scalar()
-    until = F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)
-    cut = intervals.filter(F.col("valid_from") <= last).select(
+    # An interval is cut into the periods that have a capture, however far apart these are.
+    periods = captures.agg(F.collect_set(_period(F.col("fetched_on")))).scalar()
+    first, last = _period(F.col("valid_from")), _period(F.date_sub("valid_to", 1))
+    cut = intervals.withColumn("_periods", periods).select(
         "list",
         "pattern",
         "valid_from",
         "valid_to",
-        F.explode(F.sequence(_period(F.col("valid_from")), _period(until))).alias("_period"),
+        F.explode(F.filter("_periods", lambda p: (p >= first) & (last.isNull() | (p <= last)))).alias("_period"),
     )
     active = (F.col("valid_from") <= F.col("fetched_on")) & (
         F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to"))

@@ -272,3 +272,26 @@ def test_temporal_lists(spark):
                    8: (1, "example.org", True), 9: none}
     assert url_filter.judged(captures.limit(0), spans).collect() == []
     assert not any(r.blocked for r in url_filter.judged(captures, spans.limit(0)).collect())
+
+
+def test_one_letter_has_a_language(spark):
+    labelled = spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr")], "text string, lang string")
+    model = langid.train(labelled)
+    texts = ["a", "I", "x 1", "é", "ab", "1", "...", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    assert [got[i] for i in range(5)] == [("en", 0.5)] * 5
+    assert [got[i] for i in range(5, 9)] == [("und", 0.0)] * 4
+
+
+def test_days_far_off_cost_no_rows(spark):
+    entries = spark.sql("SELECT 'block' list, 'h' || id || '.org' pattern, DATE'2023-01-01' day, id seq, true added FROM range(50)")
+    spans = url_filter.validity_intervals(entries)
+    days = ["0001-01-01", "2023-01-01", "2023-01-01", "9999-12-31", None]
+    captures = spark.createDataFrame([(i, f"http://h{i}.org/x", d) for i, d in enumerate(days)], "capture_id long, url string, day string")
+    captures = captures.selectExpr("capture_id", "url", "CAST(day AS DATE) AS fetched_on")
+    judged = url_filter.judged(captures.union(captures), spans)
+    assert {r.capture_id: (r.n_active, r.blocked) for r in judged.collect()} == {
+        0: (0, False), 1: (1, True), 2: (1, True), 3: (1, True), 4: (0, False)
+    }
+    assert "explode(filter(" in judged._jdf.queryExecution().optimizedPlan().toString()
