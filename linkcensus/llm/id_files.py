@@ -45,6 +45,7 @@ LEAST_COUNT = 24
 KNOWN_PIECES = 200_000
 BLOCK_IDS = 200_000
 _STOPS, _PLAIN = ".,;:!?", "\u0130"
+_LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+$"  # all letters below _PLAIN
 _SLOTS = 18
 _HASH = np.uint32(0x9E3779B1)
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -67,6 +68,7 @@ class WordEncoder:
         others = [b for b in range(256) if b not in prints]
         self.alphabet = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.known: dict[str, list[int]] = {}
+        self.known_before: dict[str, list[int]] = {}
 
     @classmethod
     def cached(cls, path: str) -> WordEncoder:
@@ -78,18 +80,49 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text, the end id included. Null: empty."""
         code, distinct, counts = coded_words(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
-        found = self._words(distinct)
-        size = np.array([len(x) for x in found], dtype="int64")
-        flat = np.fromiter(itertools.chain.from_iterable(found), "uint16", size.sum())
+        size, flat = self._coded(distinct)
         first = np.cumsum(size) - size
         n = size[code]
         ids = flat[np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
         return np.insert(ids, upto, END_ID), np.diff(upto, prepend=0) + 1
 
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words has, and all their ids.
+
+        Words of plain letters with one stop after them, or none, are taken apart as arrays, so that
+        only distinct words in lower case are looked up; the rest one by one.
+        """
+        given = pa.array(words, pa.string())
+        core = pc.utf8_rtrim(given, _STOPS)
+        stops = (pc.binary_length(given).to_numpy() - pc.binary_length(core).to_numpy()).astype("int64")
+        plain = pc.match_substring_regex(core, _LETTERS).to_numpy(zero_copy_only=False) & (stops <= 1)
+        coded = pc.utf8_lower(core.filter(pa.array(plain))).dictionary_encode()
+        heads = coded.dictionary.to_pylist()
+        rest = np.flatnonzero(~plain)
+        parts = [self.known.get(h) or self._piece(h) for h in heads]
+        parts += [self._piece(s) for s in _STOPS]
+        parts += self._words([words[i] for i in rest.tolist()])
+        parts.append([])
+        size = np.fromiter(map(len, parts), "int64", len(parts))
+        flat = np.fromiter(itertools.chain.from_iterable(parts), "uint16", size.sum())
+        # two parts for each word: itself or its letters, and its stop or nothing
+        part = np.full((len(words), 2), len(parts) - 1)
+        part[plain, 0] = coded.indices.to_numpy()
+        part[rest, 0] = len(heads) + len(_STOPS) + np.arange(len(rest))
+        ends = np.frombuffer(given.buffers()[1], "int32")[given.offset + 1 : given.offset + 1 + len(words)]
+        stopped = np.flatnonzero(plain & (stops == 1))
+        place = np.zeros(256, "int64")
+        place[list(_STOPS.encode())] = np.arange(len(_STOPS))
+        part[stopped, 1] = len(heads) + place[np.frombuffer(given.buffers()[2], "uint8")[ends[stopped] - 1]]
+        part = part.ravel()
+        n = size[part]
+        ids = flat[np.repeat((np.cumsum(size) - size)[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return n.reshape(-1, 2).sum(axis=1), ids
+
     def _words(self, words: list[str]) -> list[list[int]]:
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
+        if len(self.known) > KNOWN_PIECES:  # what is used again moves to the younger of two generations
+            self.known, self.known_before = {}, self.known
         known, out, rest = self.known, [], []
         for i, word in enumerate(words):
             core = word.rstrip(_STOPS)
@@ -115,8 +148,11 @@ class WordEncoder:
         return out
 
     def _piece(self, piece: str) -> list[int]:
-        letters = piece if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
-        self.known[piece] = found = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        found = self.known_before.get(piece)
+        if found is None:
+            letters = piece if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
+            found = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        self.known[piece] = found
         return found
 
 
