@@ -18,7 +18,7 @@ from linkcensus.functions.urls import normalized_url  # noqa: E402
 from linkcensus.operators.attachments import attachment_kind, chain_rows  # noqa: E402
 from linkcensus.operators.covering import without_covered_terms  # noqa: E402
 from linkcensus.operators.procedures import in_hierarchy, procedure_tree  # noqa: E402
-from linkcensus.operators.scope import at_listed_sites  # noqa: E402
+from linkcensus.operators.scope import at_listed_sites, at_sites  # noqa: E402
 from linkcensus.operators.staging import Staging  # noqa: E402
 from linkcensus.sources.driver_tables import SITES, driver_tables, driver_watchlist  # noqa: E402
 
@@ -59,6 +59,13 @@ def report_all_sites_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census(driver_tables(spark, sf_dir), driver_watchlist(spark), "like", Scope())
 
 
+def report_site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoped report with its sites from a table, repeated and null ones in it."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    sites = nations.join(spark.createDataFrame([(s,) for s in (*SITES, *SITES)], "s int"), F.col("n_nationkey") == F.col("s"), "left").select("s")
+    return census(driver_tables(spark, sf_dir), driver_watchlist(spark), "like", Scope(sites=sites))
+
+
 def report_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census(driver_tables(spark, sf_dir), watchlist_from_rows(spark, WILD_URLS), "like", Scope())
 
@@ -164,7 +171,7 @@ def contains_any_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachment_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = driver_tables(spark, sf_dir)
-    return chain_rows(tables, tables["asset"].filter(SCOPED.at_site()))
+    return chain_rows(tables, at_sites(tables["asset"], SCOPED))
 
 
 def hierarchy_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +214,7 @@ def queries() -> dict[str, Query]:
         "report_scoped_normalized": report_scoped_normalized,
         "report_all_sites_like": report_all_sites_like,
         "report_wildcards": report_wildcards,
+        "report_site_table": report_site_table,
         **LLM_QUERIES,
     }
 
@@ -274,6 +282,7 @@ def oracle_sql() -> dict[str, str]:
         "report_scoped_like": oracle.report_sql(),
         "report_scoped_normalized": oracle.report_sql(watch=oracle.NORMALIZED_WATCH),
         "report_all_sites_like": oracle.report_sql(sites=None),
+        "report_site_table": oracle.report_sql(),
         "report_wildcards": oracle.report_sql(sites=None, watch=oracle.listed(WILD_URLS), like=True),
         **LLM_ORACLES,
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Logical tables and the columns the census reads from them.
@@ -65,18 +65,16 @@ HIERARCHY_CHILD = 11
 
 @dataclass(frozen=True)
 class Scope:
-    """Which records count. ``sites=None`` means every site, a null one too."""
+    """Which records count. ``sites=None`` means every site, a null one too.
 
-    sites: tuple[int, ...] | None = None
+    ``sites`` may be a table, whose first column lists them; see ``operators.scope``.
+    """
+
+    sites: tuple[int, ...] | DataFrame | None = None
     order_statuses: tuple[int, ...] = ORDER_STATUSES
     request_statuses: tuple[int, ...] = REQUEST_STATUSES
     hierarchy_child: int = HIERARCHY_CHILD
 
-    def at_site(self, column: str = "site_oi") -> Column:
-        if self.sites is None:
-            return F.lit(True)
-        return F.col(column).isin([s for s in self.sites if s is not None])
-
     def open_order(self) -> Column:
         return F.col("wostatus").isin(list(self.order_statuses))
 

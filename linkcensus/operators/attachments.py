@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from linkcensus.model import Scope
 from linkcensus.operators.keys import lookup, only_keys, perhaps_keys
+from linkcensus.operators.scope import at_sites
 
 # Branch -> table whose records own the containers.
 OWNERS: dict[str, str] = {
@@ -50,10 +51,10 @@ def owner_records(branch: str, tables: Mapping[str, DataFrame], scope: Scope) ->
         # A task has no site and no status of its own; its order has. Whether some task owns a
         # container is all that counts, so each pair of order and container comes to the join once.
         pairs = df.filter("attachmentco_oi IS NOT NULL").select("workorder_oi", "attachmentco_oi").distinct()
-        orders = tables["workorders"].filter(scope.open_order() & scope.at_site()).select("workordersoi")
+        orders = at_sites(tables["workorders"].filter(scope.open_order()), scope).select("workordersoi")
         orders = perhaps_keys(orders, "workordersoi", pairs.select("workorder_oi"))
         return pairs.join(orders, F.col("workorder_oi") == F.col("workordersoi"), "left_semi")
-    return df.filter(scope.at_site())
+    return at_sites(df, scope)
 
 
 def container_owners(

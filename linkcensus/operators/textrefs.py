@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linkcensus.model import Scope
 from linkcensus.operators.keys import weighted
+from linkcensus.operators.scope import at_sites
 
 # Branches scoped by the record that holds the text: table, text columns.
 OWN_TEXT: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -37,7 +38,7 @@ def searched_rows(branch: str, tables: Mapping[str, DataFrame], scope: Scope) ->
     """Rows searched for ``branch``: ``kind, key, text`` and perhaps ``text2``."""
     if branch in OWN_TEXT:
         table, columns = OWN_TEXT[branch]
-        df = tables[table].filter(scope.at_site())
+        df = at_sites(tables[table], scope)
         if branch == "B14":
             df = df.filter(scope.open_request())
         key = "CAST(NULL AS BIGINT)"
@@ -46,7 +47,7 @@ def searched_rows(branch: str, tables: Mapping[str, DataFrame], scope: Scope) ->
         df = tables[table].filter(f"{key} IS NOT NULL")
         # An activity has a site of its own; the other children take the parent's.
         if branch == "B18":
-            df = df.filter(scope.at_site())
+            df = at_sites(df, scope)
     texts = [f"{c} AS {name}" for c, name in zip(columns, ("text", "text2"))]
     return df.selectExpr(f"'{branch}' AS kind", f"{key} AS key", *texts)
 
@@ -69,15 +70,15 @@ def text_counts(
 
     orders = tables["workorders"].filter(scope.open_order())
     parents = [
-        (("B15", "B17"), orders, scope.at_site(), "workordersoi"),
-        (("B16",), tables["workrequest"].filter(scope.open_request()), scope.at_site(), "workrequestoi"),
-        (("B19",), tables["asset"], scope.at_site(), "assetoi"),
+        (("B15", "B17"), orders, "workordersoi"),
+        (("B16",), tables["workrequest"].filter(scope.open_request()), "workrequestoi"),
+        (("B19",), tables["asset"], "assetoi"),
     ]
-    for kinds, parent, here, key in parents:
+    for kinds, parent, key in parents:
         asked = sorted(branches.intersection(kinds))
         if asked:
             found = hits.filter(F.col("kind").isin(asked)).select(F.col("kind").alias("branch"), "key", "n")
-            reached = weighted(found, parent.filter(here).select(key), key, few(*asked))
+            reached = weighted(found, at_sites(parent, scope).select(key), key, few(*asked))
             counts.append(reached.groupBy("branch").agg(F.sum("n").alias("n")))
 
     if "B18" in branches:

@@ -28,6 +28,7 @@ from linkcensus.operators.attachments import (
     attachment_kind,
 )
 from linkcensus.operators.procedures import procedure_count
+from linkcensus.operators.scope import resolved
 from linkcensus.operators.staging import Staging
 from linkcensus.operators.textrefs import OWN_TEXT, TEXT_BRANCHES, searched_rows, text_counts
 from linkcensus.sources.watchlist import normalized_terms, raw_terms
@@ -76,7 +77,7 @@ def _counts(
     tables: Mapping[str, DataFrame], watch: WatchList, scope: Scope, branches: Collection[str], stage: bool
 ) -> DataFrame:
     """``branch, entity, n``: a zero for every branch asked for, and what was counted."""
-    wanted = set(branches)
+    wanted, scope = set(branches), resolved(scope)
     spark = tables["attachment"].sparkSession
     staging = Staging(spark, stage)
     hits = find_hits(tables, watch, scope, wanted, staging)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import oracle
 from linkcensus import BRANCHES, Scope, branch_counts, census, watch_list, watchlist_from_rows
 from linkcensus.operators import keys
+from linkcensus.operators import scope as scope_operators
 from linkcensus.plans import census as plan
 from tests.logical import duck_branches, random_rows, spark_tables
 
@@ -65,6 +66,16 @@ def test_list_beyond_a_task(spark, mode, sites):
     assert counts(tables, watch, Scope(sites=sites), stage=False) == want
 
 
+@pytest.mark.parametrize("literal", [1000, 0])
+def test_sites_from_a_table(spark, monkeypatch, literal):
+    monkeypatch.setattr(scope_operators, "LITERAL_SITES", literal)
+    rows = random_rows(9)
+    sites = spark.createDataFrame([(s,) for s in (*SITES, *SITES, None)], "site int")
+    watchlist = watchlist_from_rows(spark, LIST)
+    got = counts(spark_tables(spark, rows), watch_list(watchlist, "like"), Scope(sites=sites))
+    assert got == duck_branches(rows, SITES, values([t.lower() for t in LIST]))
+
+
 def test_embedded_counts_rows_and_files_count_names(spark):
     rows = {t: [] for t in random_rows(0)}
     rows["asset"] = [(1, 1, 10, None), (2, 1, 10, None), (3, 1, None, None)]

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from linkcensus import SCHEMAS, frames, normalized_terms, raw_terms, read_tables, watchlist_from_rows, watchlist_from_text
+from linkcensus import SCHEMAS, catalog_tables, frames, normalized_terms, raw_terms, read_tables, watchlist_from_rows, watchlist_from_text
 from linkcensus.functions.urls import normalized_url
 from linkcensus.operators.scope import at_listed_sites
 from linkcensus.operators.staging import shared_folder
@@ -17,6 +17,27 @@ def test_text_file(spark, tmp_path):
     assert got == ["https://A.example/x", "b.example"]
 
 
+def test_text_file_with_crlf_blank_lines_and_no_last_newline(spark, tmp_path):
+    (tmp_path / "list.txt").write_bytes("https://A.example/x \r\n\r\n \t \r\nhttps://b.example/ü\r\nlast".encode())
+    got = [r.url_pref for r in watchlist_from_text(spark, str(tmp_path / "list.txt")).collect()]
+    assert [g for g in got if g.strip()] == ["https://A.example/x", "https://b.example/ü", "last"]
+    (tmp_path / "empty.txt").write_bytes(b"")
+    assert watchlist_from_text(spark, str(tmp_path / "empty.txt")).collect() == []
+
+
+def test_catalog_tables(spark):
+    spark.sql("SELECT CAST(7 AS INT) AS omtimezoneoi, 'x' AS extra").createOrReplaceTempView("zones")
+    assert catalog_tables(spark, {"timezone": "zones"})["timezone"].dtypes == [("omtimezoneoi", "bigint")]
+
+
+def test_site_partitions_are_pruned(spark, tmp_path):
+    spark.range(100).selectExpr("id AS assetoi", "id % 10 AS site_oi").write.partitionBy("site_oi").parquet(str(tmp_path / "asset"))
+    sites = spark.createDataFrame([(3,), (3,), (None,)], "site int")
+    found = at_listed_sites(spark.read.parquet(str(tmp_path / "asset")), sites)
+    assert found.count() == 10
+    assert "PartitionFilters: [isnotnull(site_oi" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_raw_terms_keep_case_folded_text_and_blanks_go(spark):
     rows = watchlist_from_rows(spark, [" A/b ", None, "", "   ", "A_b%"])
     assert sorted(r.match_term for r in raw_terms(rows).collect()) == [" a/b ", "a_b%"]
