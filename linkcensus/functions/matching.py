@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkcensus.functions.multipattern import Matcher, like_regex, quoted
+from linkcensus.functions.multipattern import Matcher, like_regex, quoted, segments
 from linkcensus.operators.blocked import keep_containing
 from linkcensus.operators.covering import without_covered_terms
 from linkcensus.operators.staging import Staging
@@ -145,7 +145,7 @@ def _caseless_piece(literals: list[str]) -> str | None:
 def _by_expression(terms: Terms, groups: list[list[str]], column: str) -> Column:
     def test(text: Column) -> Column:
         probes = [_probe(text, g) for g in groups]
-        probes += [text.cast("string").rlike(like_regex(p)) for p in terms.patterns]
+        probes += [_pattern_probe(text, p) for p in terms.patterns]
         return reduce(or_, probes)
 
     # A one-element array binds the lower-cased text, so it is computed only once;
@@ -153,6 +153,13 @@ def _by_expression(terms: Terms, groups: list[list[str]], column: str) -> Column
     return F.exists(F.array(F.lower(column).cast("binary")), test)
 
 
+def _pattern_probe(text: Column, pattern: str) -> Column:
+    """Test for a LIKE pattern, behind its longest literal segment."""
+    fits = text.cast("string").rlike(like_regex(pattern))
+    segment = max(segments(pattern), key=len, default=None)
+    return fits if segment is None else text.contains(F.lit(segment.encode())) & fits
+
+
 def _by_regex(literals: list[str], column: str) -> Column:
     """ASCII literals are found in the text as it is; the rest in its lower case."""
     ascii_only = [t for t in literals if t.isascii()]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000  # rows of one or two keys and a count
 SALTS = 1_024
+THIN_BYTES = 64 << 20  # tables that Spark estimates at less are as well shuffled whole
 FILTER_WORDS = 20  # bits of a word's number: 2^20 words of 64 bits are broadcast at most, whatever the number of keys
 
 
@@ -33,12 +34,20 @@ def only_keys(df: DataFrame, column: str, wanted: DataFrame, small: bool) -> Dat
     return df.join(F.broadcast(keys), F.col(column) == F.col("_wanted"), "left_semi")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's statistics say of the size; an estimate from file sizes, no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def perhaps_keys(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """Map-side filter of ``df`` by a one-column frame of any size: most rows whose key is not in it go.
 
     The keys come together in a bit map of bounded size, words of it as rows, and the map is
     broadcast. It lets all wanted keys through, and others by chance, so an exact join has to follow. Null keys go.
+    A small ``df`` passes as it is: reading ``wanted`` twice would cost more than its shuffle.
     """
+    if estimated_bytes(df) <= THIN_BYTES:
+        return df.filter(F.col(column).isNotNull())
 
     word = F.shiftrightunsigned(F.xxhash64("_key"), 64 - FILTER_WORDS)
     bit = F.expr("shiftleft(1L, int(xxhash64(_key) & 63))")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkcensus.model import Scope
 from linkcensus.operators import keys
 from linkcensus.operators.keys import key_counts, lookup, only_keys, weighted
-from linkcensus.operators.skew import hot_keys, left_join, sizes_within
+from linkcensus.operators.skew import hot_keys, left_join
 
 
 def in_hierarchy(tables: Mapping[str, DataFrame], scope: Scope, assets: DataFrame) -> DataFrame:
@@ -23,15 +23,15 @@ def procedure_tree(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Procedures with site, top asset, document type and current version, where
     the version has its own procedure, site and time zone; all joins left outer.
 
-    Hot keys of the tables on the left, where these are beyond BROADCAST_ROWS, are split.
+    Hot keys of the tables on the left are split, but for tables that one task could take.
     """
     keyed = {
         "site": ["topasset_oi", "timezone_oi"],
         "stdprocedures": ["site_oi", "stddproctype_oi", "currentrev_oi"],
         "stdprocedureversn": ["stdprocedure_oi"],
     }
-    small = sizes_within({t: tables[t] for t in keyed}, keys.BROADCAST_ROWS)
-    hot = {t: {} if small[t] else hot_keys(tables[t], columns) for t, columns in keyed.items()}
+    large = {t: keys.estimated_bytes(tables[t]) > keys.THIN_BYTES for t in keyed}
+    hot = {t: hot_keys(tables[t], columns) if large[t] else {} for t, columns in keyed.items()}
 
     asset = tables["asset"].select("assetoi")
     sited = left_join(tables["site"], asset, "topasset_oi", "assetoi", hot["site"].get("topasset_oi"))

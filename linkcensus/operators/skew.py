@@ -8,9 +8,6 @@ Rows without a key have no partner and do not go through the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +16,6 @@ TRACKED = 4_096  # items that the sketch keeps
 SALTS = 64
 
 
-def sizes_within(frames: Mapping[str, DataFrame], most: int) -> dict[str, bool]:
-    """Which of the frames have at most ``most`` rows, in one job that reads no further than it must."""
-    counted = [df.limit(most + 1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in frames.items()]
-    return {r.name: r.n <= most for r in reduce(DataFrame.unionByName, counted).collect()} if counted else {}
-
-
 def hot_keys(rows: DataFrame, columns: list[str]) -> dict[str, list]:
     """For each column the keys that hold more than a HOT_KEYS-th of all rows, at most HOT_KEYS of them."""
     if not columns:

@@ -27,6 +27,7 @@ def counts(tables, watch, scope, **kw):
 def test_all_branches_equal_plain_sql(spark, monkeypatch, seed, path):
     if path == "many hits":
         monkeypatch.setattr(keys, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(keys, "THIN_BYTES", -1)
     rows = random_rows(seed)
     tables = spark_tables(spark, rows)
     watchlist = watchlist_from_rows(spark, LIST)

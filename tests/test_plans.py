@@ -48,6 +48,7 @@ def test_few_hits_are_broadcast_and_many_are_not(spark, monkeypatch):
     try:
         few = plan_of(branch_counts(tables, watch, Scope(sites=SITES), ["B01", "B15"]))
         monkeypatch.setattr(keys, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(keys, "THIN_BYTES", -1)
         many = plan_of(branch_counts(tables, watch, Scope(sites=SITES), ["B01", "B15"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -94,6 +95,7 @@ def test_hot_order_of_tasks_is_split(spark):
 def thinned(spark, branch, monkeypatch, few):
     """What a branch shuffles of its orders, and the plan."""
     tables, watch = driver_tables(spark, SF_DIR), watch_list(driver_watchlist(spark), "like")
+    monkeypatch.setattr(keys, "THIN_BYTES", -1)
     if not few:
         monkeypatch.setattr(keys, "BROADCAST_ROWS", -1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -118,7 +120,8 @@ def test_orders_are_thinned_before_their_shuffle(spark, monkeypatch, branch, few
         assert "BroadcastHashJoin" in joined, joined
 
 
-def test_bit_map_lets_wanted_keys_through_and_few_others(spark):
+def test_bit_map_lets_wanted_keys_through_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(keys, "THIN_BYTES", -1)
     rows = spark.range(200_000).selectExpr("IF(id % 1000 = 0, NULL, id) AS k", "id AS n")
     wanted = spark.range(0, 2_000, 2).selectExpr("IF(id = 0, NULL, id) AS key")
     left = keys.perhaps_keys(rows, "k", wanted)

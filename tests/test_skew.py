@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import oracle
 from linkcensus.operators import keys, skew
 from linkcensus.operators.procedures import procedure_tree
-from linkcensus.operators.skew import hot_keys, left_join, sizes_within
+from linkcensus.operators.skew import hot_keys, left_join
 from tests.logical import random_rows, spark_tables
 
 
@@ -20,12 +20,6 @@ def test_hot_keys_and_no_others(spark):
     assert hot_keys(rows, []) == {} and hot_keys(rows.filter("false"), ["a"]) == {"a": []}
 
 
-def test_sizes_in_one_job(spark):
-    frames = {"few": spark.range(5), "many": spark.range(50), "none": spark.range(0)}
-    assert sizes_within(frames, 5) == {"few": True, "many": False, "none": True}
-    assert sizes_within({}, 5) == {}
-
-
 def test_a_third_of_all_rows_under_one_key_and_a_third_under_none(spark):
     left = spark.range(0, 120_000, 1, 8).selectExpr("CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE id END AS k", "id AS n")
     right = spark.range(0, 60_000, 1, 4).selectExpr("id AS key", "id * 2 AS other").unionAll(spark.sql("SELECT 7L AS key, -1L AS other"))
@@ -55,7 +49,7 @@ def test_a_third_of_all_rows_under_one_key_and_a_third_under_none(spark):
 def test_tree_equals_plain_sql(spark, monkeypatch, few):
     monkeypatch.setattr(skew, "SALTS", 3)
     if not few:
-        monkeypatch.setattr(keys, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(keys, "THIN_BYTES", -1)
     rows = random_rows(8)
     rows["stdprocedures"] += [(1, 1, 1, 1)] * 10
     con = duckdb.connect()
