@@ -53,7 +53,7 @@ def chunks(texts: Sequence[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def coded_pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Texts, none of them null, cut at single blanks: codes of all pieces, the distinct pieces, pieces per text.
 
     Neighbouring blanks give empty pieces; a text always has at least one piece.
@@ -63,7 +63,13 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype("int64")
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), counts
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, counts
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """As `coded_pieces`, with the distinct pieces as a list."""
+    codes, distinct, counts = coded_pieces(texts)
+    return codes, distinct.to_numpy(zero_copy_only=False).tolist(), counts
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

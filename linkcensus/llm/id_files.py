@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkcensus.llm.common import coded_words, shared_folder, text_chunks
+from linkcensus.llm.common import coded_pieces, shared_folder, text_chunks
 
 MAGIC = b"LCREPAI2"
 END_ID = 1
@@ -79,7 +79,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text, the end id included. Null: empty."""
-        code, distinct, counts = coded_words(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
+        code, distinct, counts = coded_pieces(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
         size, flat = self._coded(distinct)
         first = np.cumsum(size) - size
         n = size[code]
@@ -87,13 +87,12 @@ class WordEncoder:
         upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
         return np.insert(ids, upto, END_ID), np.diff(upto, prepend=0) + 1
 
-    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _coded(self, given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of the words has, and all their ids.
 
         Words of plain letters with one stop after them, or none, are taken apart as arrays, so that
         only distinct words in lower case are looked up; the rest one by one.
         """
-        given = pa.array(words, pa.string())
         core = pc.utf8_rtrim(given, _STOPS)
         stops = (pc.binary_length(given).to_numpy() - pc.binary_length(core).to_numpy()).astype("int64")
         plain = pc.match_substring_regex(core, _LETTERS).to_numpy(zero_copy_only=False) & (stops <= 1)
@@ -102,15 +101,15 @@ class WordEncoder:
         rest = np.flatnonzero(~plain)
         parts = [self.known.get(h) or self._piece(h) for h in heads]
         parts += [self._piece(s) for s in _STOPS]
-        parts += self._words([words[i] for i in rest.tolist()])
+        parts += self._words(given.take(pa.array(rest)).to_pylist())
         parts.append([])
         size = np.fromiter(map(len, parts), "int64", len(parts))
         flat = np.fromiter(itertools.chain.from_iterable(parts), "uint16", size.sum())
         # two parts for each word: itself or its letters, and its stop or nothing
-        part = np.full((len(words), 2), len(parts) - 1)
+        part = np.full((len(given), 2), len(parts) - 1)
         part[plain, 0] = coded.indices.to_numpy()
         part[rest, 0] = len(heads) + len(_STOPS) + np.arange(len(rest))
-        ends = np.frombuffer(given.buffers()[1], "int32")[given.offset + 1 : given.offset + 1 + len(words)]
+        ends = np.frombuffer(given.buffers()[1], "int32")[given.offset + 1 : given.offset + 1 + len(given)]
         stopped = np.flatnonzero(plain & (stops == 1))
         place = np.zeros(256, "int64")
         place[list(_STOPS.encode())] = np.arange(len(_STOPS))
