@@ -19,7 +19,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,7 @@ POSITIONS = 8  # windows of a term that may become its anchor
 SKETCH_BITS = 18  # slots in which windows of the list are counted: 2 MB
 BLOCK = 1 << 18  # bytes of text hashed at a time
 BATCH_ROWS = 1 << 14  # candidates passed on at a time
+WHOLE_BYTES = 16 << 20  # or so much of the texts that go with candidates of patterns
 _WINDOWS = "match_term string, segment binary, pattern string, width int, place int, hash long"
 
 
@@ -153,8 +153,8 @@ def contained(rows: DataFrame, columns: Sequence[str], keep: Sequence[str], anch
 
     found = given.mapInArrow(scan, schema)
     held = "at >= place AND substring(around, at - place + 1, octet_length(segment)) = segment"
-    fits = "(pattern IS NULL OR whole rlike pattern)"
-    return found.join(anchors, ["width", "hash"]).filter(f"{held} AND {fits}").select(*keep, "_row", "match_term")
+    test = f"CASE WHEN pattern IS NULL THEN {held} ELSE whole rlike pattern END"
+    return found.join(anchors, ["width", "hash"]).filter(test).select(*keep, "_row", "match_term")
 
 
 def _candidates(data: np.ndarray, offsets: np.ndarray, widths: list[int], literal: BitMap, patterns: BitMap) -> Iterator[tuple]:
@@ -170,12 +170,31 @@ def _candidates(data: np.ndarray, offsets: np.ndarray, widths: list[int], litera
                 text = np.searchsorted(end, at, "right")
                 inside = at + width <= end[text]
                 value, at, text = value[inside], at[inside], text[inside]
-                for a in range(0, len(at), BATCH_ROWS):
-                    v, p, t = (x[a : a + BATCH_ROWS] for x in (value, at, text))
+                if whole:  # the text decides, wherever in it the window lies
+                    once = _first_of_each(text, value)
+                    value, at, text = value[once], at[once], text[once]
+                upto = np.cumsum(end[text] - begin[text] if whole else np.ones(len(at), "int64"))
+                most, a = WHOLE_BYTES if whole else BATCH_ROWS, 0
+                while a < len(at):
+                    b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+                    v, p, t = value[a:b], at[a:b], text[a:b]
+                    a = b
                     first = np.maximum(begin[t], p - width)
-                    texts = _around(data, begin[t], end[t]).cast(pa.string()) if whole else pa.nulls(len(t), pa.string())
                     around = _around(data, first, np.minimum(end[t], p + 2 * width))
-                    yield pa.array(t), width, pa.array(v), pa.array(p - first, pa.int32()), around, texts
+                    once = _first_of_each(t, v, p - first, around.dictionary_encode().indices.to_numpy())
+                    texts = _around(data, begin[t], end[t]).cast(pa.string()) if whole else pa.nulls(len(t), pa.string())
+                    columns = (pa.array(v), pa.array(p - first, pa.int32()), around, texts)
+                    yield pa.array(t[once]), width, *(c.take(pa.array(once)) for c in columns)
+
+
+def _first_of_each(*columns: np.ndarray) -> np.ndarray:
+    """Where distinct combinations stand first."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), "bool")
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return np.sort(order[new])
 
 
 def keep_containing(rows: DataFrame, columns: Sequence[str], keep: Sequence[str], terms: DataFrame, wildcards: bool, staging: Staging) -> DataFrame:
