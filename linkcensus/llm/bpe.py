@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from linkcensus.llm.common import coded_words, text_chunks
 
 LONGEST = 128
-RECURSION_ROWS = 4_000_000  # the squares of the lengths of the pieces of one recursion add up to this
+RECURSION_ROWS = 2_000_000  # the squares of the lengths of the pieces of one recursion add up to this
 DECODED_IDS = 500_000  # ids that one query decodes
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 MEMORY = "250MB"
-KNOWN_PIECES = 300_000  # of either generation of the cache
+KNOWN_PIECES = 150_000  # of either generation of the cache
 # a blank next to white space
 _WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _DOUBTFUL = f" {_WHITE}|{_WHITE} "
