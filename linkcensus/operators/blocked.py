@@ -5,12 +5,15 @@ fits in, so half of the term at least: of eight windows, evenly spaced, the one
 windows of the list share. The texts are scanned once. A bit map of the anchors, of
 bounded size and without false negatives, says at which bytes a term may lie; a row is passed on
 for each of those, with the window's hash and the bytes around it, as many as the terms of that width
-can reach. It joins the anchors on the hash, and the term is compared with those bytes. So no
+can reach. Before that a second map is asked for the whole term: its first and last window, which
+together cover it, and its size, for each place and size that the list has (where it has few). What
+passes both is nearly always a term. It joins the anchors on the hash, and the term is compared with those bytes. So no
 text goes through a shuffle, all comparisons run in parallel, and a row that several
 terms hit is kept once.
 
-A LIKE pattern is anchored in its longest literal segment. Only for the candidates of patterns does
-the whole text travel, because the wildcards may reach any part of it.
+A LIKE pattern is anchored in its longest literal segment. The wildcards may reach any part of a text,
+so texts with candidates of patterns travel whole, but each once: the pairs of a row's number and a
+pattern are found by the join without it, and meet the text by that number.
 """
 
 from __future__ import annotations
@@ -20,26 +23,28 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from linkcensus.functions.multipattern import like_regex, lower_bytes, segments
-from linkcensus.functions.windows import widest, window_hashes
+from linkcensus.functions.windows import mixed, widest, window_hashes
 from linkcensus.operators.staging import Staging
 
-MOST_BITS = 26  # of the bit map: 8 MB
+MOST_BITS = 28  # of a bit map: 32 MB
+MOST_SHAPES = 128  # places and sizes of the terms of a width, up to which whole terms are looked for
 POSITIONS = 8  # windows of a term that may become its anchor
 SKETCH_BITS = 18  # slots in which windows of the list are counted: 2 MB
 BLOCK = 1 << 18  # bytes of text hashed at a time
 BATCH_ROWS = 1 << 14  # candidates passed on at a time
 WHOLE_BYTES = 16 << 20  # or so much of the texts that go with candidates of patterns
-_WINDOWS = "match_term string, segment binary, pattern string, width int, place int, hash long"
+_SIZED = 0xD6E8FEB86659FD93  # odd
+_WINDOWS = "match_term string, segment binary, pattern string, width int, place int, hash long, ends long"
 
 
 def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
-    """One row per distinct term with a literal character: its anchor (width, hash, place in the segment).
+    """One row per distinct term with a literal character: its anchor (width, hash, place in the segment), and a hash of the whole segment.
 
     How many windows of the list share a hash is counted in 2^SKETCH_BITS slots. The terms
     are read twice and not shuffled but for making them distinct.
@@ -48,7 +53,7 @@ def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
     def segment_of(term: str) -> tuple[bytes, str | None] | None:
         parts = segments(term) if wildcards else [term]
         if parts:
-            return max((p.encode() for p in parts), key=len), like_regex(term) if parts != [term] else None
+            return max((p.encode() for p in parts), key=len), like_regex(term) if parts != [term.strip("%") if wildcards else term] else None
         return None
 
     def windows(segment: bytes) -> tuple[int, np.ndarray, np.ndarray]:
@@ -70,7 +75,8 @@ def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
                 if found := segment_of(term):
                     width, places, hashes = windows(found[0])
                     best = len(places) - 1 - int(np.argmin(shared[hashes >> np.uint64(64 - SKETCH_BITS)][::-1]))
-                    rows.append((term, *found, width, int(places[best]), int(hashes[best].view("int64"))))
+                    ends = int(both_ends(hashes[:1], hashes[-1:], len(found[0])).view("int64")[0])
+                    rows.append((term, *found, width, int(places[best]), int(hashes[best].view("int64")), ends))
             columns = zip(*rows, strict=True) if rows else [[] for _ in _WINDOWS.split(", ")]
             yield _batch([list(c) for c in columns], _WINDOWS)
 
@@ -81,6 +87,11 @@ def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
     return distinct.mapInArrow(choose, _WINDOWS)
 
 
+def both_ends(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of segments, from those of their first and last windows."""
+    return mixed(first * np.uint64(_SIZED) + last + np.uint64(size))
+
+
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
@@ -122,21 +133,54 @@ def _around(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(upto.astype("int32")), pa.py_buffer(data[index])])
 
 
-def contained(rows: DataFrame, columns: Sequence[str], keep: Sequence[str], anchors: DataFrame) -> DataFrame:
+def contained(
+    rows: DataFrame, columns: Sequence[str], keep: Sequence[str], anchors: DataFrame, proper: bool = False, any_term: Staging | None = None
+) -> DataFrame:
     """Columns `keep` of rows that contain a term in one of `columns`, with `match_term` and a row's number `_row`.
 
     A row is given for each term that it contains, more than once where the term lies several times.
     Numbers are given in the scan and go with the rows, so that no second scan has to repeat them.
+    `proper`: a text that is a term itself need not be given for that term.
+    `any_term`: one of the patterns that a row fits will do, so that the others need not be tested; what the scan
+    finds is written there once. Then the result has no `match_term`.
     """
-    sizes = anchors.groupBy("width", F.isnull("pattern").alias("literal")).count().collect()
-    widths = sorted({r.width for r in sizes})
-    literal, patterns = (
-        BitMap(anchors.filter(F.isnull("pattern") == F.lit(kind)).select("hash"), sum(r["count"] for r in sizes if r.literal == kind))
-        for kind in (True, False)
-    )
+    shape = "width", F.isnull("pattern").alias("literal"), "place", F.octet_length("segment").alias("size")
+    found_shapes = anchors.groupBy(*shape).count().collect()
+    widths = sorted({r.width for r in found_shapes})
+    literal, patterns = (_Kind(anchors.filter(F.isnull("pattern") == F.lit(kind)), [r for r in found_shapes if r.literal == kind]) for kind in (True, False))
+    found = _scanned(rows, columns, keep, literal, patterns, widths, proper)
+    given = [*keep, "_row"] if any_term else [*keep, "_row", "match_term"]
+    if all(r.literal for r in found_shapes):
+        return _literals(found, anchors).select(*given)
+    if any_term:
+        found = any_term.write(found)
+    held, pairs = _literals(found, anchors).select(*given), _pairs(found, anchors)
+    texts = found.filter("whole IS NOT NULL").select(*keep, "_row", "whole")
+    if any_term:
+        pairs = pairs.withColumnRenamed("_row", "_of")
+        return held.unionByName(texts.join(pairs, F.expr("_row = _of AND whole rlike pattern"), "left_semi").select(*given))
+    return held.unionByName(texts.join(pairs, "_row").filter("whole rlike pattern").select(*keep, "_row", "match_term"))
+
+
+def _literals(found: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The candidates of literals that hold them."""
+    held = "at >= place AND substring(around, at - place + 1, octet_length(segment)) = segment"
+    return found.filter("whole IS NULL").join(anchors.filter("pattern IS NULL"), ["width", "hash"]).filter(held)
+
+
+def _pairs(found: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Numbers of rows with patterns that they may fit; no text travels with a pair."""
+    near = found.filter("whole IS NOT NULL").select("_row", F.explode("near").alias("hash"))
+    return near.join(anchors.filter("pattern IS NOT NULL").select("hash", "match_term", "pattern"), "hash").drop("hash")
+
+
+def _scanned(
+    rows: DataFrame, columns: Sequence[str], keep: Sequence[str], literal: _Kind, patterns: _Kind, widths: list[int], proper: bool
+) -> DataFrame:
+    """A row per candidate of a literal (width, hash, at, around), and one per text with candidates of patterns (near, whole)."""
     given = rows.select(*keep, *(F.col(c).alias(f"_searched_{i}") for i, c in enumerate(columns)))
     kept = given.select(*keep).schema
-    schema = StructType(kept.fields).add("_row", "long").add("width", "integer").add("hash", "long").add("at", "integer").add("around", "binary").add("whole", "string")
+    schema = StructType(kept.fields).add("_row", "long").add("width", "integer").add("hash", "long").add("at", "integer").add("around", "binary").add("near", ArrayType(LongType())).add("whole", "string")
     arrow = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,47 +188,84 @@ def contained(rows: DataFrame, columns: Sequence[str], keep: Sequence[str], anch
         for batch in batches:
             for i in range(len(columns)):
                 data, offsets = lower_bytes(batch[f"_searched_{i}"])
-                for text, width, hashes, at, around, whole in _candidates(data, offsets, widths, literal, patterns):
+                for text, *found in _candidates(data, offsets, widths, literal, patterns, proper):
                     own = [batch[c].take(text) for c in keep]
                     n = pa.array(number + text.to_numpy(), "int64")
-                    width = pa.array(np.full(len(text), width), "int32")
-                    yield pa.RecordBatch.from_arrays([*own, n, width, hashes, at, around, whole], schema=arrow)
+                    found = [pa.nulls(len(text), kind) if f is None else f.cast(kind) for f, kind in zip(found, arrow.types[-6:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*own, n, *found], schema=arrow)
             number += batch.num_rows
 
-    found = given.mapInArrow(scan, schema)
-    held = "at >= place AND substring(around, at - place + 1, octet_length(segment)) = segment"
-    test = f"CASE WHEN pattern IS NULL THEN {held} ELSE whole rlike pattern END"
-    return found.join(anchors, ["width", "hash"]).filter(test).select(*keep, "_row", "match_term")
-
-
-def _candidates(data: np.ndarray, offsets: np.ndarray, widths: list[int], literal: BitMap, patterns: BitMap) -> Iterator[tuple]:
-    """Text, width, hash, place in the bytes around, those bytes, and for patterns the text."""
+    return given.mapInArrow(scan, schema)
+
+
+class _Kind:
+    """The maps of literals or of patterns: their anchors, and whole segments of widths with few shapes."""
+
+    def __init__(self, anchors: DataFrame, shapes: list[Row]):
+        self.anchors = BitMap(anchors.select("hash"), sum(r["count"] for r in shapes))
+        few: dict[int, list[tuple[int, int]]] = {}
+        for r in shapes:
+            few.setdefault(r.width, []).append((r.place, r.size))
+        self.shapes = {width: sorted(own) for width, own in few.items() if len(own) <= MOST_SHAPES}
+        n = sum(r["count"] for r in shapes if r.width in self.shapes)
+        self.whole = BitMap(anchors.filter(F.col("width").isin(list(self.shapes))).select(F.col("ends").alias("hash")), n)
+
+    def whole_terms(self, hashes: np.ndarray, width: int, at: np.ndarray, begin: np.ndarray, end: np.ndarray, proper: bool) -> np.ndarray:
+        """Which of the windows `at` may lie in a whole segment within `begin` and `end`; hashes: of all windows."""
+        left = np.arange(len(at))
+        passed = np.zeros(len(at), "bool")
+        for place, size in self.shapes[width]:
+            start = at[left] - place
+            fits = (start >= begin[left]) & (start + size <= end[left])
+            if proper:
+                fits &= size < end[left] - begin[left]
+            some, start = left[fits], start[fits]
+            passed[some[self.whole.places(both_ends(hashes[start], hashes[start + size - width], size))]] = True
+            left = left[~passed[left]]
+        return passed
+
+
+def _candidates(data: np.ndarray, offsets: np.ndarray, widths: list[int], literal: _Kind, patterns: _Kind, proper: bool) -> Iterator[tuple]:
+    """For literals text, width, hash, place in the bytes around, those bytes; for patterns text, hashes, the text itself."""
     begin, end = offsets[:-1], offsets[1:]
     last = int(offsets[-1])
+    margin = max([0, *literal.shapes, *patterns.shapes])  # a whole term may begin and end so much before and after
+    near = [np.empty((2, 0), "int64")]
     for low in range(0, last, BLOCK):
-        for width, hashes in window_hashes(data[low : min(low + BLOCK + widths[-1], last)], widths):
-            hashes = hashes[:BLOCK]
-            for bits, whole in ((literal, False), (patterns, True)):
-                at = bits.places(hashes)
+        base = max(0, low - margin)
+        for width, windows in window_hashes(data[base : min(low + BLOCK + widths[-1] + margin, last)], widths):
+            hashes = windows[low - base : low - base + BLOCK]
+            for kind, whole in ((literal, False), (patterns, True)):
+                at = kind.anchors.places(hashes)
                 value, at = hashes[at].view("int64"), at + low
                 text = np.searchsorted(end, at, "right")
                 inside = at + width <= end[text]
+                if width in kind.shapes:
+                    some = np.flatnonzero(inside)
+                    own = text[some]
+                    inside[some] = kind.whole_terms(windows, width, at[some] - base, begin[own] - base, end[own] - base, proper and not whole)
                 value, at, text = value[inside], at[inside], text[inside]
                 if whole:  # the text decides, wherever in it the window lies
-                    once = _first_of_each(text, value)
-                    value, at, text = value[once], at[once], text[once]
-                upto = np.cumsum(end[text] - begin[text] if whole else np.ones(len(at), "int64"))
-                most, a = WHOLE_BYTES if whole else BATCH_ROWS, 0
-                while a < len(at):
-                    b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
-                    v, p, t = value[a:b], at[a:b], text[a:b]
-                    a = b
+                    once = _first_of_each(value, text)
+                    near.append(np.stack([text[once], value[once]]))
+                    continue
+                for a in range(0, len(at), BATCH_ROWS):
+                    v, p, t = (x[a : a + BATCH_ROWS] for x in (value, at, text))
                     first = np.maximum(begin[t], p - width)
                     around = _around(data, first, np.minimum(end[t], p + 2 * width))
                     once = _first_of_each(t, v, p - first, around.dictionary_encode().indices.to_numpy())
-                    texts = _around(data, begin[t], end[t]).cast(pa.string()) if whole else pa.nulls(len(t), pa.string())
-                    columns = (pa.array(v), pa.array(p - first, pa.int32()), around, texts)
-                    yield pa.array(t[once]), width, *(c.take(pa.array(once)) for c in columns)
+                    columns = (pa.array(v), pa.array(p - first, pa.int32()), around)
+                    yield pa.array(t[once]), pa.array(np.full(len(once), width)), *(c.take(pa.array(once)) for c in columns), None, None
+    text, value = np.unique(np.concatenate(near, axis=1), axis=1)
+    first = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
+    texts = text[first[:-1]]
+    upto, a = np.cumsum(end[texts] - begin[texts]), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + WHOLE_BYTES, "right")))
+        t = texts[a:b]
+        hashes = pa.ListArray.from_arrays(pa.array(first[a : b + 1] - first[a], pa.int32()), pa.array(value[first[a] : first[b]]))
+        yield pa.array(t), None, None, None, None, hashes, _around(data, begin[t], end[t]).cast(pa.string())
+        a = b
 
 
 def _first_of_each(*columns: np.ndarray) -> np.ndarray:
@@ -218,7 +299,7 @@ def keep_containing(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]
     anchors = staging.write(anchors_of(terms, wildcards))
     if anchors.isEmpty():
         return hits[0] if hits else rows.filter("false").select(*keep)
-    found = contained(rows, columns, keep, anchors)
+    found = contained(rows, columns, keep, anchors, any_term=staging)
     first = F.first(F.struct(*keep)).alias("kept")
     hits.append(found.groupBy("_row").agg(first).select("kept.*"))
     return hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])

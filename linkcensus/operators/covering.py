@@ -40,7 +40,7 @@ def without_covered_terms(terms: DataFrame, wildcards: bool, staging: Staging) -
     anchors = staging.write(anchors_of(literal, wildcards=False))
     if not anchors.isEmpty():
         itself = literal.withColumnRenamed("match_term", "_text")
-        inside = contained(itself, ["_text"], ["_text"], anchors).filter("_text <> match_term").select(F.col("_text").alias("match_term")).distinct()
+        inside = contained(itself, ["_text"], ["_text"], anchors, proper=True).filter("_text <> match_term").select(F.col("_text").alias("match_term")).distinct()
         empty = literal.filter("match_term = ''").select(F.lit(True).alias("all"))
         literal = literal.join(inside, "match_term", "left_anti")
         if not empty.isEmpty():

@@ -13,6 +13,7 @@ from linkcensus.functions import multipattern
 from linkcensus.functions.matching import WatchList, keep_matching
 from linkcensus.functions.multipattern import Matcher, like_regex
 from linkcensus.functions.windows import widest, window_hashes
+from linkcensus.operators import blocked
 from linkcensus.operators.blocked import anchors_of, contained
 from linkcensus.operators.covering import without_covered_terms
 from linkcensus.operators.staging import Staging
@@ -109,3 +110,34 @@ def test_empty_list_beyond_a_task(spark):
     watch = WatchList(watchlist_from_rows(spark, []).withColumnRenamed("url_pref", "match_term"), "like", task_chars=-1)
     texts = spark.createDataFrame([("a",), (None,)], "text string")
     assert keep_matching(texts, watch, "text", staging=Staging(spark)).collect() == []
+
+
+def test_texts_with_candidates_of_patterns_travel_once(spark):
+    terms = [f"common%piece{i}" for i in range(300)] + ["other_part%x", "%only this%"]
+    rows = [(i, f"a common Piece{i} and" if i % 2 else f"piece{i} then common", "other-part x" if i == 4 else None) for i in range(0, 1000)]
+    rows.append((1000, "nothing", "Only This"))
+    df = spark.createDataFrame(rows, "id long, text string, note string")
+    table = spark.createDataFrame([(t,) for t in terms], "match_term string")
+    found = keep_matching(df, WatchList(table, "like", task_chars=10), "text", "note", staging=Staging(spark), keep=["id"])
+    expected = [i for i, *texts in rows if any(like(p).search(t.lower()) for p in terms for t in texts if t)]
+    assert sorted(r.id for r in found.collect()) == expected
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()  # a text meets its patterns by its number
+    by_term = {r.match_term: (r.width, r.pattern, r.segment) for r in anchors_of(table, wildcards=True).collect()}
+    assert by_term["%only this%"] == (8, None, b"only this")  # outer wildcards make no pattern
+
+
+@pytest.mark.parametrize("proper", [False, True])
+def test_windows_of_no_whole_term_stay_in_the_scan(spark, monkeypatch, proper):
+    monkeypatch.setattr(blocked, "BLOCK", 37)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"]
+    rng = random.Random(3)
+    table = spark.createDataFrame([("".join(rng.choice(words) for _ in range(15)),) for _ in range(40)], "match_term string")
+    anchors = anchors_of(table, wildcards=False)
+    shapes = anchors.selectExpr("width", "pattern IS NULL AS literal", "place", "octet_length(segment) AS size").groupBy("width", "literal", "place", "size").count().collect()
+    kinds = blocked._Kind(anchors, shapes), blocked._Kind(anchors.limit(0), [])
+    terms = anchors.collect()
+    texts = [f"{t.match_term[:-1]}! {t.match_term[1:]}" for t in terms] + [f"--{t.match_term}--" for t in terms] + [t.match_term for t in terms]
+    data, offsets = multipattern.lower_bytes(pa.array(texts))
+    found = [i for text, *_ in blocked._candidates(data, offsets, [16], *kinds, proper) for i in text.to_pylist()]
+    whole = set(range(40, 80 if proper else 120))
+    assert whole <= set(found) and len(set(found) - whole) <= 4  # a bit map lets few others pass
