@@ -157,7 +157,7 @@ def contained(
     held, pairs = _literals(found, anchors).select(*given), _pairs(found, anchors)
     texts = found.filter("whole IS NOT NULL").select(*keep, "_row", "whole")
     if any_term:
-        pairs = pairs.withColumnRenamed("_row", "_of")
+        pairs = pairs.select(F.col("_row").alias("_of"), "pattern")
         return held.unionByName(texts.join(pairs, F.expr("_row = _of AND whole rlike pattern"), "left_semi").select(*given))
     return held.unionByName(texts.join(pairs, "_row").filter("whole rlike pattern").select(*keep, "_row", "match_term"))
 
