@@ -1,32 +1,34 @@
-"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, stored as sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, stored as compact hash arrays.
 
-Tokens are words `[^\\x20\\x09-\\x0D]+`, with A-Z in lower case, and one end per text. A
-bigram's key is 64 bits: 16 that place it in a shard, from its context's hash, and 48 from both
-words. A context that a sample shows to be so frequent that it would fill a shard is
-placed by both words instead; this moves rows between files and changes no count.
+Tokens are words `[^\\x20\\x09-\\x0D]+`, with A-Z in lower case, and one end per text; a text
+starts after two starts. A trigram (u, v, w) is placed in a shard by the hash of v. A v that a
+sample shows to be so frequent that it would fill a shard is hot: its trigrams are placed
+by v and w instead. This moves rows between files and changes no count.
 
-One job counts: each task packs its distinct bigrams into a blob per shard; a task per
-shard merges them, writes the sorted keys with counts and the contexts' sums as arrays to the
-shared folder, and passes on for each word how many contexts precede it there and how
-often it occurs, which a shuffle by word adds up. Files are named afresh by each attempt
-and the job's own result lists those that count, so repeated tasks do no harm.
+One job counts. Each task packs its distinct trigrams into a blob per shard: as codes, the
+sample's frequent words numbered by frequency, other words by their hashes, as differences
+of sorted neighbours in planes of bytes. A task per shard merges them and writes one file to the
+shared folder: the bigrams (v, w) with how many u precede them, the trigrams with their counts,
+and the sums of contexts v and (u, v). Sums of a hot v, of contexts that end in it, and of words
+are known in part there; they go on as blobs to ranges of hashes, where they are added up and
+written. Files are named afresh by each attempt and the job's own result lists those
+that count, so repeated tasks do no harm. Order 2 is the same with one u for all, and with bigrams' own counts.
 
-Workers map the arrays into memory (shared folders that are no local path are copied to the
-worker's temporary folder first) and look up sorted, distinct bigrams of a few MB of text at a time.
+A context (u, v) that occurs once has the sums 1, 1, 0, 0 and is not written: whoever finds the bigram
+(u, v), but not the context, knows it. Sorted 64-bit keys are kept as a table of buckets by their first
+bits and the next 40 bits; counts take four bits each, from 15 on they stand in a list.
+
+Workers map the files into memory (shared folders that are no local path are copied to the
+worker's temporary folder first) and look up the bigrams and trigrams of a few MB of text at a time.
 
 Probabilities: discounts D1, D2, D3+ from counts of counts, interpolated with the
 continuation distribution (number of distinct contexts of a word), itself discounted
 likewise and interpolated with the even distribution over the V known types and one unknown.
-
-Order 3 counts trigrams (u, v, w), a text starting after two starts, and places them as the
-bigram (v, w). So a shard has all of a bigram's trigrams: the number of distinct u, which is the
-bigram's count in the middle level, is known there, and the rest follows as above with that count. The
-sums of a context (u, v) are known there too, unless v is frequent; those are passed on in
-packed blobs and added up by ranges of the context's hash in a job of their own.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import pickle
 import tempfile
@@ -41,44 +43,39 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkcensus.llm.common import remainder, shared_folder, stored, text_chunks, words_of
+from linkcensus.llm.common import remainder, shared_folder, text_chunks, words_of
 
 SHARD_TOKENS = 2_000_000
 MAX_SHARDS = 1 << 14
-SAMPLE_MOD = 61
+SAMPLE_BYTES = 32 << 20
+#: Words of the sample that get codes; others are passed on by their hashes.
+VOCABULARY = 1 << 19
 CHUNK_BYTES = 4 << 20
 END, START = np.int64(-1), np.int64(-2)
 FILE, COUNTS, HOT, WORD, PAIRS, TOP = 0, 1, 2, 3, 4, 5
-_ROWS = "kind int, key long, path string, a long, b long, c long, d long"
-#: Shards of trigrams per range of the contexts that end in a frequent word.
-PAIR_SHARDS = 8
-_PLACES = 16
-_OPEN: dict[str, np.ndarray] = {}
+_ROWS = "kind int, key long, path string, n array<long>"
+#: Shards per range of words, and of the contexts that end in a hot word.
+RANGE_SHARDS = 8
+#: Bits of a word's code up to which three of them are sorted as one number.
+_BITS = 21
+_BUCKET = 8
+_OPEN: dict[str, dict[str, np.ndarray]] = {}
+_MOST_OPEN = 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype("uint64")
+    x = x.view("uint64")
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def bigram_keys(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """64-bit keys; `hot` are the sorted contexts that are placed by both words."""
-    both = _mixed(_mixed(u.view("uint64")) + w.view("uint64"))
-    place = np.where(np.isin(u, hot), both, _mixed(u.view("uint64"))) >> np.uint64(64 - _PLACES)
-    return place << np.uint64(64 - _PLACES) | both & np.uint64((1 << 64 - _PLACES) - 1)
-
+def gram_keys(context: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams: of the context's key, or of its hash mixed, and the last word's hash."""
+    return _mixed(context + w.view("uint64"))
 
-def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """64-bit keys of contexts of two words."""
-    return _mixed(_mixed(u.view("uint64")) + v.view("uint64"))
 
-
-def trigram_keys(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """64-bit keys that are placed as the bigram (v, w) is."""
-    low, place = np.uint64((1 << 64 - _PLACES) - 1), bigram_keys(v, w, hot)
-    return place & ~low | _mixed(pair_keys(u, v) + w.view("uint64")) & low
+_STARTS = gram_keys(_mixed(np.array([START])), np.array([START]))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,25 +86,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(codes.astype("int64"), ends, len(words)), np.append(hashes, END), counts + 1
 
 
-def _bigrams(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams: context and word hashes, how often; and which of them each token ends."""
-    context = np.concatenate([[0], codes[:-1]])
-    context[np.cumsum(counts) - counts] = len(hashes)
-    pair, of, n = np.unique(context * len(hashes) + codes, return_inverse=True, return_counts=True)
-    return np.append(hashes, START)[pair // len(hashes)], hashes[pair % len(hashes)], n, of
-
-
-def _trigrams(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct trigrams: three word hashes, how often; and which of them each token ends."""
-    starts, m = np.cumsum(counts) - counts, len(hashes) + 1
-    v = np.concatenate([[0], codes[:-1]])
-    v[starts] = len(hashes)
-    u = np.concatenate([[0], v[:-1]])
-    u[starts] = len(hashes)
-    pair, first = np.unique(u * m + v, return_inverse=True)
-    triple, of, n = np.unique(first * m + codes, return_inverse=True, return_counts=True)
-    hashes, pair = np.append(hashes, START), pair[triple // m]
-    return hashes[pair // m], hashes[pair % m], hashes[triple % m], n, of
+def _before(codes: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
+    """The code before each, within texts of so many codes."""
+    before = np.concatenate([codes[:1], codes[:-1]])
+    before[np.cumsum(counts) - counts] = start
+    return before
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -119,41 +102,97 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _summed(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, all columns but the last, in order, with the sums of the last."""
-    order = np.lexsort(columns[-2::-1])
-    *keys, n = (x[order] for x in columns)
-    new = _starts(*keys)
-    return *(x[new] for x in keys), np.add.reduceat(n, new) if len(n) else n
-
+def _sizes(at: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(at, n))
 
-def _packed(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """Bigrams in order of contexts, each context once; counts from 255 on go to the end."""
-    at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    large = np.flatnonzero(n >= 255)
-    head = np.array([len(u), len(at), len(large)], "<i8")
-    parts = (u[at], np.diff(np.append(at, len(u))).astype("<u4"), w, np.minimum(n, 255).astype("u1"), large.astype("<i8"), n[large].astype("<i8"))
-    return head.tobytes() + b"".join(x.tobytes() for x in parts)
 
+def _distinct(v: np.ndarray, w: np.ndarray, u: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct triples of codes in order, with the sums of n, or with how often they occur."""
+    if max(int(x.max(initial=0)) for x in (v, w, u)) >> _BITS:
+        order = np.lexsort((u, w, v))
+        v, w, u = v[order], w[order], u[order]
+        at = _starts(v, w, u)
+        return v[at], w[at], u[at], _sizes(at, len(v)) if n is None else np.add.reduceat(n[order], at)
+    key = v << 2 * _BITS | w << _BITS | u
+    if n is None:
+        key.sort()
+    else:
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+    at = _starts(key)
+    n = _sizes(at, len(key)) if n is None else np.add.reduceat(n, at) if len(n) else n
+    key, low = key[at], (1 << _BITS) - 1
+    return key >> 2 * _BITS, key >> _BITS & low, key & low, n
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, contexts, large = (int(x) for x in np.frombuffer(blob, "<i8", 3))
-    at, out = 24, []
-    for kind, size in (("<i8", contexts), ("<u4", contexts), ("<i8", rows), ("u1", rows), ("<i8", large), ("<i8", large)):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += out[-1].nbytes
-    n = out[3].astype("int64")
-    n[out[4]] = out[5]
-    return np.repeat(out[0], out[1]), out[2], n
 
+def _packed(keys: list[np.ndarray], values: list[np.ndarray], known: int, rare: np.ndarray) -> bytes:
+    """Distinct rows in order of one to three keys, which are codes, with values from 0 on.
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    data = pickle.dumps(arrays, 5)
+    Codes from `known` on are places in `rare`, hashes in order; only those that occur go along.
+    """
+    far = [k >= known for k in keys]
+    used = np.unique(np.concatenate([k[f] for k, f in zip(keys, far, strict=True)]))
+    columns, firsts = [], np.zeros(1, "int64")[: len(keys[0])]
+    for i, (key, f) in enumerate(zip(keys, far, strict=True)):
+        key = key.copy()
+        key[f] = known + np.searchsorted(used, key[f])
+        at = np.arange(len(key)) if i == len(keys) - 1 else _starts(*keys[: i + 1])
+        first = np.searchsorted(at, firsts)
+        if i:
+            columns.append(_sizes(first, len(at)))
+        own = key[at]
+        steps = np.diff(own, prepend=0)
+        steps[first] = own[first]
+        columns.append(steps)
+        firsts = at
+    columns += [*values, rare[used - known]]
+    width = [max(1, -(-int(c.max(initial=0)).bit_length() // 8)) for c in columns[:-1]] + [8]
+    planes = [np.ascontiguousarray(c.astype("<i8").view("u1").reshape(-1, 8)[:, :b].T).tobytes() for c, b in zip(columns, width, strict=True)]
+    data = pickle.dumps((len(keys), [*map(len, columns)], width, b"".join(planes)), 5)
     return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
 
 
-def _arrays(blob: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+def _unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Keys, values and hashes of rare words as _packed was given them."""
+    n_keys, sizes, width, data = pickle.loads(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
+    columns, at = [], 0
+    for n, b in zip(sizes, width, strict=True):
+        out = np.zeros((n, 8), "u1")
+        out[:, :b] = np.frombuffer(data, "u1", n * b, at).reshape(b, n).T
+        columns.append(out.view("<i8").ravel())
+        at += n * b
+    keys = []
+    for i in range(n_keys):
+        steps = columns[2 * i]
+        own = np.cumsum(steps)
+        if i:
+            group = columns[2 * i - 1]
+            first = np.cumsum(group) - group
+            own -= np.repeat(own[first] - steps[first], group)
+            keys = [np.repeat(k, group) for k in keys]
+        keys.append(own)
+    return keys, columns[2 * n_keys - 1 : -1], columns[-1]
+
+
+def _small(name: str, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers in four bits each, and a list of those from 15 on."""
+    large = np.flatnonzero(n >= 15)
+    low = np.minimum(n, 15).astype("uint8")
+    low = np.append(low, np.zeros(len(low) % 2, "uint8"))
+    return {f"{name}.n": low[::2] | low[1::2] << 4, f"{name}.at": _least(large), f"{name}.large": _least(n[large])}
+
+
+def _numbers(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    """The numbers at these places of those that _small packed."""
+    n = (arrays[f"{name}.n"][at >> 1] >> ((at & 1) << 2).astype("uint8") & 15).astype("int64")
+    large = np.flatnonzero(n == 15)
+    if len(large):
+        n[large] = arrays[f"{name}.large"][np.searchsorted(arrays[f"{name}.at"], at[large])]
+    return n
+
+
+def _four(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    return _numbers(arrays, name, (at[:, None] * 4 + np.arange(4)).ravel()).reshape(-1, 4)
 
 
 def _least(n: np.ndarray) -> np.ndarray:
@@ -161,43 +200,81 @@ def _least(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max(initial=0))))
 
 
-def _packed_trigrams(v: np.ndarray, w: np.ndarray, u: np.ndarray, n: np.ndarray) -> bytes:
-    words, codes = np.unique(np.concatenate([v, w, u]), return_inverse=True)
-    return _blob(words, *np.split(_least(codes), 3), _least(n))
+def _keys(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted keys as buckets by the first bits, and the 40 bits after these."""
+    bits = np.uint64(max(1, (len(keys) // _BUCKET).bit_length()))
+    bucket = (keys >> np.uint64(64) - bits).astype("int64")
+    rest = keys << bits
+    return {
+        f"{name}.table": np.searchsorted(bucket, np.arange((1 << int(bits)) + 1)).astype("uint32" if len(keys) < 1 << 32 else "int64"),
+        f"{name}.main": (rest >> np.uint64(32)).astype("uint32"),
+        f"{name}.check": (rest >> np.uint64(24)).astype("uint8"),
+    }
 
 
-def _unpacked_trigrams(blob: bytes) -> tuple[np.ndarray, ...]:
-    words, v, w, u, n = _arrays(blob)
-    return words[v], words[w], words[u], n.astype("int64")
+def _find(arrays: dict[str, np.ndarray], name: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of those wanted that are among keys that _keys packed, and which are."""
+    table, main, check = (arrays[f"{name}.{part}"] for part in ("table", "main", "check"))
+    if not len(main):
+        return np.empty(0, "int64"), np.empty(0, "int64")
+    bits = np.uint64((len(table) - 1).bit_length() - 1)
+    bucket, rest = (wanted >> np.uint64(64) - bits).astype("int64"), wanted << bits
+    top = (rest >> np.uint64(32)).astype("uint32")
+    at, size = table[bucket].astype("int64"), (table[bucket + 1] - table[bucket]).astype("int64")
+    last = len(main) - 1
+    while (most := int(size.max(initial=0))) > 0:  # the first place in the bucket that is not less
+        half = size >> 1
+        less = (main[np.minimum(at + half, last)] < top) & (size > 0)
+        at += np.where(less, half + 1, 0)
+        size = np.where(less, size - half - 1, half)
+        if most == 1:
+            break
+    end = table[bucket + 1]
+    seen = np.flatnonzero((at < end) & (main[np.minimum(at, last)] == top))
+    at, end, top, low = at[seen], end[seen], top[seen], (rest[seen] >> np.uint64(24)).astype("uint8")
+    while len(more := np.flatnonzero((at + 1 < end) & (check[at] < low) & (main[np.minimum(at + 1, last)] == top))):
+        at[more] += 1
+    same = check[at] == low
+    return at[same], seen[same]
 
 
 def _save(folder: str, arrays: dict[str, np.ndarray]) -> str:
-    """Writes arrays under a new name, which it returns."""
+    """Writes arrays to one file under a new name, which it returns."""
     system, root = pafs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    name = uuid.uuid4().hex
+    name, at, parts = uuid.uuid4().hex, 0, {}
     for key, array in arrays.items():
-        with system.open_output_stream(f"{root}/{name}.{key}.npy") as out:
-            np.save(out, array)
+        parts[key] = array.dtype.str, len(array), at
+        at += -(-array.nbytes // 8) * 8
+    head = json.dumps(parts).encode()
+    head += b" " * (-len(head) % 8)
+    with system.open_output_stream(f"{root}/{name}.kn") as out:
+        out.write(len(head).to_bytes(8, "little") + head)
+        for array in arrays.values():
+            out.write(np.ascontiguousarray(array).tobytes() + bytes(-array.nbytes % 8))
     return name
 
 
-def _mapped(folder: str, name: str, key: str, keep: bool = True) -> np.ndarray:
-    """An array of a file, mapped into memory once per worker process, or for as long as the caller keeps it."""
-    uri = f"{folder}/{name}.{key}.npy"
+def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped into memory; a worker process keeps the last ones open."""
+    uri = f"{folder}/{name}.kn"
     if uri not in _OPEN:
         system, path = pafs.FileSystem.from_uri(uri)
         if system.type_name != "local":
-            local = os.path.join(tempfile.gettempdir(), f"{name}.{key}.npy")
+            local = os.path.join(tempfile.gettempdir(), f"{name}.kn")
             if not os.path.exists(local):
                 part = f"{local}.{os.getpid()}"
                 pafs.copy_files(path, part, source_filesystem=system, destination_filesystem=pafs.LocalFileSystem())
                 os.replace(part, local)
             path = local
-        array = np.load(path, mmap_mode="r")
-        if not keep:
-            return array
-        _OPEN[uri] = array
+        data = np.memmap(path, "u1", "r").view(np.ndarray)
+        start = 8 + int.from_bytes(data[:8].tobytes(), "little")
+        if len(_OPEN) >= _MOST_OPEN:
+            del _OPEN[next(iter(_OPEN))]
+        _OPEN[uri] = {
+            key: np.frombuffer(data, kind, n, start + at) if n else np.empty(0, kind)
+            for key, (kind, n, at) in json.loads(data[8:start].tobytes()).items()
+        }
     return _OPEN[uri]
 
 
@@ -215,10 +292,11 @@ class KneserNey:
 
     folder: str
     shards: int
-    bigrams: dict[int, str]
-    words: list[tuple[int, str]]  # first key and file, in order
-    hot: np.ndarray
+    hot: np.ndarray  # hashes in order
     hot_stats: np.ndarray
+    bigrams: dict[int, str] = field(default_factory=dict)  # files by shard
+    words: dict[int, str] = field(default_factory=dict)  # by range of words
+    pairs: dict[int, str] = field(default_factory=dict)  # by range of contexts that end in a hot word
     d: np.ndarray = field(default_factory=lambda: discounts([0] * 4))
     d_cont: np.ndarray = field(default_factory=lambda: discounts([0] * 4))
     n: int = 0
@@ -227,312 +305,324 @@ class KneserNey:
     spare: float = 1.0  # the continuation distribution's mass that goes to the even one
     order: int = 2
     d_top: np.ndarray = field(default_factory=lambda: discounts([0] * 4))
-    pairs: dict[int, str] = field(default_factory=dict)  # files of contexts that end in a frequent word
-
-    def word_stats(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences and distinct contexts of words given by hash."""
-        c, k = np.zeros(len(w), "int64"), np.zeros(len(w), "int64")
-        order = np.argsort(w, kind="stable")
-        cuts = np.searchsorted(w[order], [first for first, _ in self.words[1:]])
-        for part, (_, name) in zip(np.split(order, cuts) if self.words else [], self.words, strict=True):
-            at, seen = _find(_mapped(self.folder, name, "keys"), w[part])
-            c[part[seen]] = _mapped(self.folder, name, "counts")[at]
-            k[part[seen]] = _mapped(self.folder, name, "contexts")[at]
-        return c, k
-
-    def bigram_stats(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each bigram, and of its context: sum of counts, bigrams counted once, twice, more often."""
-        keys = bigram_keys(u, w, self.hot)
-        shard = _shard(keys, self.shards)
-        own = (_mixed(u.view("uint64")) >> np.uint64(64 - _PLACES)).astype("int64") * self.shards >> _PLACES
-        c, stats = np.zeros(len(u), "int64"), np.zeros((len(u), 4), "int64")
-        order = np.argsort(keys)
-        for s, part in _grouped(shard, order):
-            if name := self.bigrams.get(s):
-                at, seen = _find(_mapped(self.folder, name, "keys"), keys[part])
-                n = _mapped(self.folder, name, "counts")[at].astype("int64")
-                big = np.flatnonzero(n == 65535)
-                n[big] = _mapped(self.folder, name, "large")[np.searchsorted(_mapped(self.folder, name, "large_at"), at[big])]
-                c[part[seen]] = n
-        for s, part in _grouped(own, np.argsort(u)):
-            if name := self.bigrams.get(s):
-                at, seen = _find(_mapped(self.folder, name, "contexts"), u[part])
-                stats[part[seen]] = _mapped(self.folder, name, "stats")[at]
-        at, seen = _find(self.hot, u)
-        stats[seen] = self.hot_stats[at]
-        return c, stats
-
-    def trigram_stats(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As bigram_stats, of trigrams and their contexts (u, v)."""
-        keys, pairs = trigram_keys(u, v, w, self.hot), pair_keys(u, v)
-        own = (_mixed(v.view("uint64")) >> np.uint64(64 - _PLACES)).astype("int64") * self.shards >> _PLACES
-        c, stats = np.zeros(len(u), "int64"), np.zeros((len(u), 4), "int64")
-        for s, part in _grouped(_shard(keys, self.shards), np.argsort(keys)):
-            if name := self.bigrams.get(s):
-                at, seen = _find(_mapped(self.folder, name, "triples", False), keys[part])
-                n = _mapped(self.folder, name, "triple_counts", False)[at].astype("int64")
-                big = np.flatnonzero(n == 255)
-                if len(big):
-                    n[big] = _mapped(self.folder, name, "triple_large", False)[np.searchsorted(_mapped(self.folder, name, "triple_large_at", False), at[big])]
-                c[part[seen]] = n
-        hot, order = np.isin(v, self.hot), np.argsort(pairs)
-        for files, shard, rows in (
-            (self.bigrams, own, order[~hot[order]]),
-            (self.pairs, _shard(pairs, _ranges(self.shards)), order[hot[order]]),
-        ):
-            for s, part in _grouped(shard, rows):
-                if name := files.get(s):
-                    stats[part[_find(_mapped(self.folder, name, "single_pairs", False), pairs[part])[1]]] = 1, 1, 0, 0
-                    at, seen = _find(_mapped(self.folder, name, "pairs", False), pairs[part])
-                    stats[part[seen]] = _mapped(self.folder, name, "pair_stats", False)[at]
-        return c, stats
-
-    def logs(self, *grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the model's probability of each n-gram's last word, and the word's occurrences."""
-        *_, u, w = grams
-        occurs, k = self.word_stats(w)
-        even = self.spare / (self.v + 1)
-        low = np.maximum(k - self.d_cont[np.minimum(k, 3)], 0) / max(self.k, 1) + even
-        chance = _interpolated(*self.bigram_stats(u, w), self.d, low)
-        if self.order == 3:
-            chance = _interpolated(*self.trigram_stats(*grams), self.d_top, chance)
-        return np.log10(chance), occurs
 
-
-def _interpolated(c: np.ndarray, stats: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
+    def _parts(self, files: dict[int, str], keys: np.ndarray, shards: int, rows: np.ndarray | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        """The arrays of each file that the keys lead to, and the rows (of those given) that do."""
+        shard = _shard(keys if rows is None else keys[rows], shards)
+        for s, part in _grouped(shard):
+            if s in files:
+                yield _mapped(self.folder, files[s]), part if rows is None else rows[part]
+
+    def logs(self, codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the model's probability of each token of texts, given as by `tokens`, and how often words occur, by code."""
+        m, hashes = len(hashes), np.append(hashes, START)
+        mixed = _mixed(hashes)
+        is_hot = np.isin(hashes, self.hot)
+        # words: occurrences, distinct contexts, sums as a context
+        c, k, sums = np.zeros(m + 1, "int64"), np.zeros(m + 1, "int64"), np.zeros((m + 1, 4), "int64")
+        for file, part in self._parts(self.words, mixed, _ranges(self.shards)):
+            at, seen = _find(file, "words", mixed[part])
+            c[part[seen]], k[part[seen]] = _numbers(file, "occurs", at), _numbers(file, "contexts", at)
+        for file, part in self._parts(self.bigrams, mixed, self.shards, np.flatnonzero(~is_hot)):
+            at, seen = _find(file, "contexts", mixed[part])
+            sums[part[seen]] = _four(file, "context_sums", at)
+        sums[is_hot] = self.hot_stats[np.searchsorted(self.hot, hashes[is_hot])]
+        low = np.maximum(k - self.d_cont[np.minimum(k, 3)], 0) / max(self.k, 1) + self.spare / (self.v + 1)
+
+        pair, of = np.unique(_before(codes, counts, m) * (m + 1) + codes, return_inverse=True)
+        v, w = pair // (m + 1), pair % (m + 1)
+        keys = gram_keys(mixed[v], hashes[w])
+        place = np.where(is_hot[v], keys, mixed[v])
+        n, found = np.zeros(len(keys), "int64"), np.zeros(len(keys) + 1, "bool")
+        for file, part in self._parts(self.bigrams, place, self.shards):
+            at, seen = _find(file, "bigrams", keys[part])
+            n[part[seen]], found[part[seen]] = _numbers(file, "bigram_counts", at), True
+        chance = _interpolated(n, sums[v], self.d, low[w])[of]
+        if self.order == 2:
+            return np.log10(chance), c[:m]
+
+        # contexts of two words: each bigram of the texts, and last the two starts
+        keys, ends = np.append(keys, _STARTS), np.append(w, m)
+        sums = np.zeros((len(keys), 4), "int64")
+        sums[found] = 1, 1, 0, 0
+        hot = is_hot[ends]
+        for file, part in (
+            *self._parts(self.bigrams, mixed[ends], self.shards, np.flatnonzero(~hot)),
+            *self._parts(self.pairs, keys, _ranges(self.shards), np.flatnonzero(hot)),
+        ):
+            at, seen = _find(file, "pairs", keys[part])
+            sums[part[seen]] = _four(file, "pair_sums", at)
+        context = _before(of, counts, len(pair))
+        n = np.zeros(len(codes), "int64")
+        rows = np.flatnonzero(found[of] & (sums[context, 0] > 0))
+        wanted = gram_keys(keys[context[rows]], hashes[codes[rows]])
+        for file, part in self._parts(self.bigrams, place[of[rows]], self.shards):
+            at, seen = _find(file, "triples", wanted[part])
+            n[rows[part[seen]]] = _numbers(file, "triple_counts", at)
+        return np.log10(_interpolated(n, sums, self.d_top, chance, context)), c[:m]
+
+
+def _interpolated(c: np.ndarray, stats: np.ndarray, d: np.ndarray, low: np.ndarray, context: np.ndarray | None = None) -> np.ndarray:
     """Discounted shares of contexts with these stats, and the shorter context's chances for the rest."""
     total = np.maximum(stats[:, 0], 1)
     gamma = np.where(stats[:, 0] > 0, stats[:, 1:] @ d[1:] / total, 1.0)
+    if context is not None:
+        total, gamma = total[context], gamma[context]
     return np.maximum(c - d[np.minimum(c, 3)], 0) / total + gamma * low
 
 
 def _ranges(shards: int) -> int:
-    return max(1, shards // PAIR_SHARDS)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in sorted keys of those wanted that are there, and which are."""
-    if not len(keys):
-        return np.empty(0, "int64"), np.empty(0, "int64")
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    seen = np.flatnonzero(keys[at] == wanted)
-    return at[seen], seen
+    return max(1, shards // RANGE_SHARDS)
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - _PLACES)).astype("int64") * shards >> _PLACES
+    return ((keys >> np.uint64(48)).astype("int64") * shards >> 16).astype("uint16")
 
 
-def _grouped(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Row numbers of each shard, in the given order."""
-    order = order[np.argsort(shard[order], kind="stable")]
+def _grouped(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers of each shard, in order."""
+    order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
         yield int(shard[part[0]]), part
 
 
+@dataclass
+class _Counting:
+    """What the tasks of a count need: where files go, and the sample's words by code, hot ones first."""
+
+    folder: str
+    shards: int
+    order: int
+    words: np.ndarray
+    hot: int
+
+    def packed(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """A blob per shard of texts given as by `tokens`."""
+        hashes, place = np.unique(np.concatenate([h for _, h, _ in held]), return_inverse=True)
+        order = np.argsort(self.words)
+        at = order[np.minimum(np.searchsorted(self.words, hashes, sorter=order), len(order) - 1)]
+        rare = self.words[at] != hashes
+        at[rare] = len(self.words) + np.arange(rare.sum())
+        rare = hashes[rare]
+        cuts = np.cumsum([len(h) for _, h, _ in held])[:-1]
+        w = np.concatenate([at[p][codes] for p, (codes, _, _) in zip(np.split(place, cuts), held, strict=True)])
+        counts = np.concatenate([n for _, _, n in held])
+        v = _before(w, counts, 0)
+        v, w, u, n = _distinct(v, w, _before(v, counts, 0) if self.order == 3 else np.zeros_like(v))
+        at = _starts(v, w)
+        size = _sizes(at, len(v))
+        hashes = np.concatenate([self.words, rare])
+        mixed = _mixed(hashes)
+        for s, part in _grouped(_shard(self.placed(v[at], w[at], hashes, mixed), self.shards)):
+            rows = np.repeat(at[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())
+            blob = _packed([v[rows], w[rows], u[rows]], [n[rows] - 1], len(self.words), rare)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], "int32"), "blob": [blob]})
+
+    def placed(self, v: np.ndarray, w: np.ndarray, hashes: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        place = mixed[v]
+        hot = np.flatnonzero(v < self.hot)
+        place[hot] = gram_keys(place[hot], hashes[w[hot]])
+        return place
+
+    def merged(self, held: list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]) -> list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+        """Unpacked blobs of a shard as one."""
+        known, all_rare = len(self.words), np.unique(np.concatenate([rare for _, _, rare in held]))
+        for keys, _, rare in held:
+            place = np.searchsorted(all_rare, rare) + known
+            for key in keys:
+                far = np.flatnonzero(key >= known)
+                key[far] = place[key[far] - known]
+        keys = [np.concatenate(x) for x in zip(*(keys for keys, _, _ in held), strict=True)]
+        *keys, n = _distinct(*keys, np.concatenate([n for _, (n,), _ in held]) + 1)
+        return [(keys, [n - 1], all_rare)]
+
+    def written(self, shard: int, held: list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Writes the file of a shard; the rows that its task passes on."""
+        (((v, w, u), (n,), rare),) = self.merged(held)
+        n += 1
+        known, ranges = len(self.words), _ranges(self.shards)
+        hashes = np.concatenate([self.words, rare])
+        mixed = _mixed(hashes)
+        at = _starts(v, w)
+        bv, bw, occurs = v[at], w[at], np.add.reduceat(n, at)
+        counts = _sizes(at, len(v)) if self.order == 3 else occurs
+        keys = gram_keys(mixed[bv], hashes[bw])
+        order = np.argsort(keys)
+        arrays = _keys("bigrams", keys[order]) | _small("bigram_counts", counts[order])
+        yield _row(COUNTS, shard, [(counts == i).sum() for i in range(1, 5)])
+
+        at = _starts(bv)
+        context, sums = bv[at], _sums(counts, at)
+        hot = context < self.hot
+        arrays |= _keyed("contexts", "context_sums", mixed[context[~hot]], sums[~hot])
+        if hot.any():
+            for s, part in _grouped(_shard(mixed[context[hot]], ranges)):
+                yield _row(HOT, s, [], _packed([context[hot][part]], [*sums[hot][part].T], known, rare))
+
+        order = np.argsort(bw, kind="stable")
+        at = _starts(bw[order])
+        word, contexts, occurs = bw[order][at], _sizes(at, len(bw)), np.add.reduceat(occurs[order], at)
+        for s, part in _grouped(_shard(mixed[word], ranges)):
+            yield _row(WORD, s, [], _packed([word[part]], [contexts[part], occurs[part]], known, rare))
+
+        if self.order == 3:
+            yield _row(TOP, shard, [(n == i).sum() for i in range(1, 5)])
+            keys = gram_keys(gram_keys(mixed[u], hashes[v]), hashes[w])
+            order = np.argsort(keys)
+            arrays |= _keys("triples", keys[order]) | _small("triple_counts", n[order])
+            order = np.argsort(v * len(hashes) + u)
+            v, u, n = v[order], u[order], n[order]
+            at = _starts(v, u)
+            v, u, sums = v[at], u[at], _sums(n, at)
+            keys, hot = gram_keys(mixed[u], hashes[v]), v < self.hot
+            own = np.flatnonzero(~hot & (sums[:, 0] > 1))
+            arrays |= _keyed("pairs", "pair_sums", keys[own], sums[own])
+            hot = np.flatnonzero(hot)
+            for s, part in _grouped(_shard(keys[hot], ranges)):
+                part = hot[part]
+                yield _row(PAIRS, s, [], _packed([v[part], u[part]], [*sums[part].T], known, rare))
+        yield _row(FILE, shard, [], path=_save(self.folder, arrays))
+
+    def unpacked_sums(self, kind: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and sums that a shard passed on: of words, hot contexts (both by hash mixed), or contexts of two words."""
+        keys, values, rare = _unpacked(blob)
+        hashes = [np.concatenate([self.words, rare])[k] for k in keys]
+        if kind == PAIRS:
+            return gram_keys(_mixed(hashes[1]), hashes[0]), np.stack(values, 1)
+        return _mixed(hashes[0]), np.stack(values, 1)
+
+    def finished(self, kind: int, key: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Writes the added-up sums of a range, or passes them on for hot contexts."""
+        ((keys, sums),) = _added(held)
+        if kind == HOT:
+            for k, s in zip(keys.view("int64").tolist(), sums, strict=True):
+                yield _row(HOT, k, s)
+        elif kind == PAIRS:
+            more = (sums[:, 0] > 1) | (keys == _STARTS)
+            yield _row(PAIRS, key, [], path=_save(self.folder, _keyed("pairs", "pair_sums", keys[more], sums[more])))
+        else:
+            k, n = sums.T
+            path = _save(self.folder, _keys("words", keys) | _small("contexts", k) | _small("occurs", n))
+            yield _row(WORD, key, [k.sum(), n.sum(), len(keys), *((k == i).sum() for i in range(1, 5))], path=path)
+
+
+def _keyed(name: str, values: str, keys: np.ndarray, sums: np.ndarray) -> dict[str, np.ndarray]:
+    order = np.argsort(keys)
+    return _keys(name, keys[order]) | _small(values, sums[order].ravel())
+
+
+def _sums(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the numbers from each place to the next: the sum, and how many are 1, 2, more."""
+    return np.stack([np.add.reduceat(x, at) for x in (n, (n == 1).astype("int64"), (n == 2).astype("int64"), (n > 2).astype("int64"))], 1)
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys in order, with the sums of their numbers."""
+    keys, stats = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = _starts(keys)
+    return [(keys[at], np.add.reduceat(stats[order], at, axis=0))]
+
+
+def _row(kind: int, key: int, n: list[int], blob: bytes | None = None, path: str | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "kind": pa.array([kind], "int32"), "key": pa.array([key], "int64"), "path": pa.array([path], "string"),
+        "n": pa.array([[int(x) for x in n]], pa.list_(pa.int64())), "blob": pa.array([blob], "binary"),
+    })
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> KneserNey:
     """The model of all rows of `docs`, of order 2 or 3. Null texts count as empty: their end is a token. Empty tables give an even model."""
     if order not in (2, 3):
         raise ValueError(f"order {order} is not 2 or 3")
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
-    shard_tokens = SHARD_TOKENS if order == 2 else SHARD_TOKENS // 2
-    folder = shared_folder(spark, "kneser-ney")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(MAX_SHARDS, max(4, size / 6 / shard_tokens)))
-    hot = _hot_contexts(texts, shards)
+    shards = int(min(MAX_SHARDS, max(4, size / 6 / SHARD_TOKENS)))
+    words, hot = _vocabulary(texts, size, shards)
+    shared = spark.sparkContext.broadcast(_Counting(shared_folder(spark, "kneser-ney"), shards, order, words, hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for a, b in text_chunks(batch["text"], CHUNK_BYTES):
-                if order == 2:
-                    held.append(_bigrams(*tokens(batch["text"][a:b]))[:3])
-                else:
-                    u, v, w, n, _ = _trigrams(*tokens(batch["text"][a:b]))
-                    held.append((v, w, u, n))
-                if sum(len(x[0]) for x in held) > 2 * shard_tokens:
-                    yield from _blobs(held, hot, shards)
+                held.append(tokens(batch["text"][a:b]))
+                if sum(len(x[0]) for x in held) > SHARD_TOKENS:
+                    yield from shared.value.packed(held)
                     held = []
         if held:
-            yield from _blobs(held, hot, shards)
+            yield from shared.value.packed(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        unpacked, written = (_unpacked, _written) if order == 2 else (_unpacked_trigrams, _written_trigrams)
-        for batch in batches:
+        job, own, held = shared.value, None, []
+        for batch in batches:  # in order of shards
             for shard, blob in zip(batch["shard"].to_pylist(), batch["blob"], strict=True):
-                own = held.setdefault(shard, [])
-                own.append(unpacked(blob.as_buffer().to_pybytes()))
-                if sum(len(x[0]) for x in own) > 3 * len(own[0][0]) + 2 * shard_tokens:
-                    held[shard] = [_summed(*(np.concatenate(x) for x in zip(*own, strict=True)))]
-        for shard in list(held):
-            grams = _summed(*(np.concatenate(x) for x in zip(*held.pop(shard), strict=True)))
-            for rows in written(folder, shard, grams, hot, shards):
-                yield rows if order == 2 or "blob" in rows.schema.names else rows.append_column("blob", pa.nulls(len(rows), "binary"))
-
-    blobs = texts.mapInArrow(count, "shard int, blob binary").repartition(shards, "shard")
-    if order == 2:
-        rows = blobs.mapInArrow(merge, _ROWS)
-    else:
-        merged = stored(blobs.mapInArrow(merge, f"{_ROWS}, blob binary"), "kneser-ney-merged")
-        rows = merged.filter(F.col("kind") != PAIRS).drop("blob")
-    rows = rows.groupBy("kind", "key", "path")
-    rows = stored(rows.agg(*(F.sum(c).alias(c) for c in "abcd")), "kneser-ney-rows")
-    model = KneserNey(folder, shards, {}, [], hot, np.zeros((len(hot), 4), "int64"), order=order)
+                if held and shard != own:
+                    yield from job.written(own, held)
+                    held = []
+                own = shard
+                held.append(_unpacked(blob.as_buffer().to_pybytes()))
+                if sum(len(x[0][0]) for x in held) > 3 * len(held[0][0][0]) + 2 * SHARD_TOKENS:
+                    held = job.merged(held)
+        if held:
+            yield from job.written(own, held)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, own, held = shared.value, (0, 0), []
+        for batch in batches:  # in order of kinds and ranges
+            for i, blob in enumerate(batch["blob"]):
+                if not blob.is_valid:
+                    yield batch.slice(i, 1).drop_columns("blob")
+                    continue
+                group = batch["kind"][i].as_py(), batch["key"][i].as_py()
+                if held and group != own:
+                    yield from (rows.drop_columns("blob") for rows in job.finished(*own, held))
+                    held = []
+                own = group
+                held.append(job.unpacked_sums(group[0], blob.as_buffer().to_pybytes()))
+                if sum(len(x[0]) for x in held) > 3 * len(held[0][0]) + SHARD_TOKENS:
+                    held = _added(held)
+        if held:
+            yield from (rows.drop_columns("blob") for rows in job.finished(*own, held))
+
+    blobs = texts.mapInArrow(count, "shard int, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    parts = blobs.mapInArrow(merge, f"{_ROWS}, blob binary").repartition(max(2, shards // 2), "kind", "key")
+    rows = parts.sortWithinPartitions("kind", "key").mapInArrow(finish, _ROWS).collect()  # a few per file and hot word
+    by_kind = {kind: [r for r in rows if r.kind == kind] for kind in (FILE, COUNTS, HOT, WORD, PAIRS, TOP)}
+    model = KneserNey(shared.value.folder, shards, np.sort(words[:hot]), np.zeros((hot, 4), "int64"), order=order)
+    model.bigrams, model.words, model.pairs = ({r.key: r.path for r in by_kind[kind]} for kind in (FILE, WORD, PAIRS))
+    if not model.bigrams:
+        return model
+    total = lambda kind: np.array([r.n for r in by_kind[kind]]).sum(axis=0).tolist()
+    model.d = discounts(total(COUNTS))
     if order == 3:
-        model.pairs = _write_pairs(merged.filter(F.col("kind") == PAIRS).select("key", "blob"), folder, _ranges(shards))
-    few = rows.filter(F.col("kind") != WORD).toPandas()  # a row per file and hot context
-    for row in few.itertuples():
-        if row.kind == FILE:
-            model.bigrams[row.key] = row.path
-        elif row.kind == COUNTS:
-            model.d = discounts([row.a, row.b, row.c, row.d])
-        elif row.kind == TOP:
-            model.d_top = discounts([row.a, row.b, row.c, row.d])
-        else:
-            model.hot_stats[np.searchsorted(hot, row.key)] = row.a, row.b, row.c, row.d
-    words = rows.filter(F.col("kind") == WORD)
-    times = [F.sum((F.col("a") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
-    sums = words.agg(F.sum("a").alias("k"), F.sum("b").alias("n"), F.count("*").alias("v"), *times).first()
-    if sums["v"]:
-        model.k, model.n, model.v = sums["k"], sums["n"], sums["v"]
-        model.d_cont = discounts([sums[f"n{i}"] for i in range(1, 5)])
-        more = model.v - sums["n1"] - sums["n2"]
-        model.spare = float(model.d_cont[1:] @ [sums["n1"], sums["n2"], more]) / model.k
-        model.words = _write_words(words, folder)
+        model.d_top = discounts(total(TOP))
+    place = {k: i for i, k in enumerate(_mixed(model.hot).view("int64").tolist())}
+    for r in by_kind[HOT]:
+        model.hot_stats[place[r.key]] = r.n
+    model.k, model.n, model.v, *times = total(WORD)
+    model.d_cont = discounts(times)
+    model.spare = float(model.d_cont[1:] @ [times[0], times[1], model.v - times[0] - times[1]]) / model.k
     return model
 
 
-def _hot_contexts(texts: DataFrame, shards: int) -> np.ndarray:
-    """Contexts with over a quarter of a shard's tokens in a sample of texts, and the start of a text."""
+def _vocabulary(texts: DataFrame, size: int, shards: int) -> tuple[np.ndarray, int]:
+    """Hashes of the most frequent words of a sample of texts, in that order, the start of a text first; how many are hot: over a quarter of a shard's tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_chunks(batch["text"], CHUNK_BYTES):
-                codes, hashes, _ = tokens(batch["text"][a:b])
-                yield pa.RecordBatch.from_pydict({"w": hashes, "n": np.bincount(codes, minlength=len(hashes))})
+                codes, hashes, _ = tokens(batch["text"][a:b])  # the start stands for the sample's tokens
+                yield pa.RecordBatch.from_pydict({"w": np.append(hashes, START), "n": np.append(np.bincount(codes, minlength=len(hashes)), len(codes))})
 
-    sample = texts.filter(remainder("text", SAMPLE_MOD) == 0).mapInArrow(count, "w long, n long")
+    sample = texts.filter(remainder("text", max(1, size // SAMPLE_BYTES)) == 0).mapInArrow(count, "w long, n long")
     counts = sample.groupBy("w").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counts.filter(F.col("n") > total / (4 * shards)).select("w").collect()] if total else []
-    return np.unique(np.array([*hot, START], dtype="int64"))
-
-
-def _blobs(held: list[tuple[np.ndarray, ...]], hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    columns = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    shard = _shard(bigram_keys(columns[0], columns[1], hot), shards)
-    pack = _packed if len(columns) == 3 else _packed_trigrams
-    for s, part in _grouped(shard, np.arange(len(shard))):
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], "int32"), "blob": [pack(*(x[part] for x in columns))]})
-
-
-def _pair_arrays(keys: np.ndarray, stats: np.ndarray) -> dict[str, np.ndarray]:
-    """Sorted contexts of two words, those that occur once apart, and the stats of the others."""
-    order = np.argsort(keys)
-    keys, stats = keys[order], stats[order]
-    once = stats[:, 0] == 1
-    return {"single_pairs": keys[once], "pairs": keys[~once], "pair_stats": _least(stats[~once])}
-
-
-def _written_trigrams(folder: str, shard: int, trigrams: tuple[np.ndarray, ...], hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """As _written, of rows (v, w, u, n) in order, with the trigrams and their contexts."""
-    v, w, u, n = trigrams
-    keys = trigram_keys(u, v, w, hot)
-    order = np.argsort(keys)
-    large = np.flatnonzero(n[order] >= 255)
-    arrays = {"triples": keys[order], "triple_counts": np.minimum(n[order], 255).astype("uint8"), "triple_large_at": large, "triple_large": n[order][large]}
-    yield _row_batch(TOP, np.zeros(1, "int64"), np.array([[(n == i).sum() for i in range(1, 5)]]))
-    order = np.lexsort((u, v))
-    uu, vv, m = u[order], v[order], n[order]
-    at = _starts(vv, uu)
-    stats = np.stack([np.add.reduceat(x, at) for x in (m, (m == 1).astype("int64"), (m == 2).astype("int64"), (m > 2).astype("int64"))], 1)
-    keys, is_hot = pair_keys(uu[at], vv[at]), np.isin(vv[at], hot)
-    arrays |= _pair_arrays(keys[~is_hot], stats[~is_hot])
-    keys, stats = keys[is_hot], stats[is_hot]
-    for s, part in _grouped(_shard(keys, _ranges(shards)), np.argsort(keys)):
-        once = stats[part, 0] == 1
-        blob = _blob(keys[part[once]], keys[part[~once]], _least(stats[part[~once]]))
-        yield _row_batch(PAIRS, np.array([s]), np.zeros((1, 4), "int64")).append_column("blob", pa.array([blob], "binary"))
-    at = _starts(v, w)
-    bigrams = v[at], w[at], np.diff(np.append(at, len(v)))
-    yield from _written(folder, shard, bigrams, hot, shards, np.add.reduceat(n, at), arrays)
-
-
-def _write_pairs(blobs: DataFrame, folder: str, ranges: int) -> dict[int, str]:
-    """Files with the added-up stats of the contexts that end in a frequent word, by range of keys."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for s, blob in zip(batch["key"].to_pylist(), batch["blob"], strict=True):
-                once, more, stats = _arrays(blob.as_buffer().to_pybytes())
-                own = held.setdefault(s, [])
-                own.append((np.concatenate([once, more]), np.concatenate([np.tile([1, 1, 0, 0], (len(once), 1)), stats.astype("int64")])))
-                if sum(len(x[0]) for x in own) > 3 * len(own[0][0]) + SHARD_TOKENS // 2:
-                    held[s] = [_added(own)]
-        for s in list(held):
-            name = _save(folder, _pair_arrays(*_added(held.pop(s))))
-            yield pa.RecordBatch.from_pydict({"range": pa.array([s], "int64"), "name": [name]})
-
-    return {r[0]: r[1] for r in blobs.repartition(ranges, "key").mapInArrow(merge, "range long, name string").collect()}
-
-
-def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their stats."""
-    keys, stats = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = _starts(keys)
-    return keys[at], np.add.reduceat(stats[order], at, axis=0)
-
-
-def _written(
-    folder: str, shard: int, bigrams: tuple[np.ndarray, ...], hot: np.ndarray, shards: int, occurs: np.ndarray | None = None, more: dict[str, np.ndarray] | None = None
-) -> Iterator[pa.RecordBatch]:
-    """Writes a shard's arrays, and `more`; the rows that the job passes on. `occurs`: how often bigrams occur, where n is another count."""
-    u, w, n = bigrams
-    at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    stats = np.stack([np.add.reduceat(x, at) for x in (n, n == 1, n == 2, n > 2)], 1).astype("int64")
-    contexts, is_hot = u[at], np.isin(u[at], hot)
-    keys = bigram_keys(u, w, hot)
-    order = np.argsort(keys)
-    large = np.flatnonzero(n[order] >= 65535)
-    arrays = {
-        "keys": keys[order], "counts": np.minimum(n[order], 65535).astype("uint16"), "large_at": large, "large": n[order][large],
-        "contexts": contexts[~is_hot], "stats": stats[~is_hot].astype("uint32" if stats.max(initial=0) < 1 << 32 else "int64"),
-    }
-    yield _row_batch(FILE, np.array([shard]), np.zeros((1, 4), "int64"), _save(folder, arrays | (more or {})))
-    yield _row_batch(COUNTS, np.zeros(1, "int64"), np.array([[(n == i).sum() for i in range(1, 5)]]))
-    yield _row_batch(HOT, contexts[is_hot], stats[is_hot])
-    order = np.argsort(w, kind="stable")
-    w, n = w[order], (n if occurs is None else occurs)[order]
-    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-    sums = np.zeros((len(first), 4), "int64")
-    sums[:, 0], sums[:, 1] = np.diff(np.append(first, len(w))), np.add.reduceat(n, first)
-    yield _row_batch(WORD, w[first], sums)
-
-
-def _row_batch(kind: int, keys: np.ndarray, values: np.ndarray, path: str | None = None) -> pa.RecordBatch:
-    columns = {"kind": np.full(len(keys), kind, "int32"), "key": keys, "path": pa.array([path] * len(keys), "string")}
-    return pa.RecordBatch.from_pydict(columns | {c: np.ascontiguousarray(values[:, i]).astype("int64") for i, c in enumerate("abcd")})
-
-
-def _write_words(words: DataFrame, folder: str) -> list[tuple[int, str]]:
-    """Word arrays in files by ranges of hashes; their first keys and names."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held := list(batches):
-            table = pa.Table.from_batches(held)
-            keys = table["key"].to_numpy()
-            name = _save(folder, {"keys": keys, "counts": table["b"].to_numpy(), "contexts": table["a"].to_numpy()})
-            yield pa.RecordBatch.from_pydict({"first": keys[:1], "name": [name]})
-
-    parts = max(1, words.count() // SHARD_TOKENS)
-    ordered = words.select("key", "a", "b").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    return sorted((r[0], r[1]) for r in ordered.mapInArrow(write, "first long, name string").collect())
+    top = counts.orderBy(F.desc("n"), "w").limit(VOCABULARY).toArrow()
+    w, n = (top[c].to_numpy() for c in ("w", "n"))
+    w, n = np.append(START, w[w != START]), np.append(n[w == START], n[w != START])
+    return w, max(1, int((n > n[0] / (4 * shards)).sum())) if len(n) else 1
 
 
 def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
@@ -548,17 +638,16 @@ def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
         for batch in batches:
             for a, b in text_chunks(batch["text"], CHUNK_BYTES):
                 codes, hashes, counts = tokens(batch["text"][a:b])
-                *grams, _, of = (_trigrams if m.order == 3 else _bigrams)(codes, hashes, counts)
-                logs, occurs = m.logs(*grams)
+                logs, occurs = m.logs(codes, hashes, counts)
                 start = np.cumsum(counts) - counts
                 base = np.log10((occurs + 1) / (m.n + m.v + 1))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch["doc_id"][a:b],
                     "n_tokens": counts.astype("int64"),
-                    "n_known": np.add.reduceat((occurs > 0).astype("int64")[of], start),
+                    "n_known": np.add.reduceat((occurs > 0).astype("int64")[codes], start),
                     "train_tokens": np.full(b - a, m.n, "int64"),
-                    "base_score": np.add.reduceat(base[of], start),
-                    "score": np.add.reduceat(logs[of], start),
+                    "base_score": np.add.reduceat(base[codes], start),
+                    "score": np.add.reduceat(logs, start),
                 })
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -2,6 +2,7 @@
 
 import base64
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -195,6 +196,42 @@ def test_kneser_ney_of_order_3_equals_the_formula(spark, docs, nothing):
     assert (row.n_tokens, row.n_known, row.base_score, row.score) == (1, 0, 0, 0)
 
 
+def test_kneser_ney_files_are_compact(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 50_000) for _ in range(400)]
+    model = kneser_ney.train(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS), order=3)
+    grams = {g for t in texts for g in zip(["<s>", "<s>", *t.split()], ["<s>", *t.split()], [*t.split(), None], strict=False)}
+    folder = pathlib.Path(model.folder.removeprefix("file://"))
+    assert sum(f.stat().st_size for f in folder.iterdir()) < 18 * len(grams)
+
+
+def test_kneser_ney_blobs_and_keys(monkeypatch):
+    rng = np.random.default_rng(4)
+    v, w, u = (np.minimum(rng.zipf(1.2, 30_000), 3000) for _ in range(3))
+    rows = Counter(zip(v.tolist(), w.tolist(), u.tolist(), strict=True))
+    known, rare = 2500, np.sort(rng.integers(-(1 << 62), 1 << 62, 501))
+    for bits in (kneser_ney._BITS, 2):  # codes too large to be sorted as one number
+        monkeypatch.setattr(kneser_ney, "_BITS", bits)
+        *keys, n = kneser_ney._distinct(v, w, u)
+        assert dict(zip(zip(*(k.tolist() for k in keys), strict=True), n.tolist(), strict=True)) == rows
+        assert [x.tolist() for x in kneser_ney._distinct(*keys, n)] == [*(k.tolist() for k in keys), n.tolist()]
+    blob = kneser_ney._packed(keys, [n - 1], known, rare)
+    got, (less,), far = kneser_ney._unpacked(blob)
+    word = lambda code, hashes: np.where(code < known, code, hashes[np.maximum(code - known, 0)])
+    assert all((word(a, far) == word(b, rare)).all() for a, b in zip(got, keys, strict=True)) and (less == n - 1).all()
+    assert len(blob) < 5 * len(n) + 8 * len(rare)
+    none = np.empty(0, "int64")
+    assert [x.tolist() for x in kneser_ney._unpacked(kneser_ney._packed([none, none], [none], 5, none))[0]] == [[], []]
+
+    some = np.unique(rng.integers(0, 1 << 63, 5000).astype("uint64") << np.uint64(1))
+    some = np.unique(np.concatenate([some, some[:50] + np.uint64(1 << 24), some[:50] + np.uint64(1 << 25)]))  # as far as the last of 40 bits
+    arrays = kneser_ney._keys("k", some)
+    at, seen = kneser_ney._find(arrays, "k", np.concatenate([some[::-1], some ^ np.uint64(1 << 40)]))
+    assert at.tolist() == list(range(len(some)))[::-1] and seen.tolist() == list(range(len(some)))
+    for n in (np.array([0, 14, 15, 70_000, 3]), np.empty(0, "int64")):
+        assert kneser_ney._numbers(kneser_ney._small("n", n), "n", np.arange(len(n))).tolist() == n.tolist()
+
+
 def test_language_filter(spark, docs, nothing):
     de, en = "der hund und die katze schlafen heute", "the dog and the cat are sleeping today"
     labelled = spark.createDataFrame([(de, "de"), (en, "en"), (None, "fr"), (en, None)], "text string, lang string")
