@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -46,6 +47,7 @@ KNOWN_PIECES = 200_000
 BLOCK_IDS = 200_000
 _STOPS, _PLAIN = ".,;:!?", "\u0130"
 _LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+$"  # all letters below _PLAIN
+_END = "\x01"
 _SLOTS = 18
 _HASH = np.uint32(0x9E3779B1)
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -56,17 +58,20 @@ class WordEncoder:
 
     Of words in Latin letters, which lower-case and compose alike one by one, each match of
     the tokenizer's own splitting pattern goes to its model; other words, and any that may
-    hold a special token, go through the whole tokenizer.
+    hold a special token, go through the whole tokenizer. Words of plain letters alone go
+    all at once through the same merges in tiktoken, if the model's ids follow their order.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        whole = json.loads(self.tokenizer.to_str())
+        steps = whole["pre_tokenizer"]["pretokenizers"]
         self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
         # the byte-level alphabet: bytes that print stand for themselves, the others for 256 and up
         prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         others = [b for b in range(256) if b not in prints]
         self.alphabet = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.fast, self.ends = self._merges(whole["model"], [t["content"] for t in whole["added_tokens"]])
         self.known: dict[str, list[int]] = {}
         self.known_before: dict[str, list[int]] = {}
 
@@ -77,6 +82,29 @@ class WordEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def _merges(self, model: dict, added: list[str]) -> tuple[tiktoken.Encoding | None, np.ndarray]:
+        """The model's merges for words that _END follows, and which ids end a word; none if ids do not follow the merges' order.
+
+        A word's last letter and its end are one symbol from the outset: their merge ranks before all others.
+        """
+        none = None, np.empty(0, "bool")
+        suffix = model.get("end_of_word_suffix")
+        if not suffix or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
+            return none
+        vocabulary = {token: i for token, i in model["vocab"].items() if token not in added}
+        merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+        singles = [vocabulary.get(c + end) for c in self.alphabet.values() for end in ("", suffix)]
+        if not merged or None in merged + singles or merged != sorted(merged) or max(singles) > merged[0] or len(merged) + 512 != len(vocabulary):
+            return none
+        letters = {c: b for b, c in self.alphabet.items()}
+        ranks, ends = {_END.encode(): max(vocabulary.values()) + 1}, np.zeros(max(vocabulary.values()) + 2, "bool")
+        for token, i in vocabulary.items():
+            ends[i] = token.endswith(suffix)
+            own = bytes(letters[c] for c in token.removesuffix(suffix))
+            if _END.encode() not in own:  # no word of letters holds it
+                ranks[own + _END.encode() if ends[i] else own] = i
+        return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}), ends
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text, the end id included. Null: empty."""
         code, distinct, counts = coded_pieces(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
@@ -97,16 +125,12 @@ class WordEncoder:
         stops = (pc.binary_length(given).to_numpy() - pc.binary_length(core).to_numpy()).astype("int64")
         plain = pc.match_substring_regex(core, _LETTERS).to_numpy(zero_copy_only=False) & (stops <= 1)
         coded = pc.utf8_lower(core.filter(pa.array(plain))).dictionary_encode()
-        heads = coded.dictionary.to_pylist()
+        heads = coded.dictionary
         rest = np.flatnonzero(~plain)
-        parts = [self.known.get(h) or self._piece(h) for h in heads]
-        parts += [self._piece(s) for s in _STOPS]
-        parts += self._words(given.take(pa.array(rest)).to_pylist())
-        parts.append([])
-        size = np.fromiter(map(len, parts), "int64", len(parts))
-        flat = np.fromiter(itertools.chain.from_iterable(parts), "uint16", size.sum())
+        others = [self._piece(s) for s in _STOPS] + self._words(given.take(pa.array(rest)).to_pylist()) + [[]]
+        size, flat = (np.concatenate(x) for x in zip(self._letters(heads), _flat(others), strict=True))
         # two parts for each word: itself or its letters, and its stop or nothing
-        part = np.full((len(given), 2), len(parts) - 1)
+        part = np.full((len(given), 2), len(size) - 1)
         part[plain, 0] = coded.indices.to_numpy()
         part[rest, 0] = len(heads) + len(_STOPS) + np.arange(len(rest))
         ends = np.frombuffer(given.buffers()[1], "int32")[given.offset + 1 : given.offset + 1 + len(given)]
@@ -119,6 +143,14 @@ class WordEncoder:
         ids = flat[np.repeat((np.cumsum(size) - size)[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return n.reshape(-1, 2).sum(axis=1), ids
 
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words, all of plain letters in lower case, has, and all their ids."""
+        if self.fast is None or not len(words):
+            return _flat([self.known.get(w) or self._piece(w) for w in words.to_pylist()])
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), _END)[0].as_py()
+        ids = self.fast.encode_to_numpy(joined + _END, disallowed_special=())
+        return np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids.astype("uint16")
+
     def _words(self, words: list[str]) -> list[list[int]]:
         if len(self.known) > KNOWN_PIECES:  # what is used again moves to the younger of two generations
             self.known, self.known_before = {}, self.known
@@ -155,6 +187,11 @@ class WordEncoder:
         return found
 
 
+def _flat(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, parts), "int64", len(parts))
+    return size, np.fromiter(itertools.chain.from_iterable(parts), "uint16", size.sum())
+
+
 def repair(ids: np.ndarray, doc_sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (pairs) and symbols per document for ids below `base`."""
     last = np.zeros(len(ids), "bool")
