@@ -18,10 +18,12 @@ pattern are found by the join without it, and meet the text by that number.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ from linkcensus.functions.windows import mixed, widest, window_hashes
 from linkcensus.operators.staging import Staging
 
 MOST_BITS = 28  # of a bit map: 32 MB
+BITS_EACH = 32  # of a bit map for each hash, up to there; twice as many at most
+FALSE = 1e-5  # of windows that are no anchor, the share that a bit map may let pass
+PIECE_BITS = 19  # of a piece of a bit map, made in one place: 64 KB
 MOST_SHAPES = 128  # places and sizes of the terms of a width, up to which whole terms are looked for
 POSITIONS = 8  # windows of a term that may become its anchor
 SKETCH_BITS = 18  # slots in which windows of the list are counted: 2 MB
@@ -40,6 +45,7 @@ BLOCK = 1 << 18  # bytes of text hashed at a time
 BATCH_ROWS = 1 << 14  # candidates passed on at a time
 WHOLE_BYTES = 16 << 20  # or so much of the texts that go with candidates of patterns
 _SIZED = 0xD6E8FEB86659FD93  # odd
+_PROBES = (1, *(0x9E3779B97F4A7C15 * (2 * k + 1) * (2 * k + 1) % (1 << 64) for k in range(7)))  # odd
 _WINDOWS = "match_term string, segment binary, pattern string, width int, place int, hash long, ends long"
 
 
@@ -50,79 +56,135 @@ def anchors_of(terms: DataFrame, wildcards: bool) -> DataFrame:
     are read twice and not shuffled but for making them distinct.
     """
 
-    def segment_of(term: str) -> tuple[bytes, str | None] | None:
-        parts = segments(term) if wildcards else [term]
-        if parts:
-            return max((p.encode() for p in parts), key=len), like_regex(term) if parts != [term.strip("%") if wildcards else term] else None
-        return None
-
-    def windows(segment: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-        width = widest(len(segment))
-        hashes = next(window_hashes(np.frombuffer(segment, "uint8"), [width]))[1]
-        places = np.unique(np.linspace(0, len(hashes) - 1, POSITIONS).astype("int64"))
-        return width, places, hashes[places]
+    def parted(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """Terms with a literal character, their segments, and regular expressions of those with wildcards; some at a time."""
+        terms = batch["match_term"].cast(pa.string())
+        wild = pc.match_substring_regex(terms, "[%_]") if wildcards else pa.repeat(False, len(terms))
+        plain, rows = terms.filter(pc.invert(wild)), []
+        for term in terms.filter(wild).to_pylist():
+            if parts := segments(term):
+                rows.append((term, max((p.encode() for p in parts), key=len), like_regex(term) if parts != [term.strip("%")] else None))
+        own, segment, pattern = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.string())))
+        own, segment = pa.concat_arrays([plain, own]), pa.concat_arrays([plain.cast(pa.binary()), segment])
+        pattern = pa.concat_arrays([pa.nulls(len(plain), pa.string()), pattern])
+        upto, a = np.cumsum(pc.binary_length(segment).to_numpy(zero_copy_only=False)), 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BLOCK, "right")))
+            yield own[a:b], segment[a:b], pattern[a:b]
+            a = b
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [windows(s[0])[2] for s in map(segment_of, batch["match_term"].to_pylist()) if s]
+            found = []
+            for _, own, _ in parted(batch):
+                _, _, places, hashes = _spread_windows(own)
+                found.append(hashes[np.diff(places, axis=1, prepend=-1) > 0])
             slots, n = np.unique(np.concatenate([np.empty(0, "uint64"), *found]) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             yield _batch([slots.astype("int64"), n], "slot long, n long")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for term in batch["match_term"].to_pylist():
-                if found := segment_of(term):
-                    width, places, hashes = windows(found[0])
-                    best = len(places) - 1 - int(np.argmin(shared[hashes >> np.uint64(64 - SKETCH_BITS)][::-1]))
-                    ends = int(both_ends(hashes[:1], hashes[-1:], len(found[0])).view("int64")[0])
-                    rows.append((term, *found, width, int(places[best]), int(hashes[best].view("int64")), ends))
-            columns = zip(*rows, strict=True) if rows else [[] for _ in _WINDOWS.split(", ")]
-            yield _batch([list(c) for c in columns], _WINDOWS)
+            for own, segment, pattern in parted(batch):
+                size, width, places, hashes = _spread_windows(segment)
+                best = POSITIONS - 1 - np.argmin(shared[hashes >> np.uint64(64 - SKETCH_BITS)][:, ::-1], axis=1)
+                each = np.arange(len(own))
+                ends = both_ends(hashes[:, 0], hashes[:, -1], size).view("int64")
+                yield _batch([own, segment, pattern, width, places[each, best], hashes[each, best].view("int64"), ends], _WINDOWS)
 
     distinct = terms.select("match_term").filter("match_term <> ''").distinct()
-    counted = distinct.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = distinct.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     shared = np.zeros(1 << SKETCH_BITS, "int64")
-    shared[counted["slot"].to_numpy("int64")] = counted["n"].to_numpy("int64")
+    shared[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     return distinct.mapInArrow(choose, _WINDOWS)
 
 
-def both_ends(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+def _spread_windows(segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of segments and widths of their windows; places and hashes of POSITIONS windows of each, places repeat in short ones."""
+    offsets = np.frombuffer(segments.buffers()[1], "int32")[segments.offset : segments.offset + len(segments) + 1].astype("int64")
+    data = np.frombuffer(segments.buffers()[2], "uint8")[offsets[0] : offsets[-1]]
+    size = np.diff(offsets)
+    sizes, code = np.unique(size, return_inverse=True)
+    width = np.array([widest(n) for n in sizes.tolist()])[code]
+    places = np.arange(POSITIONS) * (size - width)[:, None] // (POSITIONS - 1)
+    at = (offsets[:-1] - offsets[0])[:, None] + places
+    hashes = np.empty(at.shape, "uint64")
+    for w, windows in window_hashes(data, np.unique(width).tolist()):
+        hashes[width == w] = windows[at[width == w]]
+    return size, width, places, hashes
+
+
+def both_ends(first: np.ndarray, last: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """Hashes of segments, from those of their first and last windows."""
-    return mixed(first * np.uint64(_SIZED) + last + np.uint64(size))
+    return mixed(first * np.uint64(_SIZED) + last + np.asarray(size, "uint64"))
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], names)
+    columns = [c if isinstance(c, pa.Array) else pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 class BitMap:
-    """Two bits for each of a set of 64-bit hashes."""
+    """A few bits for each of a set of 64-bit hashes.
+
+    Its pieces are made on the executors. The driver gets them as bytes, 2^MOST_BITS / 8 of them at
+    most whatever the set's size, hands them to the tasks as a broadcast variable and keeps no copy.
+    """
 
     def __init__(self, hashes: DataFrame, n: int):
-        self.words = None
+        self.shared = None
         if not n:
             return
-        self.bits = min(MOST_BITS, max(10, (16 * n).bit_length()))
-        places = F.array(F.shiftrightunsigned("hash", 64 - self.bits), F.col("hash").bitwiseAND((1 << self.bits) - 1))
-        words = hashes.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(
-            F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")
-        )
-        rows = words.toPandas()  # 2^MOST_BITS / 64 rows at most
-        self.words = np.zeros(1 << self.bits - 6, "uint64")
-        self.words[rows["at"].to_numpy("int64")] = rows["bits"].to_numpy("int64").view("uint64")
+        self.bits = min(MOST_BITS, max(10, (BITS_EACH * n).bit_length()))
+        passed = [(1 - math.exp(-k * n / (1 << self.bits))) ** k for k in range(1, len(_PROBES) + 1)]
+        self.probes = 1 + next((k for k, share in enumerate(passed) if share <= FALSE), passed.index(min(passed)))
+        own = min(PIECE_BITS, self.bits)
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch["hash"].to_numpy().view("uint64")
+                places = np.unique(np.concatenate([self._place(values, k) for k in range(self.probes)]))
+                first = np.flatnonzero(np.diff(places >> own, prepend=-1))
+                inside = np.split((places & (1 << own) - 1).astype("uint32"), first[1:])
+                yield _batch([places[first] >> own, [x.tobytes() for x in inside] if len(first) else []], "piece int, places binary")
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for piece, places in zip(batch["piece"].to_pylist(), batch["places"], strict=True):
+                    places = np.frombuffer(places.as_buffer(), "uint32")
+                    at = places >> np.uint32(6)
+                    first = np.flatnonzero(np.diff(at, prepend=~at[:1]))
+                    words = made.setdefault(piece, np.zeros(1 << own - 6, "uint64"))
+                    words[at[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint32(63)).astype("uint64"), first)
+            for piece, words in made.items():
+                yield _batch([[piece], [words.tobytes()]], "piece int, words binary")
+
+        pieces = hashes.select("hash").mapInArrow(spread, "piece int, places binary").repartition("piece")
+        found = pieces.mapInArrow(gather, "piece int, words binary").toArrow()
+        words = np.zeros((1 << self.bits - own, 1 << own - 6), "uint64")
+        for piece, part in zip(found["piece"].to_pylist(), found["words"], strict=True):
+            words[piece] = np.frombuffer(part.as_buffer(), "uint64")
+        self.shared = hashes.sparkSession.sparkContext.broadcast(words.reshape(-1))
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Where a hash may be in the set."""
-        if self.words is None:
+        if self.shared is None:
             return np.empty(0, "int64")
-        at = np.flatnonzero(self._bit(hashes >> np.uint64(64 - self.bits)))
-        return at[self._bit(hashes[at] & np.uint64((1 << self.bits) - 1))]
+        words = self.shared.value
+        at = np.flatnonzero(self._bit(words, self._place(hashes, 0)))
+        for k in range(1, self.probes):
+            at = at[self._bit(words, self._place(hashes[at], k))]
+        return at
+
+    def _place(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        """Where the bit of number k of each hash is."""
+        return ((hashes * np.uint64(_PROBES[k]) if k else hashes) >> np.uint64(64 - self.bits)).view("int64")
 
-    def _bit(self, place: np.ndarray) -> np.ndarray:
-        return (self.words[(place >> np.uint64(6)).astype("int64")] >> (place & np.uint64(63)) & np.uint64(1)).astype("bool")
+    @staticmethod
+    def _bit(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return (words[place >> 6] >> (place & 63).view("uint64") & np.uint64(1)).astype("bool")
 
 
 def _around(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
@@ -203,6 +265,7 @@ class _Kind:
 
     def __init__(self, anchors: DataFrame, shapes: list[Row]):
         self.anchors = BitMap(anchors.select("hash"), sum(r["count"] for r in shapes))
+        self.widths = {r.width for r in shapes}
         few: dict[int, list[tuple[int, int]]] = {}
         for r in shapes:
             few.setdefault(r.width, []).append((r.place, r.size))
@@ -236,6 +299,8 @@ def _candidates(data: np.ndarray, offsets: np.ndarray, widths: list[int], litera
         for width, windows in window_hashes(data[base : min(low + BLOCK + widths[-1] + margin, last)], widths):
             hashes = windows[low - base : low - base + BLOCK]
             for kind, whole in ((literal, False), (patterns, True)):
+                if width not in kind.widths:
+                    continue
                 at = kind.anchors.places(hashes)
                 value, at = hashes[at].view("int64"), at + low
                 text = np.searchsorted(end, at, "right")

@@ -3,10 +3,12 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from linkcensus import normalized_terms, watchlist_from_rows
 from linkcensus.functions import multipattern
@@ -141,3 +143,36 @@ def test_windows_of_no_whole_term_stay_in_the_scan(spark, monkeypatch, proper):
     found = [i for text, *_ in blocked._candidates(data, offsets, [16], *kinds, proper) for i in text.to_pylist()]
     whole = set(range(40, 80 if proper else 120))
     assert whole <= set(found) and len(set(found) - whole) <= 4  # a bit map lets few others pass
+
+
+def test_the_driver_holds_little_more_than_a_bit_map(spark):
+    n = 300_000
+    hashes = spark.range(n).selectExpr("xxhash64(id) AS hash")
+    blocked.BitMap(hashes.limit(10), 10)
+    tracemalloc.start()
+    held = blocked.BitMap(hashes, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * (1 << held.bits) / 8  # rows of its words would take twenty times as much
+    assert len(cloudpickle.dumps(held)) < 10_000  # nor does it go with each plan
+    values = hashes.toArrow()["hash"].to_numpy().view("uint64")
+    assert len(held.places(values)) == n
+    others = np.random.default_rng(1).integers(0, 1 << 63, 1_000_000, "uint64")
+    assert len(held.places(others)) < 100
+
+
+def test_anchors_are_windows_of_the_longest_segment(spark):
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("ab%_é/") for _ in range(rng.randrange(1, 40))) for _ in range(300)} | {"%", "_%", "x", "abc" * 200}
+    table = spark.createDataFrame([(t,) for t in [*terms, *terms]], "match_term string")
+    for wildcards in (True, False):
+        anchors = {r.match_term: r for r in anchors_of(table, wildcards).collect()}
+        parts = {t: multipattern.segments(t) if wildcards else [t] for t in terms}
+        assert set(anchors) == {t for t in terms if parts[t]}
+        for term, r in anchors.items():
+            assert r.segment == max((p.encode() for p in parts[term]), key=len)
+            assert r.pattern == (None if parts[term] == [term.strip("%") if wildcards else term] else like_regex(term))
+            assert r.width == widest(len(r.segment)) and 0 <= r.place <= len(r.segment) - r.width
+            windows = next(window_hashes(np.frombuffer(r.segment, "uint8"), [r.width]))[1]
+            assert r.hash == windows[r.place].view("int64")
+            assert r.ends == blocked.both_ends(windows[:1], windows[-1:], len(r.segment)).view("int64")[0]
