@@ -13,7 +13,8 @@ terms hit is kept once.
 
 A LIKE pattern is anchored in its longest literal segment. The wildcards may reach any part of a text,
 so texts with candidates of patterns travel whole, but each once: the pairs of a row's number and a
-pattern are found by the join without it, and meet the text by that number.
+pattern are found by the join without it, and meet the text by that number. Where any term will do, rows that
+hold a literal have no pairs, and texts without a pair stay where they are.
 """
 
 from __future__ import annotations
@@ -203,7 +204,7 @@ def contained(
     A row is given for each term that it contains, more than once where the term lies several times.
     Numbers are given in the scan and go with the rows, so that no second scan has to repeat them.
     `proper`: a text that is a term itself need not be given for that term.
-    `any_term`: one of the patterns that a row fits will do, so that the others need not be tested; what the scan
+    `any_term`: one of the terms will do, so that the others need not be tested; what the scan
     finds is written there once. Then the result has no `match_term`.
     """
     shape = "width", F.isnull("pattern").alias("literal"), "place", F.octet_length("segment").alias("size")
@@ -215,15 +216,32 @@ def contained(
     if all(r.literal for r in found_shapes):
         return _literals(found, anchors).select(*given)
     if any_term:
-        found = any_term.write(found)
+        return _settled(any_term.write(found), anchors, given, any_term)
     held, pairs = _literals(found, anchors).select(*given), _pairs(found, anchors)
     texts = found.filter("whole IS NOT NULL").select(*keep, "_row", "whole")
-    if any_term:
-        pairs = pairs.select(F.col("_row").alias("_of"), "pattern")
-        return held.unionByName(texts.join(pairs, F.expr("_row = _of AND whole rlike pattern"), "left_semi").select(*given))
     return held.unionByName(texts.join(pairs, "_row").filter("whole rlike pattern").select(*keep, "_row", "match_term"))
 
 
+def _settled(found: DataFrame, anchors: DataFrame, given: Sequence[str], staging: Staging) -> DataFrame:
+    """Columns `given` of the rows that contain a term: literals first, patterns are sought in what is left.
+
+    Only texts with a pair leave for the shuffle, and few others: a bit map of their numbers comes before it.
+    """
+    held = staging.write(_literals(found, anchors).select(*given).dropDuplicates(["_row"]))
+    settled = held.select(F.col("_row").alias("_of"))
+    pairs = staging.write(_pairs(found.join(settled, F.expr("_row = _of"), "left_anti"), anchors).select(F.col("_row").alias("_of"), "pattern"))
+    numbers = pairs.select("_of").distinct().select(F.xxhash64("_of").alias("hash"))
+    wanted = BitMap(numbers, numbers.count())
+
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(wanted.places(batch["hash"].to_numpy().view("uint64"))))
+
+    texts = found.filter("whole IS NOT NULL").select(*given, "whole", F.xxhash64("_row").alias("hash"))
+    texts = texts.mapInArrow(perhaps, texts.schema)
+    return held.unionByName(texts.join(pairs, F.expr("_row = _of AND whole rlike pattern"), "left_semi").select(*given))
+
+
 def _literals(found: DataFrame, anchors: DataFrame) -> DataFrame:
     """The candidates of literals that hold them."""
     held = "at >= place AND substring(around, at - place + 1, octet_length(segment)) = segment"

@@ -176,3 +176,27 @@ def test_anchors_are_windows_of_the_longest_segment(spark):
             windows = next(window_hashes(np.frombuffer(r.segment, "uint8"), [r.width]))[1]
             assert r.hash == windows[r.place].view("int64")
             assert r.ends == blocked.both_ends(windows[:1], windows[-1:], len(r.segment)).view("int64")[0]
+
+
+def test_texts_of_settled_rows_and_without_pairs_stay_in_the_scan(spark):
+    terms = [f"common%piece{i}" for i in range(300)] + ["listed literally", "ele_en%x", "%only this%"]
+    rows = [(i, "listed LITERALLY, common piece1", None) if i % 4 else (i, f"common piece{i}" if i % 8 else "piece7 then common", "eleven x" if i == 16 else "") for i in range(2000)]
+    rows += [(i, "listed literally", "a common piece2") for i in range(2000, 2010)] + [(3, "nothing", None), (None, "common, piece1", None), (None, "only this", "")]
+    df = spark.createDataFrame(rows, "id long, text string, note string")
+    table = spark.createDataFrame([(t,) for t in terms], "match_term string")
+    written = []
+
+    class Recording(Staging):
+        def write(self, *args):
+            written.append(super().write(*args))
+            return written[-1]
+
+    found = keep_matching(df, WatchList(table, "like", task_chars=10), "text", "note", staging=Recording(spark), keep=["id"])
+    expected = [i for i, *texts in rows if any(like(p).search(t.lower()) for p in terms for t in texts if t)]
+    assert sorted(str(r.id) for r in found.collect()) == sorted(map(str, expected))
+    candidates, held, pairs = written[-3:]
+    assert candidates.filter("whole IS NOT NULL").count() > 2000
+    settled = {r._row for r in held.collect()}
+    assert len(settled) == held.count() == 1511
+    assert not settled & {r._of for r in pairs.collect()}
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # thins the texts before their shuffle
