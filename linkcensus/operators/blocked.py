@@ -39,7 +39,7 @@ MOST_BITS = 28  # of a bit map: 32 MB
 BITS_EACH = 32  # of a bit map for each hash, up to there; twice as many at most
 FALSE = 1e-5  # of windows that are no anchor, the share that a bit map may let pass
 PIECE_BITS = 19  # of a piece of a bit map, made in one place: 64 KB
-MOST_SHAPES = 128  # places and sizes of the terms of a width, up to which whole terms are looked for
+MOST_SHAPES = 256  # places and sizes of the terms of a width (all of them up to 32 bytes), up to which whole terms are looked for
 POSITIONS = 8  # windows of a term that may become its anchor
 SKETCH_BITS = 18  # slots in which windows of the list are counted: 2 MB
 BLOCK = 1 << 18  # bytes of text hashed at a time
@@ -293,16 +293,19 @@ class _Kind:
 
     def whole_terms(self, hashes: np.ndarray, width: int, at: np.ndarray, begin: np.ndarray, end: np.ndarray, proper: bool) -> np.ndarray:
         """Which of the windows `at` may lie in a whole segment within `begin` and `end`; hashes: of all windows."""
-        left = np.arange(len(at))
         passed = np.zeros(len(at), "bool")
-        for place, size in self.shapes[width]:
-            start = at[left] - place
-            fits = (start >= begin[left]) & (start + size <= end[left])
+        place, size = np.array(self.shapes[width], "int64").T
+        step = max(1, BLOCK // len(place))  # windows tested with all shapes at a time
+        for a in range(0, len(at), step):
+            low, high = begin[a : a + step, None], end[a : a + step, None]
+            start = at[a : a + step, None] - place
+            fits = (start >= low) & (start + size <= high)
             if proper:
-                fits &= size < end[left] - begin[left]
-            some, start = left[fits], start[fits]
-            passed[some[self.whole.places(both_ends(hashes[start], hashes[start + size - width], size))]] = True
-            left = left[~passed[left]]
+                fits &= size < high - low
+            window, shape = np.nonzero(fits)
+            start = start[fits]
+            ends = both_ends(hashes[start], hashes[start + size[shape] - width], size[shape])
+            passed[a + window[self.whole.places(ends)]] = True
         return passed
 
 
